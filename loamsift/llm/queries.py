@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .term_frequency import marked, text_term_counts, value_term_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,3 +41,60 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, folder, "documents"))
     sizes = groups.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return groups.join(sizes, "group").select("doc_id", "group_id", "group_size", F.col("links").cast("long").alias("links"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = look_alike_pairs(table(spark, folder, "documents"))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@query
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every document's text."""
+    return consistent_texts(table(spark, folder, "documents"))
+
+
+@query
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alike_classes(table(spark, folder, "documents"))
+
+
+def _term_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents, info = table(spark, folder, "documents"), table(spark, folder, "count_info")
+    texts = marked(text_term_counts(documents), documents.where("text is not null and text <> ''").agg(F.count("*").alias("total")))
+    values = marked(value_term_counts(info, "doc_id", "count"), info.agg(F.count_distinct("doc_id").alias("total")))
+    return texts.withColumn("field", F.lit("text")).unionByName(values.withColumn("field", F.lit("count")))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _term_counts(spark, folder).where("mark is not null").select("field", "term", "mark")
+
+
+@query
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences and records of every term of either field."""
+    return _term_counts(spark, folder).select("field", "term", "occurrences", "records", "mark")
+
+
+@query
+def p3_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences and records of every sequence of two words of a text."""
+    return text_term_counts(table(spark, folder, "documents"), max_n=2).where("n = 2").select("term", "occurrences", "records")
+
+
+_P3 = r"""
+WITH t AS (SELECT doc_id AS r, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
+c AS (SELECT doc_id AS r, unnest(count)::VARCHAR AS term FROM count_info),
+n AS (SELECT 'text' AS field, term, count(*) AS occurrences, count(DISTINCT r) AS records, (SELECT count(*) FROM documents WHERE text <> '') AS total FROM t GROUP BY term
+UNION ALL SELECT 'count', term, count(*), count(DISTINCT r), (SELECT count(DISTINCT doc_id) FROM count_info) FROM c WHERE term IS NOT NULL GROUP BY term),
+m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.25 * total THEN 'common' END AS mark FROM n)
+"""
+SQL["p3_found"] = _P3 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
+SQL["p3_counts"] = _P3 + "SELECT field, term, occurrences, records, mark FROM m"
+SQL["p3_phrases"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w WHERE len(w) >= 2)
+SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM s GROUP BY term
+"""

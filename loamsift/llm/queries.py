@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..session import table
 from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .source_mixing import mix_sources
+from .splitting import split_oversized
 from .term_frequency import marked, text_term_counts, value_term_counts
+from .token_stream import decode_ids, encode_texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,3 +101,44 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM do
 s AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w WHERE len(w) >= 2)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM s GROUP BY term
 """
+
+
+@query
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(table(spark, folder, "documents"))
+
+
+@query
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether decoding the ids gives back each text (empty for null)."""
+    documents = table(spark, folder, "documents")
+    decoded = decode_ids(encode_texts(documents)).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+SQL["p8_round_trip"] = "SELECT doc_id, true AS same FROM documents"
+
+
+@query
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    limits = table(spark, folder, "split_limits").first()  # one row
+    return split_oversized(table(spark, folder, "documents"), limits.max_tokens, limits.overlap_tokens, tokenizer=f"/opt/tokenizers/{limits.tokenizer}.json")
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece_no = 1").select("doc_id")
+
+
+@query
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import ship_package
+
 #: Rows sent to Python at once: texts are handled in blocks anyway, so larger batches only hold memory.
 ROWS = 2048
 
@@ -19,6 +21,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], ddl: str) -> DataFrame:
     """``make()`` runs once a task and gives a function from a batch to dicts of columns named by ``ddl``."""
+    ship_package(df.sparkSession)
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

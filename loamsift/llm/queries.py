@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
+from .language_labels import fit_from_tables, label_languages, wrong_labels
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .source_mixing import mix_sources
 from .splitting import split_oversized
@@ -142,3 +143,19 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
+
+
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    model = fit_from_tables(table(spark, folder, "lang_samples"), table(spark, folder, "common_words"))
+    return label_languages(table(spark, folder, "documents"), model)
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return wrong_labels(_languages(spark, folder)).select("doc_id", "line_no", "lang")
+
+
+@query
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every document, and of its lines in another language."""
+    return _languages(spark, folder).select("doc_id", "line_no", "lang", F.round("confidence", 6).alias("confidence"))

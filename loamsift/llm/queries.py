@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
 from .language_labels import fit_from_tables, label_languages, wrong_labels
+from .main_content import body_lines, counted_terms, latest_rows
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .source_mixing import mix_sources
 from .splitting import split_oversized
@@ -159,3 +160,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language and confidence of every document, and of its lines in another language."""
     return _languages(spark, folder).select("doc_id", "line_no", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = latest_rows(table(spark, folder, "count_info"), "doc_id", "loaded_at")
+    return body_lines(pages, counted_terms(table(spark, folder, "count_info")))

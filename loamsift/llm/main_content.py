@@ -57,7 +57,7 @@ _ENDS = tuple(".!?…。！？”’\"')]:;") + ("🙂", "❤️", "❤", "👩
 _JOINED = re.compile(r"\s[|>»/·]\s")
 _TITLE_END = re.compile(r"(\d| \.\.\.|»)$")
 
-SENTENCE, LONG, BULLET, TITLE, FURNITURE, HEADING, RELATED_HEAD, OTHER = range(8)
+SENTENCE, LONG, BULLET, TITLE, FURNITURE, HEADING, RELATED_HEAD, OTHER, STARRED = range(9)
 
 
 def term(line: str) -> str:
@@ -79,7 +79,7 @@ def shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
     if t in terms:
         return FURNITURE, -4.0
     if s.startswith("* ") and len(s) < 80:
-        return FURNITURE, -2.0
+        return STARRED, -2.0
     parts = _JOINED.split(s)
     if len(parts) > 2 or s.endswith("»"):
         known = sum(p.strip(_MARKS) in terms for p in parts)
@@ -209,8 +209,8 @@ class BodyFinder:
                 self.shapes[line] = found
         return found
 
-    def __call__(self, pages: list[tuple[list[str], list[int | None] | None]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each page (its lines, the counts of the lines or None): the body's line numbers from 0, their kinds, and all non-blank line numbers."""
+    def __call__(self, pages: list[tuple[list[str], list[int | None] | None]], more: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each page (its lines, the counts of the lines or None): the body's line numbers from 0, their kinds, and all non-blank line numbers. more: further evidence of each page's lines."""
         cost, kinds, page_of, block_of, line_of = [], [], [], [], []
         block = 0
         for p, (lines, counts) in enumerate(pages):
@@ -242,15 +242,18 @@ class BodyFinder:
                     after_head = 0
                 if have and have[k] is not None:
                     c += common_evidence(have[k], typical, kind)
+                if more is not None:
+                    c += more[p][k]
                 costs.append(c)
             # a long row of short lines is a list of the page, not a menu
-            start = 0
-            for stop in range(len(own) + 1):
-                if stop == len(own) or shapes[stop][0] != TITLE or costs[stop] < -2.5:
-                    if stop - start >= 12:
-                        for i in range(start, stop):
-                            costs[i] += 2.5
-                    start = stop + 1
+            for row, gain in ((TITLE, 2.5), (STARRED, 4.0)):
+                start = 0
+                for stop in range(len(own) + 1):
+                    if stop == len(own) or shapes[stop][0] != row or costs[stop] < -3.4:
+                        if stop - start >= 12:
+                            for i in range(start, stop):
+                                costs[i] += gain
+                        start = stop + 1
             cost += costs
             kinds += [kind for kind, _ in shapes]
             line_of += own

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
-from .language_labels import fit_from_tables, label_languages, wrong_labels
-from .main_content import body_lines, counted_terms, latest_rows
+from .checkpoints import cut
+from .language_labels import fit_from_tables, known_language, label_languages, wrong_labels
+from .main_content import body_lines, counted_terms, latest_rows, shared_terms
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .source_mixing import mix_sources
+from .spam_pages import advertising_phrases, profiles, spam_pages
 from .splitting import split_oversized
 from .term_frequency import marked, text_term_counts, value_term_counts
+from .text_statistics import against_distribution, not_prose, quantile_sketches
 from .token_stream import decode_ids, encode_texts
 
 QUERIES: dict = {}
@@ -166,3 +169,29 @@ def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = latest_rows(table(spark, folder, "count_info"), "doc_id", "loaded_at")
     return body_lines(pages, counted_terms(table(spark, folder, "count_info")))
+
+
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    common: dict[str, set[str]] = {}
+    for r in table(spark, folder, "common_words").where("word is not null").collect():  # a fixed table
+        common.setdefault(r.lang, set()).add(r.word.lower())
+    return profiles(documents, shared_terms(documents), advertising_phrases(documents), common, keep=("lang",))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(_profiles(spark, folder)).select("doc_id")
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut(_profiles(spark, folder).withColumn("language", F.coalesce(known_language(F.col("lang")), F.lit("other"))))
+    return not_prose(against_distribution(rows, quantile_sketches(rows, "language"), "language")).select("doc_id")
+
+
+@query
+def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document's body, with percentiles and robust z-scores within its language."""
+    rows = cut(_profiles(spark, folder).withColumn("language", F.coalesce(known_language(F.col("lang")), F.lit("other"))))
+    return against_distribution(rows, quantile_sketches(rows, "language"), "language").drop("lang")

@@ -67,7 +67,15 @@ def term(line: str) -> str:
 
 def shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
     """Kind of a line, and its evidence for the body (above 0) or for furniture, in units of log odds."""
-    s = plain(line).strip()
+    return plain_shape(plain(line), terms)
+
+
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
+    """shape of a line that is plain already."""
+    s = line.strip()
     t = _COUNTER.sub("", s.strip(_MARKS)).strip(_MARKS)
     words = t.split()
     if t in HEADINGS:
@@ -92,7 +100,7 @@ def shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
         return SENTENCE, 3.0
     if _NUMBERED.match(s):
         return BULLET, 1.5
-    letters = sum(c.isalpha() for c in s)
+    letters = len(_NO_LETTERS.sub("", s))
     if letters * 2 < len(s.replace(" ", "")) or len(s) >= 80 or any(c in s for c in "\t;={}/_"):
         return OTHER, 2.0  # figures, tables, code, long lines
     if len(words) >= 9 or ("가" <= t[:1] <= "힣" and len(words) >= 7):
@@ -195,14 +203,14 @@ class BodyFinder:
 
     KEEP = 200_000
 
-    def __init__(self, terms: set[str], skip_title: bool):
-        self.terms, self.skip_title = terms, skip_title
+    def __init__(self, terms: set[str], skip_title: bool, made_plain: bool = False):
+        self.terms, self.skip_title, self.of = terms, skip_title, plain_shape if made_plain else shape
         self.shapes: dict[str, tuple[int, float]] = {}
 
     def shape(self, line: str) -> tuple[int, float]:
         found = self.shapes.get(line)
         if found is None:
-            found = shape(line, self.terms)
+            found = self.of(line, self.terms)
             if len(line) < 100:
                 if len(self.shapes) >= self.KEEP:
                     self.shapes.clear()
@@ -289,9 +297,11 @@ _SHORT = 60
 
 
 def _short_lines(text) -> F.Column:
-    """Distinct short lines of a text with marks and counters cut off, case kept."""
-    cut = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[»*•·|>\s]+|[»*•·|>\s]+$", ""), r"\s*\(\d+\)$", "")
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n| [|>] "), cut), lambda x: (F.length(x) > 0) & (F.length(x) <= _SHORT)))
+    """Distinct short lines of a text, and parts of lines between bars, without the marks around them; case is kept."""
+    short = F.filter(F.split(text, "\n"), lambda x: (x != "") & (F.length(x) <= 4 * _SHORT))
+    parts = F.flatten(F.transform(short, lambda x: F.when(x.contains(" | ") | x.contains(" > "), F.split(x, " [|>] ")).otherwise(F.array(x))))
+    cut = F.transform(parts, lambda x: F.btrim(x, F.lit(_MARKS)))
+    return F.array_distinct(F.filter(cut, lambda x: (x != "") & (F.length(x) <= _SHORT)))
 
 
 def counted_terms(rows: DataFrame, text_col: str = "text", count_col: str = "count", least: int = 500, rows_least: int = 3) -> set[str]:

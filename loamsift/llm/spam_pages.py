@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import list_array, map_batches
-from .chars import LETTER, SPACE, Block, blocks, classes, mix
-from .language_labels import _HIDDEN, plain
+from .chars import DIGIT, LETTER, SPACE, Block, blocks, classes, mix
+from .checkpoints import cut
+from .language_labels import plain
 from .main_content import HEADING, BodyFinder
 
 _U64 = np.uint64
@@ -33,8 +34,6 @@ _LINK = re.compile(r"(?:https?://|www\.)[^\s\)\]>]+")
 _TAG = re.compile(r"(?:^|[\s,;|])(?:#|tag:)[^\W\d_]{3,}")
 _CODE = re.compile(r"[{}=<>\[\]\\^~@]|;$|\w\(\w*\)|\b\d\d:\d\d\b")
 _WORD = re.compile(r"[^\W\d_]+")
-_NOT_WORDS = re.compile(r"[\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
 _BULLET = re.compile(r"^\s*(?:\d{1,4}[.)]|[-–•+●*■◆○□◇])\s")
 
 PROSE, KEYWORDS, LINKS, TAGS, JUNK, SMALL = range(6)
@@ -91,6 +90,9 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
     """
     buckets = 1 << SKETCH_BITS
 
+    def bucket_of(h):
+        return (h >> _U64(64 - SKETCH_BITS)).astype(np.int64)
+
     class Collect:
         def __init__(self):
             self.sketch = np.zeros(buckets, np.int64)
@@ -107,8 +109,8 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
                 both = np.concatenate((h, pair[pair != 0]))
                 owner = np.concatenate((text, text[pair != 0]))
                 kind = np.concatenate((rows, rows[pair != 0])) & dense[owner]
-                p, o = _distinct(both[~kind], owner[~kind])
-                self.sketch += np.bincount((p & _U64(buckets - 1)).astype(np.int64), minlength=buckets)
+                once = np.unique(owner[~kind].astype(_U64) << _U64(40) | both[~kind] >> _U64(24))
+                self.sketch += np.bincount(bucket_of(once << _U64(24)), minlength=buckets)
                 p, o = _distinct(both[kind], owner[kind])
                 some, counts = np.unique(o, return_counts=True)
                 yield {"host": hosts.slice(first, n).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64()), "sketch": pa.nulls(len(some), pa.binary())}
@@ -129,7 +131,7 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
             yield {"sketch": [self.sum.tobytes()]}
 
     rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("_text")).where("_text is not null")
-    collected = map_batches(rows, Collect, "host string, phrases array<long>, sketch binary")
+    collected = cut(map_batches(rows, Collect, "host string, phrases array<long>, sketch binary"))
     pages = np.zeros(buckets, np.int64)
     for r in map_batches(collected.where("sketch is not null").select("sketch").coalesce(8), Add, "sketch binary").collect():  # eight of fixed size
         pages += np.frombuffer(bytes(r.sketch), np.int64)
@@ -138,7 +140,7 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
     counted = counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where(F.col("hosts") > max(2.0, share * hosts))
     found = counted.select("phrase", "pages").collect()
     h, n = np.array([r.phrase for r in found], np.int64).view(_U64), np.array([r.pages for r in found], np.float64)
-    others = np.maximum(0, pages[(h & _U64(buckets - 1)).astype(np.int64)] - np.median(pages))
+    others = np.maximum(0, pages[bucket_of(h)] - np.median(pages))
     return np.sort(h[n >= ratio * others])
 
 
@@ -161,37 +163,79 @@ def covered_words(block: Block, phrases: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.bincount(line, minlength=lines), np.bincount(line[hit], minlength=lines), first
 
 
-def line_kind(line: str, words: int, covered: int) -> int:
-    """What a line of a body is made of."""
+class LineCounts:
+    """Counts of each line of a block, lines numbered through it as they follow one another in the texts."""
+
+    def __init__(self, block: Block):
+        n, cp = len(block.texts), block.cp
+        breaks = np.flatnonzero(cp == 10)
+        of = np.searchsorted(block.start, breaks, "right") - 1
+        text, begin = np.concatenate((np.arange(n), of)), np.concatenate((block.start[:-1], breaks + 1))
+        order = np.lexsort((begin, text))
+        text, begin = text[order], begin[order]
+        end = np.append(begin[1:] - 1, len(cp))
+        last = np.append(text[1:] != text[:-1], True)
+        end[last] = block.start[1:][text[last]]
+        self.first = np.searchsorted(text, np.arange(n))
+        kind = classes()[cp]
+        letter, digit = (kind & LETTER) != 0, (kind & DIGIT) != 0
+        space = (kind & SPACE) != 0
+
+        def count(mask):
+            sums = np.concatenate(([0], np.cumsum(mask)))
+            return sums[end] - sums[begin]
+
+        def starts(mask):
+            out = mask.copy()
+            out[1:] &= ~mask[:-1]
+            return out
+
+        self.letters, self.digits = count(letter), count(digit)
+        self.ink = end - begin - count(space)
+        self.chars = end - begin
+        self.runs = count(starts(letter))
+        self.tokens = count(starts(~space))
+        meet = np.zeros(len(cp), bool)
+        meet[1:] = (letter[1:] & digit[:-1]) | (digit[1:] & letter[:-1])
+        self.meet = count(meet)
+        self.hangul = count((cp >= 0xAC00) & (cp <= 0xD7A3)) * 2 > self.letters
+
+
+def line_kind(line: str, words: int, covered: int, letters: int, ink: int, runs: int, tokens: int, meet: int, hangul: bool) -> int:
+    """What a line of a body is made of. words: those of two letters and more; meet: places where a letter and a digit touch."""
     s = line.strip()
-    if link := list(_LINK.finditer(s)):
+    if ("://" in s or "www." in s) and (link := list(_LINK.finditer(s))):
         rest = s[link[-1].end() :]
-        return PROSE if len(_WORD.findall(rest)) >= 4 and not _LINK.search(rest) else LINKS
-    ink = len(s) - s.count(" ")
-    found = _WORD.findall(s)
-    letters = sum(map(len, found))
-    if len(_TAG.findall(s)) >= 2 or (ink > 12 and _TAG.match(s)):
+        return PROSE if len(_WORD.findall(rest)) >= 4 else LINKS
+    if ("#" in s or "tag:" in s) and (len(_TAG.findall(s)) >= 2 or (ink > 12 and _TAG.match(s))):
         return TAGS
-    tokens = s.split()
-    hangul = bool(found) and "가" <= found[0][0] <= "힣"
-    mixed = len(_MIXED.findall(s))
-    if letters * 10 >= ink * 8 and not mixed and (ink >= (7.5 if hangul else 14) * len(tokens) or sum("_" in t for t in tokens) * 5 >= len(tokens)):
+    if letters * 10 >= ink * 8 and not meet and (ink >= (7.5 if hangul else 14) * tokens or ("_" in s and sum("_" in t for t in s.split()) * 5 >= tokens)):
         return TAGS  # words run together
     if ink < 12 and words < 4:
         return SMALL
-    if letters * 10 < ink * 7 or len(found) < 3 or _CODE.search(s) and letters * 20 < ink * 17 or mixed * 4 > len(tokens):
+    if letters * 10 < ink * 7 or runs < 3 or (letters * 20 < ink * 17 and _CODE.search(s)) or meet * 4 > tokens:
         return JUNK
     if words >= 4 and covered >= COVERAGE * words:
         return KEYWORDS
-    if _BULLET.match(s) and len(found) < 10 and not s.endswith((".", "!", "?")):
+    ended = s.endswith((".", "!", "?"))
+    if runs < 10 and not ended and _BULLET.match(s):
         return JUNK
-    if letters > 14 * len(found) or (letters < 2.2 * len(found) and not hangul):
+    if letters > 14 * runs or (letters < 2.2 * runs and not hangul):
         return JUNK
-    if s.endswith((".", "!", "?", "”", '"', "…", ")", "🙂", "❤️", ":")) or len(found) >= 8 or (hangul and len(found) >= 6):
+    if ended or s.endswith(("”", '"', "…", ")", "🙂", "❤️", "❤", ":")) or runs >= 8 or (hangul and runs >= 6):
         return PROSE
     return JUNK
 
 
+def _common_words(common: dict[str, set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent words, and in which languages they are."""
+    words = sorted(set().union(*common.values())) if common else []
+    block = Block(words)
+    h = block.hashes(block.start[:-1], block.start[1:])
+    order = np.argsort(h)
+    return h[order], np.array([[w in common[lang] for lang in sorted(common)] for w in words], bool).reshape(len(words), len(common))[order]
+
+
 def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict[str, set[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document whose text is neither null nor blank, with statistics of its body.
 
@@ -208,66 +252,66 @@ def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict
 
     def make():
         terms, phrases, common = sent.value
-        find = BodyFinder(terms, True)
+        find = BodyFinder(terms, True, made_plain=True)
+        frequent, languages = _common_words(common)
 
         def each(batch):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for first, block in blocks([plain(t) for t in texts]):
                 words, covered, start = covered_words(block, phrases)
-                chosen = texts[first : first + len(block.texts)]
-                split = [t.split("\n") for t in chosen]
+                count = LineCounts(block)
+                columns = [x.tolist() for x in (words, covered, count.letters, count.ink, count.runs, count.tokens, count.meet, count.hangul)]
+                dense = 4.0 * ((words >= 4) & (covered >= COVERAGE * words))  # rows of advertising are no menu
+                split = [t.split("\n") for t in block.texts]
                 found = []
                 for k in range(0, len(split), 256):
-                    # rows of advertising are no menu
-                    dense = [4.0 * ((words[a : a + len(x)] >= 4) & (covered[a : a + len(x)] >= COVERAGE * words[a : a + len(x)])) for a, x in zip(start[k : k + 256], split[k : k + 256])]
-                    body, shapes, _ = find([(x, None) for x in split[k : k + 256]], dense)
+                    body, shapes, _ = find([(x, None) for x in split[k : k + 256]], [dense[a : a + len(x)] for a, x in zip(start[k : k + 256].tolist(), split[k : k + 256])])
                     found += list(zip(body, shapes))
-                rows, at = [], []
+                at, shares, chosen, owner, ended = [], [], [], [], []
                 for p, (lines, (body, shapes)) in enumerate(zip(split, found)):
-                    if not chosen[p].strip():
+                    if not (t := block.texts[p]) or t.isspace():
                         continue
                     if len(body) == 0:
-                        rest = [k for k in range(1 if len(lines) > 1 else 0, len(lines)) if lines[k].strip()] or [k for k in range(len(lines)) if lines[k].strip()]
-                        body, shapes = rest, [None] * len(rest)
+                        body = [k for k in range(1 if len(lines) > 1 else 0, len(lines)) if lines[k].strip()] or [k for k in range(len(lines)) if lines[k].strip()]
+                        shapes = [None] * len(body)
+                    else:
+                        body, shapes = body.tolist(), shapes.tolist()
+                    share, a, n = [0] * 6, int(start[p]), 0
+                    for k, shape in zip(body, shapes):
+                        line = lines[k]
+                        n += line.rstrip().endswith((".", "!", "?", "”", '"', "…", "。"))
+                        if shape != HEADING:
+                            share[line_kind(line, *(c[a + k] for c in columns))] += len(line)
+                    chosen += [a + k for k in body]
+                    owner += [len(at)] * len(body)
+                    ended.append(n / len(body))
                     at.append(p)
-                    rows.append(_measure([(lines[k] if lines[k].isascii() else _HIDDEN.sub("", lines[k]), shape, int(words[start[p] + k]), int(covered[start[p] + k])) for k, shape in zip(body, shapes)], common))
-                if rows:
-                    table = np.array(rows, np.float64)
-                    where = pa.array(np.array(at) + first)
-                    yield {batch.schema.names[k]: batch.column(k).take(where) for k in range(batch.num_columns - 1)} | {name: table[:, k] for k, name in enumerate(names)}
+                    shares.append(share)
+                if not at:
+                    continue
+                chosen, owner, n = np.array(chosen), np.array(owner), len(at)
+                of = lambda x: np.bincount(owner, x[chosen], n)
+                letters, digits, ink, runs = of(count.letters), of(count.digits), np.maximum(1, of(count.ink)), of(count.runs)
+                # frequent words of each language, by line and then by document
+                h, _, line, _, _ = phrase_hashes(block)
+                best = np.zeros(n)
+                if len(h) and len(frequent):
+                    where = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    hit = frequent[where] == h
+                    best = np.stack([of(np.bincount(line[hit], languages[where[hit], k], len(words))) for k in range(languages.shape[1])]).max(axis=0)
+                share = np.array(shares, np.float64)
+                total = share[:, :5].sum(axis=1)
+                share[total == 0, JUNK] = np.maximum(1, share[total == 0, SMALL])  # small lines count where there is nothing else
+                total = share[:, :5].sum(axis=1)
+                table = dict(zip(names, (runs, letters / np.maximum(1, runs), (ink - letters - digits) / ink, np.array(ended), best / np.maximum(1, of(words)), total, *(share[:, k] / total for k in (PROSE, KEYWORDS, LINKS, TAGS, JUNK)))))
+                rows = pa.array(np.array(at) + first)
+                yield {batch.schema.names[k]: batch.column(k).take(rows) for k in range(batch.num_columns - 1)} | table
 
         return each
 
     return map_batches(docs.select(*columns, F.col(text_col).alias("_text")), make, f"{ddl}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("_id", id_col)
 
 
-def _measure(lines: list[tuple[str, int | None, int, int]], common: dict[str, set[str]]) -> tuple[float, ...]:
-    share = [0] * 6
-    text = []
-    ended = 0
-    for line, shape, words, covered in lines:
-        s = line.strip()
-        text.append(s)
-        ended += s.endswith((".", "!", "?", "”", '"', "…", "。"))
-        if shape != HEADING:
-            share[line_kind(line, words, covered)] += len(s)
-    # small lines count with what most of the page is
-    total = sum(share[:5])
-    if not total:
-        share[JUNK] = total = max(1, share[SMALL])
-    whole = " ".join(text)
-    found = _WORD.findall(whole.lower())
-    letters = sum(map(len, found))
-    ink = max(1, len(whole) - whole.count(" "))
-    digits = sum(map(len, re.findall(r"\d+", whole)))
-    n = max(1, len(found))
-    tally: dict[str, int] = {}
-    for w in found:
-        tally[w] = tally.get(w, 0) + 1
-    best = max((sum(tally.get(w, 0) for w in words) for words in common.values()), default=0)
-    return (len(found), letters / n, (ink - letters - digits) / ink, ended / max(1, len(lines)), best / n, total, share[PROSE] / total, share[KEYWORDS] / total, share[LINKS] / total, share[TAGS] / total, share[JUNK] / total)
-
-
 def spam_pages(profiled: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of profiles whose body is, by characters, at least the share ``least`` keyword rows, links and tags."""
     return profiled.where(F.col("keywords") + F.col("links") + F.col("tags") >= least)

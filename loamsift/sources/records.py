@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 LANGUAGE_HEADER = "WARC-Identified-Content-Language"
 
 
@@ -59,8 +61,8 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str = "t
 
 def read_list(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     """(place from 0, name): stripped lines of a text file in file order; the file is small and read whole."""
-    whole = spark.read.option("wholetext", "true").text(path)
-    lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.transform(F.split("value", "\n"), strip), lambda x: x != "")
     return whole.select(F.posexplode(lines).alias("place", name))
 
 

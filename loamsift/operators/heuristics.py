@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, lines_of, strip, token_word_count, words
-from .repetition import repetition_verdict
+from .repetition import passes
 
 # Words, marks and nouns that the filters look for.
 STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
@@ -158,10 +158,16 @@ def cheap_filters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.where(has_text(t) & bullet_ratio(t) & ellipsis_ratio(t) & page_length(t) & word_length(t) & symbol_ratio(t) & alphabetic_words(t) & stop_words(t))
 
 
-def heuristics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_model: str = "split") -> DataFrame:
-    """Documents that pass all filters, with the text as the modifiers leave it, without those that lose more than a twentieth of their words or all text. Ids are unique."""
-    some = cheap_filters(docs, text_col)
-    verdict = repetition_verdict(some, id_col, text_col, word_model).where("passes").select(id_col)
-    some = some.join(verdict, id_col, "left_semi").withColumn("_new", modified(F.col(text_col)))
-    stays = F.coalesce(removal_ratio(F.col(text_col), F.col("_new")) <= 0.05, F.lit(True)) & (strip(F.col("_new")) != "")
-    return some.where(stays).withColumn(text_col, F.col("_new")).drop("_new")
+def heuristics(docs: DataFrame, text_col: str = "text", word_model: str = "split") -> DataFrame:
+    """Documents that pass all filters, with the text as the modifiers leave it, without those that lose more than a twentieth of their words or all text.
+
+    Nothing is shuffled. The costly repetition test sees what the cheap filters leave.
+    """
+    some = cheap_filters(docs, text_col).where(passes(F.col(text_col), word_model))
+    # exploding an array of one evaluates the modifiers once, for the test and the result
+    stays = F.filter(
+        F.array(F.struct(F.col(text_col).alias("old"), modified(F.col(text_col)).alias("new"))),
+        lambda x: F.coalesce(removal_ratio(x["old"], x["new"]) <= 0.05, F.lit(True)) & (strip(x["new"]) != ""),
+    )
+    others = [c for c in docs.columns if c != text_col]
+    return some.select(*others, F.explode(stays).alias("_x")).select(*(F.col("_x.new").alias(text_col) if c == text_col else c for c in docs.columns))

@@ -54,15 +54,13 @@ def seen_more_than(maps: DataFrame, n: int = 1, value: str = "df") -> DataFrame:
 def count_info(docs: DataFrame, frequency: DataFrame, scope: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, scope, text without its title line, count): for each line the df of its key in the scope, 0 where it has none, 65535 at most.
 
-    Documents of one line have none left and are dropped. Only the distinct keys of a document
-    are joined, and come back as one map a document; ids are unique.
+    Documents of one line have none left and are dropped. Only keys travel to the join; ids are unique.
     """
     body = without_title(lines_of(F.col(text_col)))
-    some = docs.where(f"{text_col} is not null").select(id_col, *scope, body.alias("lines")).where(F.size("lines") > 0).withColumn("keys", F.transform("lines", normalize_for_dedup))
-    wanted = some.select(id_col, *scope, F.explode(F.array_distinct("keys")).alias("line_key"))
-    found = wanted.join(frequency, [*scope, "line_key"]).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("line_key", "df"))).alias("found"))
-    counts = F.transform("keys", lambda k: saturating(F.coalesce(F.element_at("found", k), F.lit(0))))
-    return some.join(found, id_col, "left").select(id_col, *scope, F.array_join("lines", "\n").alias("text"), F.coalesce(counts, F.transform("keys", lambda k: F.lit(0))).alias("count"))
+    some = docs.where(f"{text_col} is not null").select(id_col, *scope, body.alias("lines")).where(F.size("lines") > 0)
+    wanted = some.select(id_col, *scope, F.posexplode(F.transform("lines", normalize_for_dedup)).alias("line_no", "line_key"))
+    found = wanted.join(frequency, [*scope, "line_key"], "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", saturating(F.coalesce("df", F.lit(0))).alias("n")))).alias("found"))
+    return some.join(found, id_col).select(id_col, *scope, F.array_join("lines", "\n").alias("text"), F.transform("found", lambda x: x["n"]).alias("count"))
 
 
 def ends_in_punctuation(line: Column) -> Column:

@@ -1,13 +1,20 @@
-"""Repetition within documents.
+"""Repetition within documents, as columns: a document is measured where it lies, without a shuffle.
 
-One exchange by document brings a document's rows together; all counts and windows after it are by
-document and more, and reuse that partitioning.
+Words and segments come from built-in expressions as arrays. Counting equal n-grams of an array has no
+built-in that is not quadratic or needs rows and an exchange for each word and n, so the arrays go to
+Arrow functions that count a whole batch of documents by array operations: n-grams are numbered by
+sorting pairs (number of the first n - 1 words, last word), which is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from ..functions.text import paragraphs, split_words
 
@@ -17,60 +24,129 @@ NGRAM_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16, 5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9
 _TOP = (2, 3, 4)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Numbers and lengths of the strings of all lists, the row of each, and how many rows; null lists are empty."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    encoded = lists.flatten().dictionary_encode()
+    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+    ids = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = pc.utf8_length(encoded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, chars[ids] if len(ids) else ids, np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+
+
+def ngram_share_table(words: pa.Array, sizes: list[int]) -> np.ndarray:
+    """Rows x sizes: repeated shares, nan where a row has fewer words."""
+    ids, chars, row, rows = _flat(words)
+    out = np.full((rows, len(sizes)), np.nan)
+    if not len(ids):
+        return out
+    total = np.maximum(1, np.bincount(row, chars, rows))
+    before = np.concatenate(([0], np.cumsum(chars)))
+    rank, base = ids, int(ids.max()) + 1
+    for n in range(1, max(sizes) + 1):
+        if n > 1:
+            m = len(ids) - n + 1
+            if m <= 0:
+                break
+            at = np.flatnonzero(row[:m] == row[n - 1 :])
+            grams, inverse, times = np.unique(rank[at] * base + ids[at + n - 1], return_inverse=True, return_counts=True)
+            rank = np.zeros(len(ids), np.int64)
+            rank[at] = inverse
+        if n not in sizes or n < 2 or not len(at):
+            continue
+        # equal n-grams of different rows are different
+        _, place, same = np.unique(row[at] * (len(grams) + 1) + rank[at], return_inverse=True, return_counts=True)
+        times = same[place]
+        of = row[at]
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        present = of[heads]
+        most = np.maximum.reduceat(times, heads)
+        if n in _TOP:
+            length = before[at + n] - before[at]
+            longest = np.maximum.reduceat(np.where(times == np.repeat(most, np.diff(np.append(heads, len(at)))), length, 0), heads)
+            share = most * longest / total[present]
+        else:
+            edge = np.zeros(len(ids) + 1, np.int64)
+            repeated = at[times > 1]
+            np.add.at(edge, repeated, 1)
+            np.add.at(edge, repeated + n, -1)
+            share = np.bincount(row, np.where(np.cumsum(edge)[:-1] > 0, chars, 0), rows)[present] / total[present]
+        out[present, sizes.index(n)] = np.where(most == 1, 0.0, share)
+    return out
+
+
+def segment_share_table(segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of segments of each row, and the shares of them and of their characters in those that occur more than once."""
+    ids, chars, row, rows = _flat(segments)
+    count = np.bincount(row, minlength=rows) if len(ids) else np.zeros(rows, np.int64)
+    if not len(ids):
+        return count, np.zeros(rows), np.zeros(rows)
+    _, place, times = np.unique(row * (int(ids.max()) + 1) + ids, return_inverse=True, return_counts=True)
+    again = times[place] > 1
+    return count, np.bincount(row, again, rows) / np.maximum(1, count), np.bincount(row, again * chars, rows) / np.maximum(1, np.bincount(row, chars, rows))
+
+
+def ngram_shares(words: Column, sizes: list[int]) -> Column:
+    """The repeated share for each size, null for more words than there are.
+
+    For sizes up to 4 the share of the word characters that the most frequent n-gram takes (of equals
+    the longest), 0 if it occurs once; above, the share of them in words that any repeated n-gram covers.
+    """
+
+    @arrow_udf(ArrayType(DoubleType()))
+    def shares(lists: pa.Array) -> pa.Array:
+        table = ngram_share_table(lists, sizes)
+        flat = pa.array(table.ravel(), pa.float64(), mask=np.isnan(table.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * len(sizes), pa.int32()), flat)
+
+    return shares(words)
+
+
+@arrow_udf(StructType([StructField("segments", DoubleType()), StructField("count_share", DoubleType()), StructField("char_share", DoubleType())]))
+def segment_shares(segments: pa.Array) -> pa.Array:
+    count, by_count, by_chars = segment_share_table(segments)
+    return pa.StructArray.from_arrays([pa.array(count, pa.float64()), pa.array(by_count), pa.array(by_chars)], ["segments", "count_share", "char_share"])
+
+
+def counted_words(text: Column, word_model: str = "split") -> Column:
+    """The words whose n-grams are counted: those that begin with a letter or number."""
+    return split_words(text, word_model, ignore_punctuation=True)
+
+
 def segment_repetition(docs: DataFrame, end: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, segments, count_share, char_share): shares of the non-blank segments, and of their characters, in segments that occur more than once. Documents without segments have no row."""
-    segments = docs.select(id_col, F.explode(paragraphs(F.col(text_col), end)).alias("segment"))
-    counted = segments.repartition(id_col).groupBy(id_col, "segment").agg(F.count("*").alias("n"))
-    repeated = F.when(F.col("n") > 1, F.col("n")).otherwise(0)
-    chars = F.length("segment")
-    return counted.groupBy(id_col).agg(
-        F.sum("n").alias("segments"),
-        (F.sum(repeated) / F.sum("n")).alias("count_share"),
-        (F.sum(repeated * chars) / F.greatest(F.sum(F.col("n") * chars), F.lit(1))).alias("char_share"),
-    )
+    """(id, segments, count_share, char_share) of the non-blank segments. Documents without segments have no row."""
+    found = docs.select(id_col, segment_shares(paragraphs(F.col(text_col), end)).alias("x")).where("x.segments > 0")
+    return found.select(id_col, F.col("x.segments").cast("long").alias("segments"), "x.count_share", "x.char_share")
 
 
 def ngram_repetition(docs: DataFrame, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", word_model: str = "split") -> DataFrame:
-    """(id, n, share) for documents of n words or more.
+    """(id, n, share) for documents of n words or more; see ngram_shares."""
+    found = docs.select(id_col, ngram_shares(counted_words(F.col(text_col), word_model), sizes).alias("shares"))
+    each = found.select(id_col, F.explode(F.arrays_zip(F.array(*map(F.lit, sizes)).alias("n"), F.col("shares").alias("share"))).alias("x"))
+    return each.select(id_col, "x.n", "x.share").where("share is not null")
 
-    For n up to 4 the share of the word characters that the most frequent n-gram takes (of equals
-    the longest), 0 if it occurs once; above, the share of them in words that any repeated n-gram
-    covers. Words begin with a letter or number.
-    """
-    w = F.col("_words")
-    found = docs.select(id_col, split_words(F.col(text_col), word_model, ignore_punctuation=True).alias("_words")).where(F.size("_words") >= min(sizes)).repartition(id_col)
-    at = found.select(id_col, "_words", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size(w) >= F.col("n"))
-    at = at.select(id_col, "n", F.posexplode(F.transform(w, lambda x, i: F.struct(F.length(x).alias("chars"), F.when(i + F.col("n") <= F.size(w), F.slice(w, i + 1, F.col("n"))).alias("gram")))).alias("i", "x"))
-    at = at.select(id_col, "n", "i", "x.chars", F.when(F.col("x.gram").isNotNull(), F.xxhash64("x.gram")).alias("gram"), F.length(F.array_join("x.gram", "")).alias("gram_chars"))
-    same = Window.partitionBy(id_col, "n", "gram")
-    at = at.withColumn("times", F.when(F.col("gram").isNotNull(), F.count("*").over(same)).otherwise(0))
-    near = Window.partitionBy(id_col, "n").orderBy("i")
-    top = F.when(F.col("n") > max(_TOP), 0)
-    for n in sizes:  # the frame of a window is a constant
-        top = top.when(F.col("n") == n, 0)
-    covered = F.lit(0)
-    for n in [n for n in sizes if n not in _TOP]:
-        covered = F.when(F.col("n") == n, F.max("times").over(near.rowsBetween(1 - n, 0))).otherwise(covered)
-    at = at.withColumn("cover", covered)
-    best = F.max(F.struct("times", "gram_chars"))
-    totals = at.groupBy(id_col, "n").agg(best.alias("best"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("cover") > 1, F.col("chars")).otherwise(0)).alias("covered"))
-    whole = F.greatest("chars", F.lit(1))
-    share = F.when(F.col("best.times") == 1, 0.0).when(F.col("n").isin(list(_TOP)), F.col("best.times") * F.col("best.gram_chars") / whole).otherwise(F.col("covered") / whole)
-    return totals.select(id_col, "n", share.alias("share"))
+
+def passes(text: Column, word_model: str = "split", paragraphs_too: bool = True) -> Column:
+    """Whether a text is within all limits for lines, paragraphs and n-grams of 2 to 10 words; null and empty texts are not."""
+
+    @arrow_udf(BooleanType())
+    def lines_pass(segments: pa.Array) -> pa.Array:
+        count, by_count, by_chars = segment_share_table(segments)
+        return pa.array((count <= 1) | ((by_count <= SEGMENT_LIMITS["line_count"]) & (by_chars <= SEGMENT_LIMITS["line_chars"])))
+
+    limits = np.array(list(NGRAM_LIMITS.values()))
+    sizes = list(NGRAM_LIMITS)
+
+    @arrow_udf(BooleanType())
+    def ngrams_pass(words: pa.Array) -> pa.Array:
+        table = ngram_share_table(words, sizes)
+        return pa.array((np.isnan(table) | (table <= limits)).all(axis=1))
+
+    ok = (F.coalesce(text, F.lit("")) != "") & lines_pass(paragraphs(text, "\n")) & ngrams_pass(counted_words(text, word_model))
+    return ok & lines_pass(paragraphs(text, "\n\n")) if paragraphs_too else ok
 
 
 def repetition_verdict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_model: str = "split", paragraphs_too: bool = True) -> DataFrame:
-    """(id, passes) for every document: within all limits for lines, paragraphs and n-grams of 2 to 10 words. Null and empty texts do not pass."""
-    some = docs.where(F.col(text_col) != "")
-    checks = []
-    for name, end in (("line", "\n"), ("paragraph", "\n\n")):
-        if name == "line" or paragraphs_too:
-            s = segment_repetition(some, end, id_col, text_col)
-            checks.append(s.select(id_col, ((F.col("segments") <= 1) | ((F.col("count_share") <= SEGMENT_LIMITS[f"{name}_count"]) & (F.col("char_share") <= SEGMENT_LIMITS[f"{name}_chars"]))).alias("ok")))
-    limit = F.create_map(*(F.lit(x) for pair in NGRAM_LIMITS.items() for x in pair))
-    n = ngram_repetition(some, list(NGRAM_LIMITS), id_col, text_col, word_model)
-    checks.append(n.select(id_col, (F.col("share") <= F.element_at(limit, F.col("n"))).alias("ok")))
-    everything = docs.select(id_col, (F.coalesce(F.col(text_col), F.lit("")) != "").alias("ok"))
-    for c in checks:
-        everything = everything.unionByName(c)
-    return everything.groupBy(id_col).agg(F.min("ok").alias("passes"))
+    """(id, passes) for every document."""
+    return docs.select(id_col, passes(F.col(text_col), word_model, paragraphs_too).alias("passes"))

@@ -34,4 +34,4 @@ def extraction(docs: DataFrame, scope: list[str], red: int = 1000, green: int =
 
 def curation(docs: DataFrame, score: Callable[[Column], Column], threshold: float = 0.018112, id_col: str = "doc_id") -> DataFrame:
     """Heuristics, then removal of what was seen before, then the quality threshold."""
-    return with_quality(drop_seen(heuristics(docs, id_col), id_col=id_col), score, threshold)
+    return with_quality(drop_seen(heuristics(docs), id_col=id_col), score, threshold)

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,8 +27,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def table(spark: SparkSession, folder: str, name: str):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: A table that is read in fewer parts than there are cores is spread over them from this size on.
+SPREAD_BYTES = 1 << 20
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table. One that lies in a file or two that cannot be split would keep one core busy; its rows are dealt out first. Tables of many files are left as they are."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if cores > 1 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:

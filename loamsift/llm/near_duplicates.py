@@ -8,9 +8,9 @@ agree in a bin with a probability equal to their weighted Jaccard similarity, at
 with shingles + k ln k rather than with shingles x k.
 
 Shingles found in many texts ("read more about") would put unrelated texts into one band, so an
-element's weight falls with the share of texts that hold its bucket of a count sketch. The sketch
-has a fixed size, sees every text, and is all that goes to the driver. Weights only steer which
-pairs are compared: the result rests on the exact, unweighted Jaccard similarity.
+element's weight falls with the number of texts that hold its bucket of a count sketch. The sketch
+has a fixed size and sees every text but the many copies of one. Weights only steer which pairs are
+compared: the result rests on the exact, unweighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -152,13 +152,15 @@ class CountSketch:
     def __init__(self, counts: np.ndarray, texts: int):
         counts = counts.reshape(SKETCH_ROWS, -1).astype(np.float64)
         noise = counts.mean(axis=1, keepdims=True)
-        self.rates = np.maximum(0, counts - noise).astype(np.float32) / max(texts, 1)
+        self.counts = np.maximum(0, counts - noise).astype(np.float32)
+        self.texts = texts
 
-    def rate(self, s: np.ndarray) -> np.ndarray:
-        return np.minimum.reduce([self.rates[row][b] for row, b in enumerate(self.buckets(s))])
+    def count(self, s: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([self.counts[row][b] for row, b in enumerate(self.buckets(s))])
 
 
-def _sketch(texts: DataFrame, words: int) -> CountSketch:
+def _sketch(texts: DataFrame, words: int, hot: np.ndarray) -> CountSketch:
+    """hot: sorted keys of the sets that many texts share; those texts are not counted."""
     size = SKETCH_ROWS << SKETCH_BITS
 
     class Count:
@@ -167,7 +169,9 @@ def _sketch(texts: DataFrame, words: int) -> CountSketch:
 
         def __call__(self, batch):
             self.texts += batch.num_rows
-            for _, s, _ in shingle_sets(batch.column(0).to_pylist(), words):
+            for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
+                if len(hot):
+                    s = s[np.repeat(~np.isin(set_keys(s, counts), hot), counts)]
                 for row, b in enumerate(CountSketch.buckets(s)):
                     self.counts[row << SKETCH_BITS : row + 1 << SKETCH_BITS] += np.bincount(b, minlength=1 << SKETCH_BITS)
             return ()
@@ -222,20 +226,18 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 3, common: float = 0.005
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 3, common: float = 0.005, common_least: int = 50
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the links between classes.
 
     Returns members (``id_col``, class) and links (class_a, class_b, similarity), class_a < class_b,
     for all pairs of classes that share a band and whose Jaccard similarity reaches the threshold.
     Null and empty texts, and those of fewer than ``words`` words, have no shingles and are in no
-    class. Ids need not be unique (equal rows stay equal rows). Shingles found in more than
-    ``common`` of the texts weigh (common / share)**2 in the signatures, 1/64 at least.
+    class. Ids need not be unique (equal rows stay equal rows). Shingles found in more texts than the
+    share ``common``, and than ``common_least``, weigh less in the signatures in proportion, 1/64 at least.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null and _text <> ''")
     k = bands * rows
-    sketch = _sketch(docs.select("_text"), words)
-
     def keyed():
         def each(batch):
             ids = batch.column(0)
@@ -245,11 +247,17 @@ def near_duplicate_classes(
 
         return each
 
+    # a class that holds more than 1/1000 of the texts is one of 1000 at most
+    members = cut(map_batches(docs, keyed, f"_id {docs.schema['_id'].dataType.simpleString()}, class long").withColumnRenamed("_id", id_col))
+    total = members.count()
+    hot = np.sort(np.array([r["class"] for r in members.groupBy("class").count().where(F.col("count") > max(common_least, total / 1000)).collect()], np.int64))
+    sketch = _sketch(docs.select("_text"), words, hot)
+    often = max(common_least, common * sketch.texts)
+
     def signed():
         def each(batch):
             for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
-                rate = sketch.rate(s)
-                weight = np.maximum(FLOOR, np.minimum(1.0, common / np.maximum(rate, 1e-9)) ** 2)
+                weight = np.maximum(FLOOR, np.minimum(1.0, often / np.maximum(sketch.count(s), 1.0)))
                 darts, held = dart_minhash(s, weight, counts, k)
                 with np.errstate(over="ignore"):
                     band = np.zeros((len(counts), bands), _U64)
@@ -271,7 +279,6 @@ def near_duplicate_classes(
 
         return each
 
-    members = map_batches(docs, keyed, f"_id {docs.schema['_id'].dataType.simpleString()}, class long").withColumnRenamed("_id", id_col)
     signatures = map_batches(docs.select("_text"), signed, "class long, size int, bands array<long>").groupBy("class").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = signatures.select("class", "size", F.explode("bands").alias("band"))
     a, b = banded.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), "band"), banded.select(F.col("class").alias("class_b"), F.col("size").alias("size_b"), "band")

@@ -232,16 +232,17 @@ def word_labels(model: LanguageModel, score, block: Block):
     return gamma * weight[:, None], text, line, breaks
 
 
-def fit_from_tables(samples: DataFrame, lexicon: DataFrame | None = None) -> LanguageModel:
-    """samples: (lang, text), at most MAX_SAMPLES of them are fitted; lexicon: (lang, word), a small table."""
+def fit_from_tables(samples: DataFrame, lexicon: DataFrame | None = None) -> LanguageModel | None:
+    """samples: (lang, text), at most MAX_SAMPLES of them are fitted; lexicon: (lang, word), a small table. None without a sample that has a letter."""
     rows = samples.where("lang is not null and text is not null").select("lang", "text").orderBy(F.xxhash64("text"), "text", "lang").limit(MAX_SAMPLES).collect()
     words: dict[str, list[str]] = {}
     for r in lexicon.where("lang is not null and word is not null").select("lang", "word").distinct().collect() if lexicon is not None else ():
         words.setdefault(r.word.lower(), []).append(r.lang)
-    return LanguageModel.fit([(r.lang, r.text) for r in rows], {w: " ".join(sorted(x)) for w, x in words.items()})
+    rows = [r for r in rows if re.search(r"[^\W\d_]", plain(r.text))]
+    return LanguageModel.fit([(r.lang, r.text) for r in rows], {w: " ".join(sorted(x)) for w, x in words.items()}) if rows else None
 
 
-def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_words: int = 8, surely: float = 0.65, least: float = 0.2) -> DataFrame:
+def label_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_words: int = 8, surely: float = 0.65, least: float = 0.2) -> DataFrame:
     """(id, line_no, label, lang, confidence, evidence): a row 0 for each document with letters, and one for each line of min_words blank-separated words or more in another language than the document.
 
     A line counts with a confidence of ``surely`` or more, and evidence of two words and of the share
@@ -249,17 +250,19 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
     Lines are split at \\n and numbered from 1. label is the document's own label, as stored. Null
     and blank texts, and texts without letters, give no row. A tie goes to the language of the first
-    code in alphabetical order. Rows with equal ids are labelled one by one.
+    code in alphabetical order. Rows with equal ids are labelled one by one. No model gives no row.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    langs = pa.array(model.langs)
+    langs = pa.array(model.langs if model else [], pa.string())
     sent = docs.sparkSession.sparkContext.broadcast(model)  # grows with the samples, not with the documents
 
     def make():
         m = sent.value
-        score = _Scorer(m)
+        score = m and _Scorer(m)
 
         def each(batch):
+            if m is None:
+                return
             for first, block in blocks([plain(t) for t in batch.column(2).to_pylist()]):
                 n = len(block.texts)
                 gamma, text, line, breaks = word_labels(m, score, block)

@@ -290,7 +290,7 @@ class BodyFinder:
 def latest_rows(rows: DataFrame, id_col: str, time_col: str) -> DataFrame:
     """One row of each id, that of the latest time; of equal times one with counts is taken."""
     order = Window.partitionBy(id_col).orderBy(F.col(time_col).desc_nulls_last(), F.col("count").isNull(), F.xxhash64(*[F.to_json(F.struct("count")), F.col("text")]))
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return rows.withColumn("_rank_of_row", F.row_number().over(order)).where("_rank_of_row = 1").drop("_rank_of_row")
 
 
 _SHORT = 60

@@ -28,7 +28,10 @@ def merged_sketches(sketches: DataFrame, by: str, statistics: tuple[str, ...] =
 
 
 def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """rows with, for each statistic s, s_percentile (0 to 1) and s_z: distance from the median in units of the interquartile range / 1.349, which is at least LEAST_SPREAD.
+    """rows with, for each statistic s, s_percentile (0 to 1) and s_z: distance from the median in units of its spread.
+
+    The spread is the smaller of the distances from the median to the quartiles, / 0.6745, and at
+    least LEAST_SPREAD: up to half of the documents may lie far off on one side without hiding it.
 
     sketches has a row for each value of ``by`` and is broadcast: the values are languages.
     """
@@ -38,7 +41,7 @@ def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statisti
     columns = {}
     for s in statistics:
         q = F.col(f"_q_{s}")
-        spread = F.greatest((q[75] - q[25]) / 1.349, F.lit(LEAST_SPREAD.get(s, 1e-9)))
+        spread = F.greatest(F.least(q[75] - q[50], q[50] - q[25]) / 0.6745, F.lit(LEAST_SPREAD.get(s, 1e-9)))
         columns[f"{s}_z"] = (F.col(s) - q[50]) / spread
         columns[f"{s}_percentile"] = F.size(F.filter(q, _at_most(F.col(s)))) / len(_RANKS)
     return joined.withColumns(columns).drop("_by", *(f"_q_{s}" for s in statistics))

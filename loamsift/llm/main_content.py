@@ -96,7 +96,7 @@ def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float
         if " > " in s and len(s) < 200 and not s.endswith(_ENDS):
             return FURNITURE, -2.5
         return OTHER, 1.0
-    if len(s) >= 25 and len(words) >= 4 and s.endswith(_ENDS) and not s.endswith(" ..."):
+    if s.endswith(_ENDS) and not s.endswith(" ...") and (len(s) >= 25 and len(words) >= 4 or len(s) >= 12 and len(words) >= 3 and not s.endswith(("...", ")"))):
         return SENTENCE, 3.0
     if _NUMBERED.match(s):
         return BULLET, 1.5
@@ -110,11 +110,17 @@ def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float
     return LONG, 1.0
 
 
-def common_evidence(count: float, typical: float, kind: int) -> float:
-    """What the number of documents that hold the line adds; typical: its median over the page's sentences."""
+#: Most that a common line loses: a sentence that stands by itself on many pages is one about their
+#: site, but a quotation may be a known one, and a list item is a short text that others share.
+_LOSSES = {SENTENCE: 4.5, LONG: 4.5, OTHER: 4.5, BULLET: 1.5}
+_QUOTATION = re.compile(r'^\s*[“"„«].*[”"“»]\s*$')
+
+
+def common_evidence(count: float, typical: float, kind: int, quotation: bool = False) -> float:
+    """What the number of documents that hold the line adds; typical: log10 of that of the page's sentences."""
     c = np.log10(max(count, 1.0))
-    if kind in (SENTENCE, LONG, OTHER, BULLET):
-        return 1.0 - min(4.5, 3.2 * max(0.0, c - typical - 0.5))
+    if kind in _LOSSES:
+        return 1.0 - min(3.6 if quotation else _LOSSES[kind], 3.2 * max(0.0, c - typical - 0.5))
     if kind == HEADING:
         return 0.0
     return 0.5 - min(3.0, max(0.0, c - 0.3))
@@ -249,7 +255,7 @@ class BodyFinder:
                 elif kind != FURNITURE:
                     after_head = 0
                 if have and have[k] is not None:
-                    c += common_evidence(have[k], typical, kind)
+                    c += common_evidence(have[k], typical, kind, kind == SENTENCE and have[k] > 3 and _QUOTATION.match(lines[k]) is not None)
                 if more is not None:
                     c += more[p][k]
                 costs.append(c)

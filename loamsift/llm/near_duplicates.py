@@ -226,11 +226,11 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 3, common: float = 0.005, common_least: int = 50
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 3, common: float = 0.005, common_least: int = 50
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the links between classes.
 
-    Returns members (``id_col``, class) and links (class_a, class_b, similarity), class_a < class_b,
+    Returns members (``id_col``, class) and links (class_a, class_b, similarity), each pair once,
     for all pairs of classes that share a band and whose Jaccard similarity reaches the threshold.
     Null and empty texts, and those of fewer than ``words`` words, have no shingles and are in no
     class. Ids need not be unique (equal rows stay equal rows). Shingles found in more texts than the
@@ -282,7 +282,8 @@ def near_duplicate_classes(
     signatures = map_batches(docs.select("_text"), signed, "class long, size int, bands array<long>").groupBy("class").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = signatures.select("class", "size", F.explode("bands").alias("band"))
     a, b = banded.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), "band"), banded.select(F.col("class").alias("class_b"), F.col("size").alias("size_b"), "band")
-    fits = (F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold) - 1e-9)
+    # the smaller set of a pair is a: its members are what travels to the other
+    fits = (F.struct("size_a", "class_a") < F.struct("size_b", "class_b")) & (F.col("size_a") >= F.col("size_b") * F.lit(threshold) - 1e-9)
     candidates = a.join(b, "band").where(fits).select("class_a", "class_b").distinct()
 
     sets = map_batches(docs.select("_text"), packed, "class long, members binary").groupBy("class").agg(F.first("members").alias("members"))

@@ -197,9 +197,11 @@ def _natural(block: Block, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     fine = (classes()[cp] & SPACE) != 0
     fine |= np.isin(cp, [ord(c) for c in _BESIDE])
     dotted = (cp[:-1] == ord(".")) & ((classes()[cp[1:]] & LETTER) != 0)  # example.org
+    dotted[block.start[1:] - 1] = False  # what follows is another text
     fine[:-1] &= ~dotted
-    inside = dotted[begin - 1] & (begin > 0)
-    left = fine[begin - 1] | np.isin(begin, block.start)
+    heads = np.isin(begin, block.start)
+    inside = dotted[begin - 1] & ~heads
+    left = fine[begin - 1] | heads
     right = fine[end] | np.isin(end, block.start)
     return left & right & ~inside & (end - begin <= 40)
 

@@ -70,3 +70,11 @@ def test_words_that_count(text, words):
     begin, end, _ = block.runs(LETTER)
     fine = ll._natural(block, begin, end)
     assert [block.joined[a:b] for a, b, f in zip(begin, end, fine) if f] == words
+
+
+def test_a_text_does_not_see_the_one_before():
+    from loamsift.llm.chars import LETTER
+
+    block = Block([ll.plain(t) for t in ("Ends here.", "The next", "x1", "2y z")])
+    begin, end, _ = block.runs(LETTER)
+    assert [block.joined[a:b] for a, b, f in zip(begin, end, ll._natural(block, begin, end)) if f] == ["ends", "here", "the", "next", "z"]

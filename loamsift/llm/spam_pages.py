@@ -39,6 +39,8 @@ _BULLET = re.compile(r"^\s*(?:\d{1,4}[.)]|[-–•+●*■◆○□◇])\s")
 PROSE, KEYWORDS, LINKS, TAGS, JUNK, SMALL = range(6)
 #: Share of a row's words that lie in advertising phrases; the others are made-up names.
 COVERAGE = 0.3
+#: So many lines of a word or two are a list; fewer are passed over.
+FEW = 8
 
 
 def phrase_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,9 +187,12 @@ class LineCounts:
             sums = np.concatenate(([0], np.cumsum(mask)))
             return sums[end] - sums[begin]
 
+        heads = block.start[:-1][block.start[:-1] < len(cp)]
+
         def starts(mask):
             out = mask.copy()
             out[1:] &= ~mask[:-1]
+            out[heads] = mask[heads]
             return out
 
         self.letters, self.digits = count(letter), count(digit)
@@ -197,6 +202,7 @@ class LineCounts:
         self.tokens = count(starts(~space))
         meet = np.zeros(len(cp), bool)
         meet[1:] = (letter[1:] & digit[:-1]) | (digit[1:] & letter[:-1])
+        meet[heads] = False
         self.meet = count(meet)
         self.hangul = count((cp >= 0xAC00) & (cp <= 0xD7A3)) * 2 > self.letters
 
@@ -276,12 +282,16 @@ def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict
                         shapes = [None] * len(body)
                     else:
                         body, shapes = body.tolist(), shapes.tolist()
-                    share, a, n = [0] * 6, int(start[p]), 0
+                    share, a, n, small = [0] * 6, int(start[p]), 0, 0
                     for k, shape in zip(body, shapes):
                         line = lines[k]
                         n += line.rstrip().endswith((".", "!", "?", "”", '"', "…", "。"))
                         if shape != HEADING:
-                            share[line_kind(line, *(c[a + k] for c in columns))] += len(line)
+                            kind = line_kind(line, *(c[a + k] for c in columns))
+                            share[kind] += len(line)
+                            small += kind == SMALL
+                    if small >= FEW:
+                        share[JUNK] += share[SMALL]
                     chosen += [a + k for k in body]
                     owner += [len(at)] * len(body)
                     ended.append(n / len(body))

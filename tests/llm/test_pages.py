@@ -59,9 +59,10 @@ def test_statistics(profiled, spark):
 
 
 def test_line_counts():
-    block = Block(["ab 1c\n\nx  y\n", "", "z9\n가나"])
+    block = Block(["ab 1c\n\nx  y\n", "", "z9\n가나", "다 1", "x"])
     c = sp.LineCounts(block)
-    assert c.first.tolist() == [0, 4, 5]
-    assert c.chars.tolist() == [5, 0, 4, 0, 0, 2, 2]
-    assert c.letters.tolist() == [3, 0, 2, 0, 0, 1, 2] and c.tokens.tolist() == [2, 0, 2, 0, 0, 1, 1] and c.meet.tolist() == [1, 0, 0, 0, 0, 1, 0]
-    assert c.hangul.tolist()[-1] is True
+    assert c.first.tolist() == [0, 4, 5, 7, 8]
+    assert c.chars.tolist() == [5, 0, 4, 0, 0, 2, 2, 3, 1]
+    assert c.letters.tolist() == [3, 0, 2, 0, 0, 1, 2, 1, 1] and c.tokens.tolist() == [2, 0, 2, 0, 0, 1, 1, 2, 1]
+    assert c.runs.tolist() == [2, 0, 2, 0, 0, 1, 1, 1, 1] and c.meet.tolist() == [1, 0, 0, 0, 0, 1, 0, 0, 0]
+    assert c.hangul.tolist()[-3:] == [True, True, False]

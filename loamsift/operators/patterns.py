@@ -6,6 +6,8 @@ dropped as a whole, and the lines of the kept runs remain.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +79,10 @@ def ptf(rows: DataFrame, k: Column | int = 3) -> DataFrame:
 
 def grid(rows: DataFrame, red: list[int], green: list[int], k: list[int] | None = None) -> DataFrame:
     """One row for each document and combination of parameters (a few, written by hand), with red, green, k and the experiment's name."""
-    spark = rows.sparkSession
-    combined = spark.range(1).select(F.explode(F.array(*map(F.lit, red))).alias("red")).select("red", F.explode(F.array(*map(F.lit, green))).alias("green"))
-    if k is not None:
-        combined = combined.select("red", "green", F.explode(F.array(*map(F.lit, k))).alias("k"))
-    combined = combined.withColumn("experiment", experiment_name(F.col("red"), F.col("green"), F.col("k") if k is not None else None))
-    return rows.crossJoin(F.broadcast(combined))
+    names = ("red", "green", "k") if k is not None else ("red", "green")
+    combined = [F.struct(*(F.lit(x).alias(n) for n, x in zip(names, values))) for values in itertools.product(red, green, *([k] if k is not None else []))]
+    out = rows.withColumn("_grid", F.explode(F.array(*combined))).select(*rows.columns, *(F.col(f"_grid.{n}").alias(n) for n in names))
+    return out.withColumn("experiment", experiment_name(*(F.col(n) for n in names)))
 
 
 def extracted(rows: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def ceil_div(a: Column, b: int) -> Column:
-    return F.expr("0") + F.ceil(a / b)
+    return F.ceil(a / b)
 
 
 def numbered(paths: DataFrame, by: list[str], order: list, name: str = "idx") -> DataFrame:

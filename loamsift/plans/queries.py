@@ -216,9 +216,11 @@ _LATEST = "r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """count_info with the latest row of each document."""
-    order = Window.partitionBy("doc_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("count").isNull(), F.xxhash64("text"))
-    return table(spark, folder, "count_info").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
+    """count_info with the latest row of each document; an aggregation, so that repeated rows go before the shuffle."""
+    rows = table(spark, folder, "count_info")
+    rest = [c for c in rows.columns if c != "doc_id"]
+    best = F.max_by(F.struct(*rest), F.struct("loaded_at", F.col("count").isNotNull(), F.xxhash64("text")))
+    return rows.groupBy("doc_id").agg(best.alias("x")).select("doc_id", "x.*")
 
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -119,14 +119,20 @@ def _size(n: int) -> int:
     return max(2 * BLOCK_CHARS, 1 << (n + 1).bit_length())
 
 
-def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, Block]]:
-    """Position of the first text and block, over all texts in order; null counts as empty."""
+def groups(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Position of the first text and texts of ``limit`` characters together, or one longer text, over all texts in order; null counts as empty."""
     first, size = 0, 0
     for k, t in enumerate(texts):
         n = len(t) if t else 0
         if k > first and size + n > limit:
-            yield first, Block([x or "" for x in texts[first:k]])
+            yield first, [x or "" for x in texts[first:k]]
             first, size = k, 0
         size += n
     if first < len(texts):
-        yield first, Block([x or "" for x in texts[first:]])
+        yield first, [x or "" for x in texts[first:]]
+
+
+def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, Block]]:
+    """The groups of the texts as blocks."""
+    for first, group in groups(texts, limit):
+        yield first, Block(group)

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .chars import Block
 from .token_stream import BYTE_BPE, Tokenizer, ship_tokenizer
 
 #: Strength of a cut: after a blank line, after a line end, after a sentence, at a blank, elsewhere, within a character.
@@ -56,7 +55,7 @@ def bisect(strength: np.ndarray, room: int) -> list[int]:
 
 def split_text(tokenizer: Tokenizer, text: str, max_tokens: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """(first token, end token, tokens shared with the piece before, text) of each piece; one piece if the text fits."""
-    ids, _, _, _ = tokenizer.block(Block([text]))
+    ids = np.array(tokenizer.encode(text), np.int32)
     data = text.encode("utf-8", "replace")
     at = np.concatenate(([0], np.cumsum([len(tokenizer.bytes_of[i]) for i in ids.tolist()]))).astype(np.int64)
     if len(ids) <= max_tokens:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import list_array, map_batches
-from .chars import Block, blocks
+from .chars import BLOCK_CHARS, Block, groups
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pretokens whose ids a worker keeps, and the longest that it keeps, in characters.
@@ -262,6 +262,24 @@ def pretoken_starts(block: Block) -> np.ndarray:
     return np.flatnonzero(opens[:n])
 
 
+def portions(text: str, size: int = BLOCK_CHARS):
+    """A text cut where a pretoken begins whatever stands around: before a blank between a character that is none and a letter."""
+    begin = 0
+    while len(text) - begin > size:
+        cut = text.rfind(" ", begin + 1, begin + size)
+        while cut > 0 and (text[cut - 1].isspace() or not text[cut + 1].isalpha()):
+            cut = text.rfind(" ", begin + 1, cut)
+        if cut <= begin:  # no such place in the portion: the next one
+            cut = begin + size
+            while 0 <= (cut := text.find(" ", cut + 1)) < len(text) - 1 and (text[cut - 1].isspace() or not text[cut + 1].isalpha()):
+                pass
+            if not 0 < cut < len(text) - 1:
+                break
+        yield text[begin:cut]
+        begin = cut
+    yield text[begin:]
+
+
 class Tokenizer:
     """Ids of whole texts."""
 
@@ -297,8 +315,17 @@ class Tokenizer:
         text = np.searchsorted(block.start, begin, "right") - 1
         return flat[at], np.bincount(text, counts, len(block.texts)).astype(np.int64), begin, counts
 
+    def encoded(self, texts: list[str | None]):
+        """First text, ids laid end to end and their number by text, for groups of the texts; a long text goes through in portions."""
+        for first, group in groups(texts):
+            if len(group) == 1 and len(group[0]) > BLOCK_CHARS:
+                ids = np.concatenate([self.block(Block([p]))[0] for p in portions(group[0])])
+                yield first, ids, np.array([len(ids)], np.int64)
+            else:
+                yield first, *self.block(Block(group))[:2]
+
     def encode(self, text: str) -> list[int]:
-        return [i for _, b in blocks([text]) for i in self.block(b)[0].tolist()]
+        return [i for _, ids, _ in self.encoded([text]) for i in ids.tolist()]
 
     def decode(self, ids: list[int]) -> str:
         d = TextDecoder()
@@ -326,8 +353,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         t = get()
 
         def each(batch):
-            for first, block in blocks(batch.column(1).to_pylist()):
-                ids, counts, _, _ = t.block(block)
+            for first, ids, counts in t.encoded(batch.column(1).to_pylist()):
                 yield {"_id": batch.column(0).slice(first, len(counts)), "ids": list_array(ids, counts, pa.int32())}
 
         return each
@@ -345,8 +371,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         t = get()
 
         def each(batch):
-            for first, block in blocks(batch.column(batch.num_columns - 1).to_pylist()):
-                counts = t.block(block)[1]
+            for first, _, counts in t.encoded(batch.column(batch.num_columns - 1).to_pylist()):
                 yield {batch.schema.names[k]: batch.column(k).slice(first, len(counts)) for k in range(batch.num_columns - 1)} | {"tokens": counts}
 
         return each

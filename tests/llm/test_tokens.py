@@ -106,3 +106,13 @@ def test_pieces(ours):
     assert all(p[3] == ours.decode(ids[p[0] : p[1]]) for p in pieces)
     assert any(p[3].endswith("\n\n") for p in pieces[:-1])
     assert splitting.split_text(ours, "short", 150, 20) == [(0, 1, 0, "short")]
+
+
+def test_long_texts_go_through_in_portions(ours, theirs):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word", " and", "  two", "\n", " 12", "'s", " x", ".", " 한글"]) for _ in range(20000))
+    parts = list(ts.portions(text, 500))
+    assert "".join(parts) == text and len(parts) > 50
+    assert [i for p in parts for i in ours.encode(p)] == theirs(text)
+    assert list(ts.portions("ab" * 3000, 500)) == ["ab" * 3000]
+    assert list(ts.portions("a" * 900 + " b" + "c" * 700 + "  d", 500)) == ["a" * 900, " b" + "c" * 700 + "  d"]

@@ -70,8 +70,8 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _term_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents, info = table(spark, folder, "documents"), table(spark, folder, "count_info")
-    texts = marked(text_term_counts(documents), documents.where("text is not null and text <> ''").agg(F.count("*").alias("total")))
-    values = marked(value_term_counts(info, "doc_id", "count"), info.agg(F.count_distinct("doc_id").alias("total")))
+    texts = marked(text_term_counts(documents), documents.where("text is not null and text <> ''").count())
+    values = marked(value_term_counts(info, "doc_id", "count"), info.agg(F.count_distinct("doc_id")).first()[0])
     return texts.withColumn("field", F.lit("text")).unionByName(values.withColumn("field", F.lit("count")))
 
 

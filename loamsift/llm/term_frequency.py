@@ -174,8 +174,6 @@ def value_term_counts(rows: DataFrame, record_col: str, values_col: str, salts:
     return _summed(map_batches(rows, Count, _DDL))
 
 
-def marked(counts: DataFrame, records: DataFrame, rare_below: int = 3, common_above: float = 0.25) -> DataFrame:
-    """counts with ``mark``: rare in fewer than rare_below records, common in more than the share common_above of them, else null. records: one row with the column ``total``."""
-    return counts.crossJoin(F.broadcast(records)).withColumn(  # one row
-        "mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_above) * F.col("total"), "common")
-    ).drop("total")
+def marked(counts: DataFrame, total: int, rare_below: int = 3, common_above: float = 0.25) -> DataFrame:
+    """counts with ``mark``: rare in fewer than rare_below records, common in more than the share common_above of the total records, else null."""
+    return counts.withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total, "common"))

@@ -46,5 +46,4 @@ def test_values_of_a_hot_record(spark):
 
 def test_marks(spark):
     counts = spark.createDataFrame([("a", 1), ("b", 3), ("c", 30), ("d", 25)], "term string, records long")
-    total = spark.createDataFrame([(100,)], "total long")
-    assert {r.term: r.mark for r in tf.marked(counts, total).collect()} == {"a": "rare", "b": None, "c": "common", "d": None}
+    assert {r.term: r.mark for r in tf.marked(counts, 100).collect()} == {"a": "rare", "b": None, "c": "common", "d": None}

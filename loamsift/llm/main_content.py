@@ -11,12 +11,14 @@ pages by array operations, and max-flow is left with the few lines in doubt.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .arrow import map_batches
 from .language_labels import plain
@@ -76,7 +78,11 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
     """shape of a line that is plain already."""
     s = line.strip()
-    t = _COUNTER.sub("", s.strip(_MARKS)).strip(_MARKS)
+    if len(s) >= 160 and s[0].isalpha() and s.endswith(_ENDS) and " | " not in s and " > " not in s:
+        return SENTENCE, 3.0  # too long for a notice or an entry
+    t = s.strip(_MARKS)
+    if t.endswith(")") and len(t) < 100:
+        t = _COUNTER.sub("", t).strip(_MARKS)
     words = t.split()
     if t in HEADINGS:
         return HEADING, 1.5
@@ -293,10 +299,11 @@ class BodyFinder:
         return [x[y] for x, y in zip(lines, every)], [x[y] for x, y in zip(shapes_, every)], lines
 
 
-def latest_rows(rows: DataFrame, id_col: str, time_col: str) -> DataFrame:
-    """One row of each id, that of the latest time; of equal times one with counts is taken."""
-    order = Window.partitionBy(id_col).orderBy(F.col(time_col).desc_nulls_last(), F.col("count").isNull(), F.xxhash64(*[F.to_json(F.struct("count")), F.col("text")]))
-    return rows.withColumn("_rank_of_row", F.row_number().over(order)).where("_rank_of_row = 1").drop("_rank_of_row")
+def latest_rows(rows: DataFrame, id_col: str, time_col: str, count_col: str = "count") -> DataFrame:
+    """One row of each id, that of the latest time; of equal times one with counts is taken. Repeated rows go before the shuffle."""
+    rest = [c for c in rows.columns if c != id_col]
+    order = F.struct(F.col(time_col), F.col(count_col).isNotNull(), F.xxhash64(*(c for c in rest if not isinstance(rows.schema[c].dataType, MapType))))
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), order).alias("_of_latest")).select(id_col, "_of_latest.*")
 
 
 _SHORT = 60
@@ -310,15 +317,15 @@ def _short_lines(text) -> F.Column:
     return F.array_distinct(F.filter(cut, lambda x: (x != "") & (F.length(x) <= _SHORT)))
 
 
-def counted_terms(rows: DataFrame, text_col: str = "text", count_col: str = "count", least: int = 500, rows_least: int = 3) -> set[str]:
-    """Short lines whose median count over all rows is ``least`` or more, headings left out.
+def counted_terms(rows: DataFrame, text_col: str = "text", count_col: str = "count", least: int = 500, rows_least: int = 3, share: float = 0.0005) -> set[str]:
+    """Short lines whose median count is ``least`` or more, headings left out, of those that stand in more than ``share`` of the rows and in rows_least of them.
 
-    A line reaches that in a few rows only if it stands in many documents of the crawl, so there are
-    at most as many as the menus and labels of the sites; the rows' own lines are not collected.
+    There are at most (lines of a row) / share of them, whatever the number of rows.
     """
     lines = rows.where(F.size(F.split(text_col, "\n")) == F.size(count_col)).select(F.explode(F.arrays_zip(F.split(text_col, "\n").alias("line"), F.col(count_col).alias("n"))).alias("x"))
     lines = lines.select(F.trim("x.line").alias("line"), F.col("x.n").alias("n")).where((F.length("line") > 0) & (F.length("line") <= _SHORT) & F.col("n").isNotNull())
-    found = lines.groupBy("line").agg(F.count("*").alias("rows"), F.percentile_approx("n", 0.5, 100).alias("median")).where((F.col("rows") >= rows_least) & (F.col("median") >= least))
+    enough = max(rows_least, math.ceil(share * rows.count()))
+    found = lines.groupBy("line").agg(F.count("*").alias("rows"), F.percentile_approx("n", 0.5, 100).alias("median")).where((F.col("rows") >= enough) & (F.col("median") >= least))
     return {t for r in found.select("line").collect() if (t := term(r.line)) and t not in HEADINGS and t not in RELATED and len(t.split()) <= 8 and not t.endswith((".", "!", "?"))}
 
 

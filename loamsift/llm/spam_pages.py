@@ -146,14 +146,10 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
     return np.sort(h[n >= ratio * others])
 
 
-def covered_words(block: Block, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By line, numbered through the block: words, words within an advertising phrase; and the first line of each text."""
-    h, _, line, _, pair = phrase_hashes(block)
-    breaks = np.cumsum(block.cp == 10)
-    first = np.concatenate(([0], breaks))[block.start[:-1]] + np.arange(len(block.texts))
-    lines = (int(breaks[-1]) if len(breaks) else 0) + len(block.texts)
+def covered_words(h: np.ndarray, line: np.ndarray, pair: np.ndarray, lines: int, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By line, numbered through the block: words, and words within an advertising phrase. h, line and pair as phrase_hashes has them."""
     if not len(h) or not len(phrases):
-        return np.bincount(line, minlength=lines) if len(h) else np.zeros(lines, np.int64), np.zeros(lines, np.int64), first
+        return np.bincount(line, minlength=lines) if len(h) else np.zeros(lines, np.int64), np.zeros(lines, np.int64)
 
     def known(x):
         at = np.minimum(np.searchsorted(phrases, x), len(phrases) - 1)
@@ -162,7 +158,7 @@ def covered_words(block: Block, phrases: np.ndarray) -> tuple[np.ndarray, np.nda
     two = known(pair) & (pair != 0)
     hit = known(h) | two
     hit[1:] |= two[:-1]
-    return np.bincount(line, minlength=lines), np.bincount(line[hit], minlength=lines), first
+    return np.bincount(line, minlength=lines), np.bincount(line[hit], minlength=lines)
 
 
 class LineCounts:
@@ -264,8 +260,10 @@ def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict
         def each(batch):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for first, block in blocks([plain(t) for t in texts]):
-                words, covered, start = covered_words(block, phrases)
                 count = LineCounts(block)
+                start = count.first
+                h, _, line_of, _, pair = phrase_hashes(block)
+                words, covered = covered_words(h, line_of, pair, len(count.chars), phrases)
                 columns = [x.tolist() for x in (words, covered, count.letters, count.ink, count.runs, count.tokens, count.meet, count.hangul)]
                 dense = 4.0 * ((words >= 4) & (covered >= COVERAGE * words))  # rows of advertising are no menu
                 split = [t.split("\n") for t in block.texts]
@@ -303,12 +301,11 @@ def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict
                 of = lambda x: np.bincount(owner, x[chosen], n)
                 letters, digits, ink, runs = of(count.letters), of(count.digits), np.maximum(1, of(count.ink)), of(count.runs)
                 # frequent words of each language, by line and then by document
-                h, _, line, _, _ = phrase_hashes(block)
                 best = np.zeros(n)
                 if len(h) and len(frequent):
                     where = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                     hit = frequent[where] == h
-                    best = np.stack([of(np.bincount(line[hit], languages[where[hit], k], len(words))) for k in range(languages.shape[1])]).max(axis=0)
+                    best = np.stack([of(np.bincount(line_of[hit], languages[where[hit], k], len(words))) for k in range(languages.shape[1])]).max(axis=0)
                 share = np.array(shares, np.float64)
                 total = share[:, :5].sum(axis=1)
                 share[total == 0, JUNK] = np.maximum(1, share[total == 0, SMALL])  # small lines count where there is nothing else

@@ -53,6 +53,8 @@ NOTICE = re.compile(
 # Site names with what they are about.
 _SLOGAN = re.compile(" - (stories from|nachrichten aus|la vie à|historias de|histórias de) | 이야기$")
 _MARKS = "»*•·| \t\r>"
+#: Entries of menus and titles are no longer than this, notes about a site no longer than that.
+_SHORT, _NOTE = 60, 400
 _COUNTER = re.compile(r"\s*\(\d+\)$")
 _NUMBERED = re.compile(r"^\s*(\d{1,4}[.)]|[-–•+])\s")
 _ENDS = tuple(".!?…。！？”’\"')]:;") + ("🙂", "❤️", "❤", "👩‍🔧")
@@ -79,7 +81,7 @@ def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float
     """shape of a line that is plain already."""
     s = line.strip()
     if len(s) >= 160 and s[0].isalpha() and s.endswith(_ENDS) and " | " not in s and " > " not in s:
-        return SENTENCE, 3.0  # too long for a notice or an entry
+        return (SENTENCE, 0.0) if s in terms else (SENTENCE, 3.0)  # too long for a notice or an entry
     t = s.strip(_MARKS)
     if t.endswith(")") and len(t) < 100:
         t = _COUNTER.sub("", t).strip(_MARKS)
@@ -91,7 +93,7 @@ def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float
     if len(s) < 160 and (NOTICE.search(s) or _SLOGAN.search(t)):
         return FURNITURE, -4.0
     if t in terms:
-        return FURNITURE, -4.0
+        return (SENTENCE, 0.0) if len(s) > _SHORT else (FURNITURE, -4.0)
     if s.startswith("* ") and len(s) < 80:
         return STARRED, -2.0
     parts = _JOINED.split(s)
@@ -109,6 +111,8 @@ def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float
     letters = len(_NO_LETTERS.sub("", s))
     if letters * 2 < len(s.replace(" ", "")) or len(s) >= 80 or any(c in s for c in "\t;={}/_"):
         return OTHER, 2.0  # figures, tables, code, long lines
+    if s.endswith(" ..."):
+        return TITLE, -1.0
     if len(words) >= 9 or ("가" <= t[:1] <= "힣" and len(words) >= 7):
         return LONG, 2.0
     if len(words) <= 8:
@@ -255,8 +259,8 @@ class BodyFinder:
             for k, (kind, c) in zip(own, shapes):
                 if kind == RELATED_HEAD:
                     after_head = 8
-                elif kind == TITLE and after_head:
-                    c -= 2.5
+                elif after_head and (kind == TITLE or (kind == LONG and len(lines[k]) < _SHORT)):
+                    c -= 2.5 if kind == TITLE else 4.5
                     after_head -= 1
                 elif kind != FURNITURE:
                     after_head = 0
@@ -306,9 +310,6 @@ def latest_rows(rows: DataFrame, id_col: str, time_col: str, count_col: str = "c
     return rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), order).alias("_of_latest")).select(id_col, "_of_latest.*")
 
 
-_SHORT = 60
-
-
 def _short_lines(text) -> F.Column:
     """Distinct short lines of a text, and parts of lines between bars, without the marks around them; case is kept."""
     short = F.filter(F.split(text, "\n"), lambda x: (x != "") & (F.length(x) <= 4 * _SHORT))
@@ -317,16 +318,24 @@ def _short_lines(text) -> F.Column:
     return F.array_distinct(F.filter(cut, lambda x: (x != "") & (F.length(x) <= _SHORT)))
 
 
+def _entries(lines: list[str], most_words: int) -> set[str]:
+    """Terms of the lines, without headings and whole sentences."""
+    found = {t for x in lines if (t := term(x)) and len(t.split()) <= most_words and any(c.isalpha() for c in t)}
+    return {t for t in found - HEADINGS - RELATED if t.endswith("...") or not t.endswith((".", "!", "?", "”", '"'))}
+
+
 def counted_terms(rows: DataFrame, text_col: str = "text", count_col: str = "count", least: int = 500, rows_least: int = 3, share: float = 0.0005) -> set[str]:
-    """Short lines whose median count is ``least`` or more, headings left out, of those that stand in more than ``share`` of the rows and in rows_least of them.
+    """Short lines whose median count is ``least`` or more, headings left out, and sentences about a site: lines of a median count of half of it, in twice as many rows, that are no quotation.
 
-    There are at most (lines of a row) / share of them, whatever the number of rows.
+    Only lines in more than ``share`` of the rows, and in rows_least of them, are looked at: there are
+    at most (lines of a row) / share of them, whatever the number of rows.
     """
     lines = rows.where(F.size(F.split(text_col, "\n")) == F.size(count_col)).select(F.explode(F.arrays_zip(F.split(text_col, "\n").alias("line"), F.col(count_col).alias("n"))).alias("x"))
-    lines = lines.select(F.trim("x.line").alias("line"), F.col("x.n").alias("n")).where((F.length("line") > 0) & (F.length("line") <= _SHORT) & F.col("n").isNotNull())
+    lines = lines.select(F.trim("x.line").alias("line"), F.col("x.n").alias("n")).where((F.length("line") > 0) & (F.length("line") <= _NOTE) & F.col("n").isNotNull())
     enough = max(rows_least, math.ceil(share * rows.count()))
-    found = lines.groupBy("line").agg(F.count("*").alias("rows"), F.percentile_approx("n", 0.5, 100).alias("median")).where((F.col("rows") >= enough) & (F.col("median") >= least))
-    return {t for r in found.select("line").collect() if (t := term(r.line)) and t not in HEADINGS and t not in RELATED and len(t.split()) <= 8 and not t.endswith((".", "!", "?"))}
+    found = lines.groupBy("line").agg(F.count("*").alias("rows"), F.percentile_approx("n", 0.5, 100).alias("median")).where((F.col("rows") >= enough) & (F.col("median") >= least // 2)).collect()
+    notes = {term(r.line) for r in found if len(r.line) >= 25 and r.rows >= 2 * enough and r.line.endswith((".", "!", "?")) and not _QUOTATION.match(r.line)}
+    return _entries([r.line for r in found if len(r.line) <= _SHORT and r.median >= least], 8) | notes
 
 
 def shared_terms(docs: DataFrame, text_col: str = "text", host_col: str = "host", share: float = 0.01) -> set[str]:
@@ -337,7 +346,7 @@ def shared_terms(docs: DataFrame, text_col: str = "text", host_col: str = "host"
     pairs = docs.where(F.col(host_col).isNotNull() & F.col(text_col).isNotNull()).select(host_col, F.explode(_short_lines(F.col(text_col))).alias("line"))
     hosts = docs.agg(F.count_distinct(host_col)).first()[0]  # one number
     found = pairs.distinct().groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") > max(2.0, share * hosts))
-    return {t for r in found.select("line").collect() if (t := term(r.line)) and t not in HEADINGS and t not in RELATED and not t.endswith((".", "!", "?", "”", '"')) and any(c.isalpha() for c in t) and len(t.split()) <= 6}
+    return _entries([r.line for r in found.select("line").collect()], 6)
 
 
 def body_lines(pages: DataFrame, terms: set[str], id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "count", skip_title: bool = False) -> DataFrame:

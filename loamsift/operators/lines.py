@@ -51,16 +51,20 @@ def seen_more_than(maps: DataFrame, n: int = 1, value: str = "df") -> DataFrame:
     return maps.where(F.col(value) > n)
 
 
-def count_info(docs: DataFrame, frequency: DataFrame, scope: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, scope, text without its title line, count): for each line the df of its key in the scope, 0 where it has none, 65535 at most.
+def counted_lines(docs: DataFrame, frequency: DataFrame, scope: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, scope, lines, counts): the lines after the title, and for each the df of its key in the scope, 0 where it has none, 65535 at most.
 
     Documents of one line have none left and are dropped. Only keys travel to the join; ids are unique.
     """
-    body = without_title(lines_of(F.col(text_col)))
-    some = docs.where(f"{text_col} is not null").select(id_col, *scope, body.alias("lines")).where(F.size("lines") > 0)
+    some = docs.where(F.col(text_col).contains("\n")).select(id_col, *scope, without_title(lines_of(F.col(text_col))).alias("lines"))
     wanted = some.select(id_col, *scope, F.posexplode(F.transform("lines", normalize_for_dedup)).alias("line_no", "line_key"))
     found = wanted.join(frequency, [*scope, "line_key"], "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", saturating(F.coalesce("df", F.lit(0))).alias("n")))).alias("found"))
-    return some.join(found, id_col).select(id_col, *scope, F.array_join("lines", "\n").alias("text"), F.transform("found", lambda x: x["n"]).alias("count"))
+    return some.join(found, id_col).select(id_col, *scope, "lines", F.col("found.n").alias("counts"))
+
+
+def count_info(docs: DataFrame, frequency: DataFrame, scope: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """counted_lines as (id, scope, text, count)."""
+    return counted_lines(docs, frequency, scope, id_col, text_col).select(id_col, *scope, F.array_join("lines", "\n").alias("text"), F.col("counts").alias("count"))
 
 
 def ends_in_punctuation(line: Column) -> Column:

@@ -61,20 +61,23 @@ def counted(rows: DataFrame, text_col: str = "text", count_col: str = "count") -
     return rows.where(f"{text_col} is not null and {text_col} <> ''").withColumn("lines", lines_of(F.col(text_col))).where(F.size("lines") == F.size(count_col)).withColumn("counts", F.col(count_col))
 
 
+def _with_lines(rows: DataFrame, lines: Column) -> DataFrame:
+    """rows with other lines. Exploding an array of one is a barrier: the expression is evaluated once, not again in each later use of the column."""
+    return rows.select(*(c for c in rows.columns if c != "lines"), F.explode(F.array(lines)).alias("lines"))
+
+
 def ld(rows: DataFrame, threshold: int = 1) -> DataFrame:
     """Lines of at most ``threshold`` documents remain."""
     pairs = F.filter(F.arrays_zip("lines", "counts"), lambda z: F.coalesce(z["counts"], F.lit(0)) <= threshold)
-    return rows.withColumn("lines", F.transform(pairs, lambda z: z["lines"]))
+    return _with_lines(rows, F.transform(pairs, lambda z: z["lines"]))
 
 
 def pld(rows: DataFrame, red: Column | int = 1000, green: Column | int = 1) -> DataFrame:
-    coloured = rows.withColumn("_mask", pld_mask(colours(F.col("lines"), F.col("counts"), red, green)))
-    return coloured.withColumn("lines", kept(F.col("lines"), F.col("_mask"))).drop("_mask")
+    return _with_lines(rows, kept(F.col("lines"), pld_mask(colours(F.col("lines"), F.col("counts"), red, green))))
 
 
 def ptf(rows: DataFrame, k: Column | int = 3) -> DataFrame:
-    coloured = rows.withColumn("_mask", ptf_mask(ending_colours(F.col("lines")), k))
-    return coloured.withColumn("lines", kept(F.col("lines"), F.col("_mask"))).drop("_mask")
+    return _with_lines(rows, kept(F.col("lines"), ptf_mask(ending_colours(F.col("lines")), k)))
 
 
 def grid(rows: DataFrame, red: list[int], green: list[int], k: list[int] | None = None) -> DataFrame:

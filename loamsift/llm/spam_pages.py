@@ -29,6 +29,8 @@ from .main_content import HEADING, BodyFinder
 
 _U64 = np.uint64
 SKETCH_BITS = 18
+#: Buckets of the sketch that are summed together.
+_PART = 1 << 13
 _ENDS = np.array(sorted(ord(c) for c in ".!?…。！？”’\"'"), np.uint32)
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\)\]>]+")
 _TAG = re.compile(r"(?:^|[\s,;|])(?:#|tag:)[^\W\d_]{3,}")
@@ -84,11 +86,12 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], o[new]
 
 
-def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", share: float = 0.01, ratio: float = 0.2) -> np.ndarray:
+def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", share: float = 0.01, page_share: float = 0.002, ratio: float = 0.2) -> np.ndarray:
     """Hashes of the phrases of rows on more than ``share`` of all hosts (three at least) and on at least ``ratio`` pages for each page that has them in other lines.
 
-    At most (phrases of a host) / share of them come to the driver, whatever the number of pages.
-    Rows without a host count as one host.
+    They also stand on at least ``page_share`` of the pages with such rows, so at most (phrases of a
+    page) / page_share of them come to the driver, whatever the number of pages. Pages without a host
+    count as those of one host.
     """
     buckets = 1 << SKETCH_BITS
 
@@ -115,35 +118,46 @@ def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
                 self.sketch += np.bincount(bucket_of(once << _U64(24)), minlength=buckets)
                 p, o = _distinct(both[kind], owner[kind])
                 some, counts = np.unique(o, return_counts=True)
-                yield {"host": hosts.slice(first, n).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64()), "sketch": pa.nulls(len(some), pa.binary())}
+                yield {"host": hosts.slice(first, n).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64()), "part": pa.nulls(len(some), pa.int32()), "sketch": pa.nulls(len(some), pa.binary())}
 
         def finish(self):
-            yield {"host": [None], "phrases": [None], "sketch": [self.sketch.tobytes()]}
+            parts = [self.sketch[i : i + _PART].astype(np.int32).tobytes() for i in range(0, buckets, _PART)]
+            yield {"host": [None] * len(parts), "phrases": [None] * len(parts), "part": list(range(len(parts))), "sketch": parts}
 
     class Add:
         def __init__(self):
-            self.sum = np.zeros(buckets, np.int64)
+            self.sums = {}
 
         def __call__(self, batch):
-            for x in batch.column(0).to_pylist():
-                self.sum += np.frombuffer(x, np.int64)
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                self.sums[part] = self.sums.get(part, 0) + np.frombuffer(x, np.int32).astype(np.int64)
             return ()
 
         def finish(self):
-            yield {"sketch": [self.sum.tobytes()]}
+            if self.sums:
+                yield {"part": list(self.sums), "sketch": [x.tobytes() for x in self.sums.values()]}
 
     rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("_text")).where("_text is not null")
-    collected = cut(map_batches(rows, Collect, "host string, phrases array<long>, sketch binary"))
+    collected = cut(map_batches(rows, Collect, "host string, phrases array<long>, part int, sketch binary"))
     pages = np.zeros(buckets, np.int64)
-    for r in map_batches(collected.where("sketch is not null").select("sketch").coalesce(8), Add, "sketch binary").collect():  # eight of fixed size
-        pages += np.frombuffer(bytes(r.sketch), np.int64)
+    for r in map_batches(collected.where("part is not null").select("part", "sketch").repartition("part"), Add, "part int, sketch binary").collect():  # of fixed size
+        pages[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(bytes(r.sketch), np.int64)
+    others = np.maximum(0, pages - np.median(pages)).astype(np.float32)
+
+    def chosen():
+        def each(batch):
+            h, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield {"phrase": h[n >= ratio * others[bucket_of(h.view(_U64))]]}
+
+        return each
+
+    with_rows = collected.where("phrases is not null")
     hosts = docs.agg(F.count_distinct(host_col)).first()[0]  # one number
-    counted = collected.where("phrases is not null").select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count("*").alias("pages"))
-    counted = counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where(F.col("hosts") > max(2.0, share * hosts))
-    found = counted.select("phrase", "pages").collect()
-    h, n = np.array([r.phrase for r in found], np.int64).view(_U64), np.array([r.pages for r in found], np.float64)
-    others = np.maximum(0, pages[bucket_of(h)] - np.median(pages))
-    return np.sort(h[n >= ratio * others])
+    least = max(3.0, page_share * with_rows.count())
+    counted = with_rows.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count("*").alias("pages"))
+    counted = counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where((F.col("hosts") > max(2.0, share * hosts)) & (F.col("pages") >= least))
+    found = map_batches(counted.select("phrase", "pages"), chosen, "phrase long").collect()
+    return np.sort(np.array([r.phrase for r in found], np.int64).view(_U64))
 
 
 def covered_words(h: np.ndarray, line: np.ndarray, pair: np.ndarray, lines: int, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

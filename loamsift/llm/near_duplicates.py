@@ -7,10 +7,10 @@ remain, throws each into one of ``k`` bins, and of each bin keeps the dart of le
 agree in a bin with a probability equal to their weighted Jaccard similarity, at a cost that grows
 with shingles + k ln k rather than with shingles x k.
 
-Shingles found in many texts ("read more about") would put unrelated texts into one band, so an
-element's weight falls with the number of texts that hold its bucket of a count sketch. The sketch
-has a fixed size and sees every text but the many copies of one. Weights only steer which pairs are
-compared: the result rests on the exact, unweighted Jaccard similarity.
+Every shingle weighs the same here, so the chance that a pair is compared depends on its similarity
+alone and not on how many other texts hold what it shares. Texts that share a menu or a notice meet in
+bands too; of these pairs, those whose signatures agree too seldom are dropped before sets are sent.
+The result rests on the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from .arrow import list_array, map_batches
 from .chars import DIGIT, LETTER, blocks, mix
 from .checkpoints import cut
 
-#: Weights lie in [FLOOR, 1]; weight cells are [0, 1/64), [1/64, 1/8), [1/8, 1).
-FLOOR = 1 / 64
+#: Weights lie in (0, 1]; weight cells are [0, 1/64), [1/64, 1/8), [1/8, 1).
 _WEIGHT_CELLS = ((0.0, 1 / 64), (1 / 64, 1 / 8), (1 / 8, 1.0))
-SKETCH_BITS, SKETCH_ROWS = 16, 2
-_CHUNK = 4096
+#: Standard deviations below the threshold at which signatures disagree too much for a pair to be checked.
+SLACK = 5.0
 _U64 = np.uint64
 
 
@@ -141,63 +140,12 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray,
     return best.reshape(sets, k), held.reshape(sets, k)
 
 
-class CountSketch:
-    """How many texts hold the shingles of each bucket, with SKETCH_ROWS independent rows of 2**SKETCH_BITS buckets."""
-
-    @staticmethod
-    def buckets(s: np.ndarray) -> list[np.ndarray]:
-        mask = _U64((1 << SKETCH_BITS) - 1)
-        return [((s >> _U64(16 * row + 5)) & mask).astype(np.int64) for row in range(SKETCH_ROWS)]
-
-    def __init__(self, counts: np.ndarray, texts: int):
-        counts = counts.reshape(SKETCH_ROWS, -1).astype(np.float64)
-        noise = counts.mean(axis=1, keepdims=True)
-        self.counts = np.maximum(0, counts - noise).astype(np.float32)
-        self.texts = texts
-
-    def count(self, s: np.ndarray) -> np.ndarray:
-        return np.minimum.reduce([self.counts[row][b] for row, b in enumerate(self.buckets(s))])
-
-
-def _sketch(texts: DataFrame, words: int, hot: np.ndarray) -> CountSketch:
-    """hot: sorted keys of the sets that many texts share; those texts are not counted."""
-    size = SKETCH_ROWS << SKETCH_BITS
-
-    class Count:
-        def __init__(self):
-            self.counts, self.texts = np.zeros(size, np.int64), 0
-
-        def __call__(self, batch):
-            self.texts += batch.num_rows
-            for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
-                if len(hot):
-                    s = s[np.repeat(~np.isin(set_keys(s, counts), hot), counts)]
-                for row, b in enumerate(CountSketch.buckets(s)):
-                    self.counts[row << SKETCH_BITS : row + 1 << SKETCH_BITS] += np.bincount(b, minlength=1 << SKETCH_BITS)
-            return ()
-
-        def finish(self):
-            parts = [self.counts[i : i + _CHUNK].tobytes() for i in range(0, size, _CHUNK)]
-            yield {"part": [*range(len(parts)), -1], "sums": [*parts, np.array([self.texts]).tobytes()]}
-
-    class Add:
-        def __init__(self):
-            self.sums = {}
-
-        def __call__(self, batch):
-            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                self.sums[part] = self.sums.get(part, 0) + np.frombuffer(sums, np.int64)
-            return ()
-
-        def finish(self):
-            if self.sums:
-                yield {"part": list(self.sums), "sums": [x.tobytes() for x in self.sums.values()]}
-
-    ddl = "part int, sums binary"
-    rows = map_batches(map_batches(texts, Count, ddl).repartition(8, "part"), Add, ddl).collect()  # fixed size
-    sums = {r.part: np.frombuffer(bytes(r.sums), np.int64) for r in rows}
-    counts = np.concatenate([sums[i] for i in range(size // _CHUNK)]) if sums else np.zeros(size, np.int64)
-    return CountSketch(counts, int(sums[-1][0]) if sums else 0)
+def _sketches(darts: np.ndarray) -> np.ndarray:
+    """Two bits of each dart of a signature, packed into 64-bit words: equal darts agree in both, others in each by chance."""
+    h = mix(darts)
+    bits = np.stack([(h >> _U64(j)) & _U64(1) for j in (3, 7)], axis=2).astype(np.uint8).reshape(len(darts), -1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _pack(s: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -226,15 +174,14 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 3, common: float = 0.005, common_least: int = 50
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the links between classes.
 
     Returns members (``id_col``, class) and links (class_a, class_b, similarity), each pair once,
     for all pairs of classes that share a band and whose Jaccard similarity reaches the threshold.
     Null and empty texts, and those of fewer than ``words`` words, have no shingles and are in no
-    class. Ids need not be unique (equal rows stay equal rows). Shingles found in more texts than the
-    share ``common``, and than ``common_least``, weigh less in the signatures in proportion, 1/64 at least.
+    class. Ids need not be unique (equal rows stay equal rows).
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null and _text <> ''")
     k = bands * rows
@@ -247,18 +194,16 @@ def near_duplicate_classes(
 
         return each
 
-    # a class that holds more than 1/1000 of the texts is one of 1000 at most
     members = cut(map_batches(docs, keyed, f"_id {docs.schema['_id'].dataType.simpleString()}, class long").withColumnRenamed("_id", id_col))
-    total = members.count()
-    hot = np.sort(np.array([r["class"] for r in members.groupBy("class").count().where(F.col("count") > max(common_least, total / 1000)).collect()], np.int64))
-    sketch = _sketch(docs.select("_text"), words, hot)
-    often = max(common_least, common * sketch.texts)
+    words64 = -(-2 * k // 64)
+    spread = (1 - threshold) * k
+    most_bits = spread + SLACK * (threshold * spread + spread / 2) ** 0.5
+    least_darts = threshold * k - SLACK * (threshold * spread) ** 0.5
 
     def signed():
         def each(batch):
             for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
-                weight = np.maximum(FLOOR, np.minimum(1.0, often / np.maximum(sketch.count(s), 1.0)))
-                darts, held = dart_minhash(s, weight, counts, k)
+                darts, held = dart_minhash(s, np.ones(len(s)), counts, k)
                 with np.errstate(over="ignore"):
                     band = np.zeros((len(counts), bands), _U64)
                     for j in range(rows):
@@ -266,7 +211,10 @@ def near_duplicate_classes(
                     band = mix(band + np.arange(bands, dtype=_U64))
                 full = np.logical_and.reduce([held[:, j::rows] for j in range(rows)])
                 some = np.flatnonzero(full.any(axis=1))
-                yield {"class": set_keys(s, counts)[some], "size": counts[some], "bands": list_array(band[some][full[some]].view(np.int64), full[some].sum(axis=1), pa.int64())}
+                sketch = _sketches(darts[some])
+                low = darts[some].astype(np.uint8)
+                columns = {f"w{j}": sketch[:, j] for j in range(words64)} | {"darts": [x.tobytes() for x in low]}
+                yield columns | {"class": set_keys(s, counts)[some], "size": counts[some], "bands": list_array(band[some][full[some]].view(np.int64), full[some].sum(axis=1), pa.int64())}
 
         return each
 
@@ -279,13 +227,27 @@ def near_duplicate_classes(
 
         return each
 
-    signatures = map_batches(docs.select("_text"), signed, "class long, size int, bands array<long>").groupBy("class").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    banded = signatures.select("class", "size", F.explode("bands").alias("band"))
-    a, b = banded.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), "band"), banded.select(F.col("class").alias("class_b"), F.col("size").alias("size_b"), "band")
+    ws = [f"w{j}" for j in range(words64)]
+    ddl = "class long, size int, darts binary, bands array<long>, " + ", ".join(f"{w} long" for w in ws)
+    signatures = cut(map_batches(docs.select("_text"), signed, ddl).dropDuplicates(["class"]))
+    banded = signatures.select("class", "size", *ws, F.explode("bands").alias("band"))
+    a, b = (banded.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "size", *ws))) for side in "ab")
     # the smaller set of a pair is a: its members are what travels to the other
     fits = (F.struct("size_a", "class_a") < F.struct("size_b", "class_b")) & (F.col("size_a") >= F.col("size_b") * F.lit(threshold) - 1e-9)
-    candidates = a.join(b, "band").where(fits).select("class_a", "class_b").distinct()
+    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in ws))
+    candidates = a.join(b, "band").where(fits & (differ <= most_bits)).select("class_a", "class_b").distinct()
+    darts = signatures.select("class", "darts")
+    candidates = candidates.join(darts.toDF("class_a", "darts_a"), "class_a").join(darts.toDF("class_b", "darts_b"), "class_b").select("class_a", "class_b", "darts_a", "darts_b")
+
+    def agreeing():
+        def each(batch):
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, k) for i in (2, 3))
+            good = pa.array((x == y).sum(axis=1) >= least_darts)
+            yield {"class_a": batch.column(0).filter(good), "class_b": batch.column(1).filter(good)}
+
+        return each
 
+    candidates = map_batches(candidates, agreeing, "class_a long, class_b long")
     sets = map_batches(docs.select("_text"), packed, "class long, members binary").groupBy("class").agg(F.first("members").alias("members"))
     pairs = (
         candidates.join(sets.select(F.col("class").alias("class_a"), F.col("members").alias("members_a")), "class_a")

@@ -56,6 +56,22 @@ def test_against_all_pairs(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
 
 
+def test_near_copies_of_a_third_of_the_texts(spark):
+    rng = random.Random(8)
+    base = [f"base{i}" for i in range(90)]
+    docs = []
+    for i in range(600):
+        w = list(base) if i % 3 == 0 else [f"own{i}_{j}" for j in range(90)]
+        for at in rng.sample(range(90), rng.randint(2, 6)):
+            w[at] = f"edit{i}x{at}"
+        docs.append((i, " ".join(w)))
+    sets = {i: shingles(t, 3) for i, t in docs}
+    want = {(a, b) for a, b in itertools.combinations(range(0, 600, 3), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert 3000 < len(want) < 19900
+    found = {(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(spark.createDataFrame(docs, "doc_id long, text string"), words=3, threshold=0.6).collect()}
+    assert found <= want and len(found) >= 0.999 * len(want), (len(found), len(want))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     universe = mix(np.arange(1, 601, dtype=np.uint64))

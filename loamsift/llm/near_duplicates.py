@@ -174,7 +174,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the links between classes.
 

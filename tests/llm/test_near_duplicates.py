@@ -88,3 +88,9 @@ def test_packed_sets():
     s = np.array([5, 2**40 + 7, 9, 3], np.uint64)
     one, two = nd._pack(s, np.array([2, 2]))
     assert len(one) == 10 and nd.jaccard(one, two) == 0 and nd.jaccard(one, one) == 1 and nd.jaccard(b"", b"") == 0
+
+
+def test_bands():
+    import inspect
+
+    assert inspect.signature(nd.near_duplicate_classes).parameters["bands"].default == 40

@@ -47,6 +47,10 @@ def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statisti
     return joined.withColumns(columns).drop("_by", *(f"_q_{s}" for s in statistics))
 
 
-def not_prose(rows: DataFrame, tail: float = 5.0) -> DataFrame:
-    """Rows of against_distribution far in the lower tail of the share of running text of their language."""
-    return rows.where(F.col("prose_z") < -tail)
+def not_prose(rows: DataFrame, tail: float = 5.0, least: float = 0.5) -> DataFrame:
+    """Rows of against_distribution whose running text is less than the share ``least`` of the body, spam pages, and rows far in the lower tail of the share of running text of their language.
+
+    The first two do not depend on the language's distribution: what half of a language is does not hide them.
+    """
+    spam = F.col("keywords") + F.col("links") + F.col("tags") >= least
+    return rows.where((F.col("prose") < least) | spam | (F.col("prose_z") < -tail))

@@ -47,6 +47,15 @@ def test_not_prose(profiled):
     assert {r.doc_id for r in flagged.collect()} == {*range(60, 80), 80, 82, 83, 84, 85}
 
 
+def test_not_prose_where_most_of_a_language_is_not(spark):
+    rows = [(i, "de", 0.0 if i < 70 else 1.0) for i in range(100)] + [(100 + i, "en", p) for i, p in enumerate([0.7, 0.85, 0.95] * 20 + [0.3])]
+    rows = [(i, lang, prose, 0.0, 0.0, 0.0, *[1.0] * 5) for i, lang, prose in rows] + [(200, "en", 0.5, 0.3, 0.2, 0.0, *[1.0] * 5)]
+    names = ("doc_id", "lang", "prose", "keywords", "links", "tags", *(s for s in ts.STATISTICS if s != "prose"))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string' if n == 'lang' else 'double'}" for n in names))
+    flagged = ts.not_prose(ts.against_distribution(df, ts.quantile_sketches(df, "lang"), "lang"))
+    assert {r.doc_id for r in flagged.collect()} == {*range(70), 160, 200}
+
+
 def test_statistics(profiled, spark):
     row = {r.doc_id: r for r in profiled.collect()}
     assert row[0].prose == 1 and row[0].common_words > 0.3 and 3 < row[0].mean_word_length < 6 and row[0].punctuated_lines == 1

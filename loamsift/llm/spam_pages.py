@@ -3,9 +3,9 @@
 Three steps over the whole collection:
 
 1. In pages whose words mostly stand in rows without sentences, phrases of one and two words are
-   taken (shingles), exploded, and their distinct hosts counted. In the other lines of all pages the
-   number of pages that hold a phrase is counted in a sketch of fixed size.
-2. A phrase is an advertising phrase if rows on many hosts have it and it is no phrase of ordinary
+   taken (shingles), exploded, and their distinct hosts counted. For those on three hosts or more, the
+   pages that hold them in other lines are counted exactly, in a second pass.
+2. A phrase is an advertising phrase if rows on several hosts have it and it is no phrase of ordinary
    text (``ratio`` of hosts to pages).
 3. A page is flagged if most of its body (see main_content) is rows dense with such phrases, links
    without a description, or tags.
@@ -28,9 +28,6 @@ from .language_labels import plain
 from .main_content import HEADING, BodyFinder
 
 _U64 = np.uint64
-SKETCH_BITS = 18
-#: Buckets of the sketch that are summed together.
-_PART = 1 << 13
 _ENDS = np.array(sorted(ord(c) for c in ".!?…。！？”’\"'"), np.uint32)
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\)\]>]+")
 _TAG = re.compile(r"(?:^|[\s,;|])(?:#|tag:)[^\W\d_]{3,}")
@@ -86,78 +83,65 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], o[new]
 
 
-def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", share: float = 0.01, page_share: float = 0.002, ratio: float = 0.2) -> np.ndarray:
-    """Hashes of the phrases of rows on more than ``share`` of all hosts (three at least) and on at least ``ratio`` pages for each page that has them in other lines.
+def _split_phrases(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of one and two words of a block, their texts, and whether they lie in rows of a page whose words are mostly in such rows."""
+    h, text, _, rows, pair = phrase_hashes(block)
+    n = len(block.texts)
+    dense = np.bincount(text[rows], minlength=n) * 2 >= np.bincount(text, minlength=n)
+    owner = np.concatenate((text, text[pair != 0]))
+    return np.concatenate((h, pair[pair != 0])), owner, np.concatenate((rows, rows[pair != 0])) & dense[owner]
 
-    They also stand on at least ``page_share`` of the pages with such rows, so at most (phrases of a
-    page) / page_share of them come to the driver, whatever the number of pages. Pages without a host
-    count as those of one host.
-    """
-    buckets = 1 << SKETCH_BITS
 
-    def bucket_of(h):
-        return (h >> _U64(64 - SKETCH_BITS)).astype(np.int64)
+def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", least_hosts: int = 3, least_pages: int = 3, ratio: float = 0.2) -> np.ndarray:
+    """Hashes of the phrases of rows on at least ``least_hosts`` hosts and ``least_pages`` pages, and on at least ``ratio`` pages for each page that has them in other lines.
 
-    class Collect:
-        def __init__(self):
-            self.sketch = np.zeros(buckets, np.int64)
+    Both floors are numbers, so pages are judged alike in a small and a large crawl; the pages with a
+    phrase in other lines are counted exactly for the phrases that pass them. Those come to the driver,
+    8 bytes each, and grow with the crawl's replicated phrases. Pages without a host count as those of one host.
+    """
 
-        def __call__(self, batch):
+    def collect():
+        def each(batch):
             hosts = batch.column(0)
             for first, block in blocks([plain(t) for t in batch.column(1).to_pylist()]):
-                h, text, _, rows, pair = phrase_hashes(block)
-                n = len(block.texts)
-                if not len(h):
-                    continue
-                in_rows, of = np.bincount(text[rows], minlength=n), np.bincount(text, minlength=n)
-                dense = in_rows * 2 >= of
-                both = np.concatenate((h, pair[pair != 0]))
-                owner = np.concatenate((text, text[pair != 0]))
-                kind = np.concatenate((rows, rows[pair != 0])) & dense[owner]
-                once = np.unique(owner[~kind].astype(_U64) << _U64(40) | both[~kind] >> _U64(24))
-                self.sketch += np.bincount(bucket_of(once << _U64(24)), minlength=buckets)
+                both, owner, kind = _split_phrases(block)
                 p, o = _distinct(both[kind], owner[kind])
                 some, counts = np.unique(o, return_counts=True)
-                yield {"host": hosts.slice(first, n).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64()), "part": pa.nulls(len(some), pa.int32()), "sketch": pa.nulls(len(some), pa.binary())}
+                yield {"host": hosts.slice(first, len(block.texts)).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64())}
 
-        def finish(self):
-            parts = [self.sketch[i : i + _PART].astype(np.int32).tobytes() for i in range(0, buckets, _PART)]
-            yield {"host": [None] * len(parts), "phrases": [None] * len(parts), "part": list(range(len(parts))), "sketch": parts}
+        return each
+
+    def hashes(df):
+        return df.toArrow().column("phrase").to_numpy().view(_U64)
 
-    class Add:
+    rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("_text")).where("_text is not null")
+    counted = map_batches(rows, collect, "host string, phrases array<long>").select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count("*").alias("pages"))
+    counted = cut(counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages)))
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(hashes(counted.select("phrase"))))
+
+    class Others:
         def __init__(self):
-            self.sums = {}
+            self.phrases = sent.value
+            self.pages = np.zeros(len(self.phrases), np.int64)
 
         def __call__(self, batch):
-            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                self.sums[part] = self.sums.get(part, 0) + np.frombuffer(x, np.int32).astype(np.int64)
+            if len(self.phrases):
+                for _, block in blocks([plain(t) for t in batch.column(0).to_pylist()]):
+                    both, owner, kind = _split_phrases(block)
+                    both, owner = both[~kind], owner[~kind]
+                    at = np.minimum(np.searchsorted(self.phrases, both), len(self.phrases) - 1)
+                    hit = self.phrases[at] == both
+                    once = np.unique(owner[hit] * len(self.phrases) + at[hit])
+                    np.add.at(self.pages, once % len(self.phrases), 1)
             return ()
 
         def finish(self):
-            if self.sums:
-                yield {"part": list(self.sums), "sketch": [x.tobytes() for x in self.sums.values()]}
-
-    rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("_text")).where("_text is not null")
-    collected = cut(map_batches(rows, Collect, "host string, phrases array<long>, part int, sketch binary"))
-    pages = np.zeros(buckets, np.int64)
-    for r in map_batches(collected.where("part is not null").select("part", "sketch").repartition("part"), Add, "part int, sketch binary").collect():  # of fixed size
-        pages[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(bytes(r.sketch), np.int64)
-    others = np.maximum(0, pages - np.median(pages)).astype(np.float32)
-
-    def chosen():
-        def each(batch):
-            h, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            yield {"phrase": h[n >= ratio * others[bucket_of(h.view(_U64))]]}
-
-        return each
+            some = np.flatnonzero(self.pages)
+            yield {"phrase": self.phrases[some].view(np.int64), "others": self.pages[some]}
 
-    with_rows = collected.where("phrases is not null")
-    hosts = docs.agg(F.count_distinct(host_col)).first()[0]  # one number
-    least = max(3.0, page_share * with_rows.count())
-    counted = with_rows.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count("*").alias("pages"))
-    counted = counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where((F.col("hosts") > max(2.0, share * hosts)) & (F.col("pages") >= least))
-    found = map_batches(counted.select("phrase", "pages"), chosen, "phrase long").collect()
-    return np.sort(np.array([r.phrase for r in found], np.int64).view(_U64))
+    others = map_batches(rows.select("_text"), Others, "phrase long, others long").groupBy("phrase").agg(F.sum("others").alias("others"))
+    found = counted.join(others, "phrase", "left").where(F.col("pages") >= ratio * F.coalesce("others", F.lit(0)))
+    return np.sort(hashes(found.select("phrase")))
 
 
 def covered_words(h: np.ndarray, line: np.ndarray, pair: np.ndarray, lines: int, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +247,7 @@ def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict
     """
     columns = [F.col(id_col).alias("_id"), *(F.col(c) for c in keep)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    sent = docs.sparkSession.sparkContext.broadcast((terms, phrases, common))  # all of bounded size
+    sent = docs.sparkSession.sparkContext.broadcast((terms, phrases, common))
     names = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "body_chars", "prose", "keywords", "links", "tags", "other")
 
     def make():

@@ -42,6 +42,17 @@ def test_spam(profiled):
     assert {r.doc_id for r in sp.spam_pages(profiled).collect()} == {*range(60, 80), 80, 82}
 
 
+def test_small_campaign_in_a_larger_crawl(spark):
+    """Five hosts of a campaign among 1000 others, the pages of which have rows of their own."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = [(i, f"h{i}", "\n".join(" ".join(word() for _ in range(8)) for _ in range(3))) for i in range(1000)]
+    rows += [(1000 + i, f"s{i}", "\n".join("cheap yoga mat best desk lamp free shipping" for _ in range(3))) for i in range(5)]
+    found = sp.advertising_phrases(spark.createDataFrame(rows, "doc_id long, host string, text string"))
+    block = Block(["cheap yoga mat"])
+    assert set(sp.phrase_hashes(block)[0].tolist()) <= set(found.tolist())
+
+
 def test_not_prose(profiled):
     flagged = ts.not_prose(ts.against_distribution(profiled, ts.quantile_sketches(profiled, "lang"), "lang"))
     assert {r.doc_id for r in flagged.collect()} == {*range(60, 80), 80, 82, 83, 84, 85}

@@ -114,6 +114,12 @@ def strip_accents(spark, folder):
     return documents(spark, folder).where(~F.col("text").rlike("[가-힣ᄀ-ᇿ]")).select("doc_id", T.strip_accents(F.col("text")).alias("text"))
 
 
+@query()
+def strip_accents_all(spark, folder):
+    """Every document, Hangul and nulls included; SQL has no decomposition of Hangul."""
+    return documents(spark, folder).select("doc_id", T.strip_accents(F.col("text")).alias("text"))
+
+
 def _spacing_sql(x: str, language: str) -> str:
     rules = list(T._SPACING)
     if language == "en":

@@ -94,3 +94,16 @@ def test_model_scores(spark):
     loads = quality.scored_by(lambda: lambda texts: texts.str.len() / 10)
     docs = spark.createDataFrame([(1, "abcde\nfghij"), (2, ""), (3, None), (4, "x")], "doc_id int, text string")
     assert [(r.doc_id, r.fasttext_score) for r in quality.with_quality(docs, loads, threshold=0.5).collect()] == [(1, 1.1)]
+
+
+def test_strip_accents_of_all_documents(spark, small):
+    import unicodedata
+
+    from loamsift.plans.queries import QUERIES
+
+    want = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        want[r.doc_id] = r.text and "".join(c for c in unicodedata.normalize("NFD", r.text) if unicodedata.category(c) != "Mn")
+    got = QUERIES["strip_accents_all"](spark, small).collect()
+    assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want
+    assert any(t and any("\u1100" <= c <= "\u11ff" for c in t) for t in want.values()) and None in want.values()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
+from .checkpoints import cut
 
 # Characters of the same look, and the character that stands for them.
 LOOK_ALIKES = {
@@ -139,18 +140,21 @@ def skeleton_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts differ and look the same.
 
-    Only looks that have at least two different texts reach the join, so a text that fills a third of
-    the table with equal copies costs nothing unless it has a look-alike.
+    Different texts of one look are paired first, each once however many copies it has, and the pairs are
+    then joined with the rows that hold their texts: a text that fills a third of the table with equal
+    copies costs a row for each pair it is in.
     """
-    keys = skeleton_keys(docs, id_col, text_col)
-    looks = keys.groupBy("look").agg((F.min("exact") != F.max("exact")).alias("mixed")).where("mixed").select("look")
-    some = keys.join(looks, "look", "left_semi")
-    one, two = some.select("look", F.col(id_col).alias("id_a"), F.col("exact").alias("exact_a")), some.select("look", F.col(id_col).alias("id_b"), F.col("exact").alias("exact_b"))
-    return one.join(two, "look").where("id_a < id_b and exact_a <> exact_b").select("id_a", "id_b").distinct()
+    keys = cut(skeleton_keys(docs, id_col, text_col))
+    texts = keys.select("look", "exact").distinct()
+    one, two = texts.withColumnRenamed("exact", "exact_a"), texts.withColumnRenamed("exact", "exact_b")
+    pairs = one.join(two, "look").where("exact_a < exact_b").select("exact_a", "exact_b")
+    rows = keys.select(id_col, "exact")
+    both = pairs.join(rows.toDF("_a", "exact_a"), "exact_a").join(rows.toDF("_b", "exact_b"), "exact_b").where("_a <> _b")
+    return both.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b")).distinct()
 
 
 def look_alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, variants): least id of the rows of the same look, and how many different texts they have."""
-    keys = skeleton_keys(docs, id_col, text_col)
+    keys = cut(skeleton_keys(docs, id_col, text_col))
     classes = keys.groupBy("look", "exact").agg(F.min(id_col).alias("low")).groupBy("look").agg(F.min("low").alias("class_id"), F.count("*").alias("variants"))
     return keys.join(classes, "look").select(id_col, "class_id", "variants")

@@ -22,8 +22,6 @@ from .arrow import map_batches
 from .chars import LETTER, SPACE, Block, blocks, classes
 from .confusables import LOOK_ALIKES
 
-#: Words of one chain; longer lines are several chains.
-CHAIN = 256
 #: Samples that are fitted at most, in order of a seeded hash.
 MAX_SAMPLES = 5000
 
@@ -203,13 +201,14 @@ def _natural(block: Block, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     inside = dotted[begin - 1] & ~heads
     left = fine[begin - 1] | heads
     right = fine[end] | np.isin(end, block.start)
-    return left & right & ~inside & (end - begin <= 40)
+    return left & right & ~inside
 
 
 def word_labels(model: LanguageModel, score, block: Block):
     """Probabilities of each word's languages times the weight of its evidence, and the text and line (from 0) it is in; line is numbered through the block.
 
-    The weight is near 0 for words that fit all languages alike, as names and random letters do.
+    A line is one chain, however long. The weight is near 0 for words that fit all languages alike, as
+    names and random letters do.
     """
     begin, end, text = block.runs(LETTER)
     k = len(model.langs)
@@ -224,8 +223,6 @@ def word_labels(model: LanguageModel, score, block: Block):
     new = np.ones(len(begin), bool)
     new[1:] = line[1:] != line[:-1]
     starts = np.flatnonzero(new)
-    position = np.arange(len(begin)) - np.repeat(starts, np.diff(np.append(starts, len(begin))))
-    starts = np.flatnonzero(position % CHAIN == 0)
     lengths = np.diff(np.append(starts, len(begin)))
     order = np.argsort(-lengths, kind="stable")
     gamma = forward_backward(scores.astype(np.float64), starts[order], lengths[order], model.transitions, model.begin)[0]

@@ -1,306 +1,48 @@
 """The main body of a page by minimum-cut labelling of its lines.
 
-Every non-blank line is a node. A classifier turns what the line looks like and how common it is into
-a capacity to the source (body) or to the sink (furniture). Neighbouring lines are joined by an edge,
-strongest within one block of lines and between lines of one shape, weaker across blank lines, and
-lines of one block that are two apart by a weaker one, for a page's structure is lost in its text
-but for these. The minimum cut is the labelling of least cost. Lines whose own evidence outweighs all
-their edges have the same label in every minimum cut; they are fixed first, over a whole block of
-pages by array operations, and max-flow is left with the few lines in doubt.
+Every non-blank line is a node. A fitted classifier (line_classifier) turns words, shape, place and, where
+it is known, the number of documents that hold the line into log odds, which are a capacity to the
+source (body) or to the sink (furniture). Lines one and two apart are joined by edges whose weights are
+fitted too: stronger within one block of lines and between lines of one shape, weaker across blank
+lines, for a page's structure is lost in its text but for these. The minimum cut is the labelling of
+least cost. Lines whose own evidence outweighs all their edges have the same label in every minimum
+cut; they are fixed first, over a whole block of pages by array operations, and max-flow is left with
+the few lines in doubt.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import deque
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from .arrow import map_batches
+from .chars import Block, blocks
 from .language_labels import plain
+from .least_cut import least_cut
+from .line_classifier import MAX_PAGES, LineModel, PageLines, edges
 
-# Headings within a page's body.
-HEADINGS = set(
-    "introduction|background|details|notes|summary|conclusion|before you start|what to bring|frequently asked questions"
-    "|einleitung|hintergrund|einzelheiten|hinweise|zusammenfassung|fazit|bevor es losgeht|was man mitbringt|häufige fragen"
-    "|contexte|en détail|remarques|résumé|avant de commencer|à apporter|questions fréquentes"
-    "|introducción|contexto|detalles|notas|resumen|conclusión|antes de empezar|qué llevar|preguntas frecuentes"
-    "|introdução|detalhes|observações|resumo|conclusão|antes de começar|o que levar|perguntas frequentes"
-    "|들어가며|배경|참고|요약|맺음말|준비물|시작하기 전에|자주 묻는 질문".split("|")
-)
-# Headings over lists of other pages.
-RELATED = set(
-    "most read|related articles|recent comments|more from this author|popular this week|you might also like"
-    "|meistgelesen|ähnliche beiträge|neueste kommentare|das könnte sie auch interessieren|mehr von dieser autorin"
-    "|les plus lus|articles similaires|derniers commentaires|à lire aussi|du même auteur"
-    "|lo más leído|artículos relacionados|últimos comentarios|te puede interesar|más de este autor"
-    "|mais lidas|artigos relacionados|últimos comentários|você também pode gostar|mais deste autor"
-    "|인기 글|관련 글|많이 본 글|최근 댓글|이런 글은 어떠세요".split("|")
-)
-# What notices about a site and its cookies say.
-NOTICE = re.compile(
-    "cookie|small files on your device|consent at any time|reproduction only with|published by volunteers|site built with|all rights reserved|in your inbox|privacy policy|terms of use"
-    "|einwilligung jederzeit|stimmen sie der verwendung|nachdruck nur|von freiwilligen herausgegeben|rechte vorbehalten"
-    "|retirer votre accord|acceptez leur utilisation|reproduction est interdite|publié par des bénévoles|droits réservés"
-    "|retirar su consentimiento|prohibida la reproducción|publicación de voluntarios|derechos reservados"
-    "|retirar o seu consentimento|proibida a reprodução|publicação de voluntários|direitos reservados"
-    "|쿠키|동의를 거둘|동의하는 것으로|무단 전재|자원봉사자가 운영|권리 보유|메일로 받아|^©|^\\(c\\)"
-)
-# Site names with what they are about.
-_SLOGAN = re.compile(" - (stories from|nachrichten aus|la vie à|historias de|histórias de) | 이야기$")
-_MARKS = "»*•·| \t\r>"
-#: Entries of menus and titles are no longer than this, notes about a site no longer than that.
-_SHORT, _NOTE = 60, 400
-_COUNTER = re.compile(r"\s*\(\d+\)$")
-_NUMBERED = re.compile(r"^\s*(\d{1,4}[.)]|[-–•+])\s")
-_ENDS = tuple(".!?…。！？”’\"')]:;") + ("🙂", "❤️", "❤", "👩‍🔧")
-_JOINED = re.compile(r"\s[|>»/·]\s")
-_TITLE_END = re.compile(r"(\d| \.\.\.|»)$")
-
-SENTENCE, LONG, BULLET, TITLE, FURNITURE, HEADING, RELATED_HEAD, OTHER, STARRED = range(9)
-
-
-def term(line: str) -> str:
-    """A line as an entry of a menu: without marks and counters around it."""
-    return _COUNTER.sub("", plain(line).strip(_MARKS)).strip(_MARKS)
-
-
-def shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
-    """Kind of a line, and its evidence for the body (above 0) or for furniture, in units of log odds."""
-    return plain_shape(plain(line), terms)
-
-
-_NO_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def plain_shape(line: str, terms: frozenset[str] | set[str]) -> tuple[int, float]:
-    """shape of a line that is plain already."""
-    s = line.strip()
-    if len(s) >= 160 and s[0].isalpha() and s.endswith(_ENDS) and " | " not in s and " > " not in s:
-        return (SENTENCE, 0.0) if s in terms else (SENTENCE, 3.0)  # too long for a notice or an entry
-    t = s.strip(_MARKS)
-    if t.endswith(")") and len(t) < 100:
-        t = _COUNTER.sub("", t).strip(_MARKS)
-    words = t.split()
-    if t in HEADINGS:
-        return HEADING, 1.5
-    if t in RELATED:
-        return RELATED_HEAD, -4.0
-    if len(s) < 160 and (NOTICE.search(s) or _SLOGAN.search(t)):
-        return FURNITURE, -4.0
-    if t in terms:
-        return (SENTENCE, 0.0) if len(s) > _SHORT else (FURNITURE, -4.0)
-    if s.startswith("* ") and len(s) < 80:
-        return STARRED, -2.0
-    parts = _JOINED.split(s)
-    if len(parts) > 2 or s.endswith("»"):
-        known = sum(p.strip(_MARKS) in terms for p in parts)
-        if known >= 2 or known * 3 >= len(parts) or (s.endswith("»") and len(words) < 9):
-            return FURNITURE, -4.0
-        if " > " in s and len(s) < 200 and not s.endswith(_ENDS):
-            return FURNITURE, -2.5
-        return OTHER, 1.0
-    if s.endswith(_ENDS) and not s.endswith(" ...") and (len(s) >= 25 and len(words) >= 4 or len(s) >= 12 and len(words) >= 3 and not s.endswith(("...", ")"))):
-        return SENTENCE, 3.0
-    if _NUMBERED.match(s):
-        return BULLET, 1.5
-    letters = len(_NO_LETTERS.sub("", s))
-    if letters * 2 < len(s.replace(" ", "")) or len(s) >= 80 or any(c in s for c in "\t;={}/_"):
-        return OTHER, 2.0  # figures, tables, code, long lines
-    if s.endswith(" ..."):
-        return TITLE, -1.0
-    if len(words) >= 9 or ("가" <= t[:1] <= "힣" and len(words) >= 7):
-        return LONG, 2.0
-    if len(words) <= 8:
-        return TITLE, -1.0 if _TITLE_END.search(s) else -0.7
-    return LONG, 1.0
-
-
-#: Most that a common line loses: a sentence that stands by itself on many pages is one about their
-#: site, but a quotation may be a known one, and a list item is a short text that others share.
-_LOSSES = {SENTENCE: 4.5, LONG: 4.5, OTHER: 4.5, BULLET: 1.5}
-_QUOTATION = re.compile(r'^\s*[“"„«].*[”"“»]\s*$')
-
-
-def common_evidence(count: float, typical: float, kind: int, quotation: bool = False) -> float:
-    """What the number of documents that hold the line adds; typical: log10 of that of the page's sentences."""
-    c = np.log10(max(count, 1.0))
-    if kind in _LOSSES:
-        return 1.0 - min(3.6 if quotation else _LOSSES[kind], 3.2 * max(0.0, c - typical - 0.5))
-    if kind == HEADING:
-        return 0.0
-    return 0.5 - min(3.0, max(0.0, c - 0.3))
-
+#: Longer pages are not sampled for the fit, so the sample's size has a bound.
+MAX_SAMPLE_CHARS = 50_000
 
-def _max_flow_labels(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels of a least cut by augmenting shortest paths; cost > 0 ties a node to the body."""
-    n = len(cost)
-    s, t = n, n + 1
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for i, c in enumerate(cost):
-        a, b = (s, i) if c > 0 else (i, t)
-        graph[a][b] = abs(c)
-        graph[b].setdefault(a, 0.0)
-    for i, j, w in edges:
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        graph[j][i] = graph[j].get(i, 0.0) + w
-    while True:
-        before = {s: s}
-        queue = deque([s])
-        while queue and t not in before:
-            u = queue.popleft()
-            for v, room in graph[u].items():
-                if room > 1e-9 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if t not in before:
-            return [i in before for i in range(n)]
-        path, v = [], t
-        while v != s:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(graph[u][v] for u, v in path)
-        for u, v in path:
-            graph[u][v] -= flow
-            graph[v][u] += flow
 
+def body_mask(model: LineModel, lines: PageLines, counts: np.ndarray | None = None) -> np.ndarray:
+    """True for the lines on the body's side of the least cut."""
+    return least_cut(model.odds(lines, counts), *edges(lines, model.ties)) if len(lines.at) else np.zeros(0, bool)
 
-def least_cut(cost: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """True for nodes on the body's side. cost: evidence of each node; edges a-b of weight w > 0. Of equal cuts the one with the fewest body nodes is taken."""
-    cost = cost.astype(np.float64).copy()
-    n = len(cost)
-    label = np.zeros(n, np.int8)  # 0 in doubt, 1 body, -1 furniture
-    live = np.ones(len(a), bool)
-    while True:
-        ties = np.bincount(a[live], w[live], n) + np.bincount(b[live], w[live], n)
-        new = np.where((label == 0) & (np.abs(cost) > ties), np.sign(cost), 0).astype(np.int8)
-        if not new.any():
-            break
-        label += new
-        for x, y in ((a, b), (b, a)):
-            on = live & (new[x] != 0) & (label[y] == 0)
-            cost += np.bincount(y[on], w[on] * new[x[on]], n)
-        live &= (label[a] == 0) & (label[b] == 0)
-    doubt = np.flatnonzero(label == 0)
-    if len(doubt):
-        # connected parts, each a max-flow problem of its own
-        number = np.full(n, -1)
-        number[doubt] = np.arange(len(doubt))
-        links: list[list[tuple[int, float]]] = [[] for _ in doubt]
-        for i, j, x in zip(number[a[live]].tolist(), number[b[live]].tolist(), w[live].tolist()):
-            links[i].append((j, x))
-            links[j].append((i, x))
-        seen = [False] * len(doubt)
-        for root in range(len(doubt)):
-            if seen[root]:
-                continue
-            part, stack = [], [root]
-            seen[root] = True
-            while stack:
-                i = stack.pop()
-                part.append(i)
-                for j, _ in links[i]:
-                    if not seen[j]:
-                        seen[j] = True
-                        stack.append(j)
-            local = {i: k for k, i in enumerate(part)}
-            edges = [(local[i], local[j], x) for i in part for j, x in links[i] if i < j]
-            for i, body in zip(part, _max_flow_labels([float(cost[doubt[i]]) for i in part], edges)):
-                label[doubt[i]] = 1 if body else -1
-    return label > 0
 
-
-class BodyFinder:
-    """Labels the lines of many pages at once."""
-
-    KEEP = 200_000
-
-    def __init__(self, terms: set[str], skip_title: bool, made_plain: bool = False):
-        self.terms, self.skip_title, self.of = terms, skip_title, plain_shape if made_plain else shape
-        self.shapes: dict[str, tuple[int, float]] = {}
-
-    def shape(self, line: str) -> tuple[int, float]:
-        found = self.shapes.get(line)
-        if found is None:
-            found = self.of(line, self.terms)
-            if len(line) < 100:
-                if len(self.shapes) >= self.KEEP:
-                    self.shapes.clear()
-                self.shapes[line] = found
-        return found
-
-    def __call__(self, pages: list[tuple[list[str], list[int | None] | None]], more: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each page (its lines, the counts of the lines or None): the body's line numbers from 0, their kinds, and all non-blank line numbers. more: further evidence of each page's lines."""
-        cost, kinds, page_of, block_of, line_of = [], [], [], [], []
-        block = 0
-        for p, (lines, counts) in enumerate(pages):
-            own, shapes = [], []
-            for k, line in enumerate(lines):
-                if not line or line.isspace() or (self.skip_title and k == 0):
-                    block += 1
-                    continue
-                shapes.append(self.shape(line))
-                own.append(k)
-                block_of.append(block)
-            block += 1
-            have = counts if counts is not None and len(counts) == len(lines) else None
-            typical = 0.0
-            if have:
-                logs = sorted(np.log10(max(have[k], 1)) for k, (kind, _) in zip(own, shapes) if kind in (SENTENCE, LONG) and have[k] is not None)
-                # a page whose sentences mostly stand in many others is a copied one; its lower quartile is typical
-                typical = logs[len(logs) // 4] if logs else 0.0
-            after_head = 0
-            titles = 0
-            costs = []
-            for k, (kind, c) in zip(own, shapes):
-                if kind == RELATED_HEAD:
-                    after_head = 8
-                elif after_head and (kind == TITLE or (kind == LONG and len(lines[k]) < _SHORT)):
-                    c -= 2.5 if kind == TITLE else 4.5
-                    after_head -= 1
-                elif kind != FURNITURE:
-                    after_head = 0
-                if have and have[k] is not None:
-                    c += common_evidence(have[k], typical, kind, kind == SENTENCE and have[k] > 3 and _QUOTATION.match(lines[k]) is not None)
-                if more is not None:
-                    c += more[p][k]
-                costs.append(c)
-            # a long row of short lines is a list of the page, not a menu
-            for row, gain in ((TITLE, 2.5), (STARRED, 4.0)):
-                start = 0
-                for stop in range(len(own) + 1):
-                    if stop == len(own) or shapes[stop][0] != row or costs[stop] < -3.4:
-                        if stop - start >= 12:
-                            for i in range(start, stop):
-                                costs[i] += gain
-                        start = stop + 1
-            cost += costs
-            kinds += [kind for kind, _ in shapes]
-            line_of += own
-            page_of += [p] * len(own)
-        none = np.zeros(0, np.int64)
-        if not cost:
-            return [none] * len(pages), [none] * len(pages), [none] * len(pages)
-        cost, kinds, page_of, block_of, line_of = np.array(cost), np.array(kinds), np.array(page_of), np.array(block_of), np.array(line_of)
-        i = np.arange(len(cost))
-        edges = []
-        for apart, weight in ((1, 1.2), (2, 0.4)):
-            a, b = i[:-apart], i[apart:]
-            same_page = page_of[a] == page_of[b]
-            near = block_of[a] == block_of[b]
-            if apart == 2:
-                same_page &= near
-            w = weight * np.where(near, 1.0, 0.5) * np.where(kinds[a] == kinds[b], 1.0, 0.5)
-            edges.append((a[same_page], b[same_page], w[same_page]))
-        a, b, w = (np.concatenate(x) for x in zip(*edges))
-        body = least_cut(cost, a, b, w)
-        cuts = np.searchsorted(page_of, np.arange(1, len(pages)))
-        lines, every, shapes_ = np.split(line_of, cuts), np.split(body, cuts), np.split(kinds, cuts)
-        return [x[y] for x, y in zip(lines, every)], [x[y] for x, y in zip(shapes_, every)], lines
+def line_counts(lines: PageLines, counts: pa.ListArray) -> np.ndarray:
+    """The count of each line, nan where there is none: null arrays, arrays of another length than the page has lines, and null elements."""
+    counts = counts.combine_chunks() if isinstance(counts, pa.ChunkedArray) else counts
+    have = np.bincount(lines.shapes.text, minlength=len(lines.shapes.first))
+    sizes = counts.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    values = counts.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    fits = sizes == have
+    every = np.full(len(lines.shapes.text), np.nan)
+    every[np.repeat(fits, have)] = values[np.repeat(fits, np.maximum(sizes, 0))]
+    return every[lines.at]
 
 
 def latest_rows(rows: DataFrame, id_col: str, time_col: str, count_col: str = "count") -> DataFrame:
@@ -310,64 +52,42 @@ def latest_rows(rows: DataFrame, id_col: str, time_col: str, count_col: str = "c
     return rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), order).alias("_of_latest")).select(id_col, "_of_latest.*")
 
 
-def _short_lines(text) -> F.Column:
-    """Distinct short lines of a text, and parts of lines between bars, without the marks around them; case is kept."""
-    short = F.filter(F.split(text, "\n"), lambda x: (x != "") & (F.length(x) <= 4 * _SHORT))
-    parts = F.flatten(F.transform(short, lambda x: F.when(x.contains(" | ") | x.contains(" > "), F.split(x, " [|>] ")).otherwise(F.array(x))))
-    cut = F.transform(parts, lambda x: F.btrim(x, F.lit(_MARKS)))
-    return F.array_distinct(F.filter(cut, lambda x: (x != "") & (F.length(x) <= _SHORT)))
-
-
-def _entries(lines: list[str], most_words: int) -> set[str]:
-    """Terms of the lines, without headings and whole sentences."""
-    found = {t for x in lines if (t := term(x)) and len(t.split()) <= most_words and any(c.isalpha() for c in t)}
-    return {t for t in found - HEADINGS - RELATED if t.endswith("...") or not t.endswith((".", "!", "?", "”", '"'))}
-
+def fit_lines(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "count", max_pages: int = MAX_PAGES) -> LineModel:
+    """The classifier of lines, fitted on at most max_pages pages in order of a seeded hash of their id, of at most MAX_SAMPLE_CHARS characters each.
 
-def counted_terms(rows: DataFrame, text_col: str = "text", count_col: str = "count", least: int = 500, rows_least: int = 3, share: float = 0.0005) -> set[str]:
-    """Short lines whose median count is ``least`` or more, headings left out, and sentences about a site: lines of a median count of half of it, in twice as many rows, that are no quotation.
-
-    Only lines in more than ``share`` of the rows, and in rows_least of them, are looked at: there are
-    at most (lines of a row) / share of them, whatever the number of rows.
+    A page that comes more than once is taken once. Pages without counts, and those whose counts are
+    not as many as their lines, are not taken.
     """
-    lines = rows.where(F.size(F.split(text_col, "\n")) == F.size(count_col)).select(F.explode(F.arrays_zip(F.split(text_col, "\n").alias("line"), F.col(count_col).alias("n"))).alias("x"))
-    lines = lines.select(F.trim("x.line").alias("line"), F.col("x.n").alias("n")).where((F.length("line") > 0) & (F.length("line") <= _NOTE) & F.col("n").isNotNull())
-    enough = max(rows_least, math.ceil(share * rows.count()))
-    found = lines.groupBy("line").agg(F.count("*").alias("rows"), F.percentile_approx("n", 0.5, 100).alias("median")).where((F.col("rows") >= enough) & (F.col("median") >= least // 2)).collect()
-    notes = {term(r.line) for r in found if len(r.line) >= 25 and r.rows >= 2 * enough and r.line.endswith((".", "!", "?")) and not _QUOTATION.match(r.line)}
-    return _entries([r.line for r in found if len(r.line) <= _SHORT and r.median >= least], 8) | notes
-
-
-def shared_terms(docs: DataFrame, text_col: str = "text", host_col: str = "host", share: float = 0.01) -> set[str]:
-    """Short lines that stand on more than ``share`` of all hosts, and on three at least, headings left out.
-
-    There are at most (short lines of a host) / share of them, whatever the number of documents.
-    """
-    pairs = docs.where(F.col(host_col).isNotNull() & F.col(text_col).isNotNull()).select(host_col, F.explode(_short_lines(F.col(text_col))).alias("line"))
-    hosts = docs.agg(F.count_distinct(host_col)).first()[0]  # one number
-    found = pairs.distinct().groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") > max(2.0, share * hosts))
-    return _entries([r.line for r in found.select("line").collect()], 6)
-
-
-def body_lines(pages: DataFrame, terms: set[str], id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "count", skip_title: bool = False) -> DataFrame:
+    fine = rows.where((F.length(text_col) <= MAX_SAMPLE_CHARS) & (F.size(F.split(text_col, "\n")) == F.size(count_col)))
+    some = fine.select(F.xxhash64(F.col(id_col), F.lit(7)).alias("_order"), F.col(text_col).alias("_text"), F.col(count_col).cast("array<int>").alias("_count"))
+    some = some.orderBy("_order", F.xxhash64("_text"), F.hash("_count")).limit(max_pages).toArrow()
+    _, first = np.unique(some.column(0).to_numpy(), return_index=True)
+    some = some.take(pa.array(first)).combine_chunks()
+    if not len(some):
+        return LineModel.neutral()
+    lines = PageLines(Block([plain(t) for t in some.column(1).to_pylist()]), False)
+    return LineModel.fit(lines, line_counts(lines, some.column(2)))
+
+
+def body_lines(pages: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "count", skip_title: bool = False) -> DataFrame:
     """(id, line_no) of the non-blank lines of each page's body, numbered from 1 by \\n.
 
     count_col: numbers of documents that hold the lines; a null array, one of another length than the
-    lines, and null elements are passed over. terms: menu entries as counted_terms or shared_terms
-    find them. Null and blank texts give no row. Rows with equal ids are labelled one by one.
+    lines, and null elements are passed over. Null and blank texts give no row. Rows with equal ids are
+    labelled one by one. The model has a fixed size (some MB) and is broadcast.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    sent = pages.sparkSession.sparkContext.broadcast(terms)
+    sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        find = BodyFinder(sent.value, skip_title)
+        model = sent.value
 
         def each(batch):
-            texts, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 256):
-                body, _, _ = find([((t or "").split("\n"), c) for t, c in zip(texts[k : k + 256], counts[k : k + 256])])
-                yield {"_id": [i for i, x in zip(ids[k : k + 256], body) for _ in range(len(x))], "line_no": np.concatenate(body) + 1 if body else []}
+            for first, block in blocks([plain(t) for t in batch.column(1).to_pylist()]):
+                n = len(block.texts)
+                lines = PageLines(block, skip_title)
+                body = body_mask(model, lines, line_counts(lines, batch.column(2).slice(first, n)))
+                yield {"_id": batch.column(0).slice(first, n).take(pa.array(lines.page[body])), "line_no": lines.line_no[body] + 1}
 
         return each
 

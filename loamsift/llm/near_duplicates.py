@@ -19,17 +19,20 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import list_array, map_batches
 from .chars import DIGIT, LETTER, blocks, mix
 from .checkpoints import cut
+from .filters import filter_of, maybe_in
 
 #: Weights lie in (0, 1]; weight cells are [0, 1/64), [1/64, 1/8), [1/8, 1).
 _WEIGHT_CELLS = ((0.0, 1 / 64), (1 / 64, 1 / 8), (1 / 8, 1.0))
 #: Standard deviations below the threshold at which signatures disagree too much for a pair to be checked.
 SLACK = 5.0
+#: Classes of a block of a band that many share, and pairs of a class that are checked in one task.
+HOT, PAIRS = 256, 64
 _U64 = np.uint64
 
 
@@ -218,24 +221,23 @@ def near_duplicate_classes(
 
         return each
 
-    def packed():
-        def each(batch):
-            for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
-                some = np.flatnonzero(counts)
-                raw = _pack(s, counts)
-                yield {"class": set_keys(s, counts)[some], "members": [raw[i] for i in some]}
-
-        return each
-
     ws = [f"w{j}" for j in range(words64)]
     ddl = "class long, size int, darts binary, bands array<long>, " + ", ".join(f"{w} long" for w in ws)
     signatures = cut(map_batches(docs.select("_text"), signed, ddl).dropDuplicates(["class"]))
     banded = signatures.select("class", "size", *ws, F.explode("bands").alias("band"))
-    a, b = (banded.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "size", *ws))) for side in "ab")
+    # a band that few share is joined as it is; of one that many share blocks of HOT classes meet block by block
+    shared = banded.withColumn("_n", F.count("*").over(Window.partitionBy("band"))).where("_n > 1")
+    side = lambda df, s, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("class", "size", *ws)))
+    cold = shared.where(F.col("_n") <= HOT)
+    hot = shared.where(F.col("_n") > HOT).withColumn("_parts", F.ceil(F.col("_n") / HOT).cast("int")).withColumn("_own", F.pmod(F.hash("class"), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = side(hot.withColumn("_part_b", every).withColumnRenamed("_own", "_part_a"), "a", "band", "_part_a", "_part_b")
+    right = side(hot.withColumn("_part_a", every).withColumnRenamed("_own", "_part_b"), "b", "band", "_part_a", "_part_b")
     # the smaller set of a pair is a: its members are what travels to the other
     fits = (F.struct("size_a", "class_a") < F.struct("size_b", "class_b")) & (F.col("size_a") >= F.col("size_b") * F.lit(threshold) - 1e-9)
     differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in ws))
-    candidates = a.join(b, "band").where(fits & (differ <= most_bits)).select("class_a", "class_b").distinct()
+    near = lambda joined: joined.where(fits & (differ <= most_bits)).select("class_a", "class_b")
+    candidates = near(side(cold, "a", "band").join(side(cold, "b", "band"), "band")).unionByName(near(left.join(right, ["band", "_part_a", "_part_b"]))).distinct()
     darts = signatures.select("class", "darts")
     candidates = candidates.join(darts.toDF("class_a", "darts_a"), "class_a").join(darts.toDF("class_b", "darts_b"), "class_b").select("class_a", "class_b", "darts_a", "darts_b")
 
@@ -247,11 +249,31 @@ def near_duplicate_classes(
 
         return each
 
-    candidates = map_batches(candidates, agreeing, "class_a long, class_b long")
+    candidates = cut(map_batches(candidates, agreeing, "class_a long, class_b long"))
+    # only sets that are in a candidate pair are packed and sent
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")), "class"))
+
+    def packed():
+        bits = wanted.value
+
+        def each(batch):
+            for _, s, counts in shingle_sets(batch.column(0).to_pylist(), words):
+                keys = set_keys(s, counts)
+                some = (counts > 0) & maybe_in(bits, keys.view(_U64))
+                raw = _pack(s[np.repeat(some, counts)], counts[some])
+                yield {"class": keys[some], "members": raw}
+
+        return each
+
     sets = map_batches(docs.select("_text"), packed, "class long, members binary").groupBy("class").agg(F.first("members").alias("members"))
+    # a class in many pairs is spread over several tasks, PAIRS of them in each
+    parts = candidates.groupBy("class_b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_parts"))
+    spread = candidates.join(parts, "class_b").select("class_a", "class_b", F.pmod(F.hash("class_a"), F.col("_parts")).alias("_part"))
+    sets_b = sets.select(F.col("class").alias("class_b"), F.col("members").alias("members_b")).join(parts, "class_b")
+    sets_b = sets_b.select("class_b", "members_b", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     pairs = (
-        candidates.join(sets.select(F.col("class").alias("class_a"), F.col("members").alias("members_a")), "class_a")
-        .join(sets.select(F.col("class").alias("class_b"), F.col("members").alias("members_b")), "class_b")
+        spread.join(sets.select(F.col("class").alias("class_a"), F.col("members").alias("members_a")), "class_a")
+        .join(sets_b, ["class_b", "_part"])
         .select("class_a", "class_b", "members_a", "members_b")
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..session import table
 from .confusables import consistent_texts, look_alike_classes, look_alike_pairs
 from .checkpoints import cut
-from .language_labels import fit_from_tables, known_language, label_languages, wrong_labels
-from .main_content import body_lines, counted_terms, latest_rows, shared_terms
+from .language_labels import fit_from_tables, label_languages, wrong_labels
+from .main_content import body_lines, fit_lines, latest_rows
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .source_mixing import mix_sources
 from .spam_pages import advertising_phrases, profiles, spam_pages
@@ -88,8 +88,8 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p3_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    """Occurrences and records of every sequence of two words of a text."""
-    return text_term_counts(table(spark, folder, "documents"), max_n=2).where("n = 2").select("term", "occurrences", "records")
+    """Occurrences and records of every sequence of one, two and five words of a text, from one suffix array a block."""
+    return text_term_counts(table(spark, folder, "documents"), lengths=(1, 2, 5))
 
 
 _P3 = r"""
@@ -103,8 +103,8 @@ SQL["p3_found"] = _P3 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
 SQL["p3_counts"] = _P3 + "SELECT field, term, occurrences, records, mark FROM m"
 SQL["p3_phrases"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w WHERE len(w) >= 2)
-SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM s GROUP BY term
+s AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS term FROM w, (SELECT unnest([1, 2, 5])::INT AS n) WHERE len(w) >= n)
+SELECT n, term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM s GROUP BY n, term
 """
 
 
@@ -167,8 +167,8 @@ def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = latest_rows(table(spark, folder, "count_info"), "doc_id", "loaded_at")
-    return body_lines(pages, counted_terms(table(spark, folder, "count_info")))
+    info = table(spark, folder, "count_info")
+    return body_lines(latest_rows(info, "doc_id", "loaded_at"), fit_lines(info))
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     common: dict[str, set[str]] = {}
     for r in table(spark, folder, "common_words").where("word is not null").collect():  # a fixed table
         common.setdefault(r.lang, set()).add(r.word.lower())
-    return profiles(documents, shared_terms(documents), advertising_phrases(documents), common, keep=("lang",))
+    return profiles(documents, fit_lines(table(spark, folder, "count_info")), advertising_phrases(documents), common)
 
 
 @query
@@ -184,14 +184,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages(_profiles(spark, folder)).select("doc_id")
 
 
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut(_profiles(spark, folder))
+    return against_distribution(rows, quantile_sketches(rows, "language"), "language")
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cut(_profiles(spark, folder).withColumn("language", F.coalesce(known_language(F.col("lang")), F.lit("other"))))
-    return not_prose(against_distribution(rows, quantile_sketches(rows, "language"), "language")).select("doc_id")
+    return not_prose(_measured(spark, folder)).select("doc_id")
 
 
 @query
 def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Statistics of every document's body, with percentiles and robust z-scores within its language."""
-    rows = cut(_profiles(spark, folder).withColumn("language", F.coalesce(known_language(F.col("lang")), F.lit("other"))))
-    return against_distribution(rows, quantile_sketches(rows, "language"), "language").drop("lang")
+    """Statistics of every document's body, with percentiles and z-scores within its language, and where its language's share of running text divides."""
+    return _measured(spark, folder)

@@ -1,14 +1,19 @@
-"""Pages stitched from replicated phrases, links or product tags.
-
-Three steps over the whole collection:
-
-1. In pages whose words mostly stand in rows without sentences, phrases of one and two words are
-   taken (shingles), exploded, and their distinct hosts counted. For those on three hosts or more, the
-   pages that hold them in other lines are counted exactly, in a second pass.
-2. A phrase is an advertising phrase if rows on several hosts have it and it is no phrase of ordinary
-   text (``ratio`` of hosts to pages).
-3. A page is flagged if most of its body (see main_content) is rows dense with such phrases, links
-   without a description, or tags.
+"""Pages stitched from phrases that are replicated on other hosts, with the density of lists as evidence.
+
+Three passes over the texts and two joins:
+
+1. Phrase shingles of three words or more are taken from rows without sentences, in pages whose longer
+   lines mostly are such rows, exploded, and their distinct hosts counted. One word of a shingle may
+   vary (a made-up name, a brand), so "free shipping Dunrist desk lamp" has a shingle in common with
+   every other name. Words run together, as tags have them, give shingles of letters.
+2. Of phrases on several hosts the pages that hold them anywhere are counted, exactly. Advertising
+   phrases are those found in such rows on a good part of the pages that have them at all.
+3. Every line of every body (see main_content) is measured, and the phrases in it are joined with the
+   table of advertising phrases. A page is flagged if most of its body is rows stitched from them, or
+   bare links and tags on a page that holds such replicated phrases.
+
+The tables of phrases stay distributed. Tasks get a filter of fixed size made of them (see filters), which
+lets through every phrase of the table and some others; the exact joins come after it.
 """
 
 from __future__ import annotations
@@ -22,51 +27,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import list_array, map_batches
-from .chars import DIGIT, LETTER, SPACE, Block, blocks, classes, mix
+from .chars import LETTER, Block, blocks, mix
 from .checkpoints import cut
+from .filters import filter_of, maybe_in
 from .language_labels import plain
-from .main_content import HEADING, BodyFinder
+from .line_classifier import LineModel, PageLines
+from .line_shapes import LineShapes
+from .main_content import body_mask
 
 _U64 = np.uint64
-_ENDS = np.array(sorted(ord(c) for c in ".!?…。！？”’\"'"), np.uint32)
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\)\]>]+")
 _TAG = re.compile(r"(?:^|[\s,;|])(?:#|tag:)[^\W\d_]{3,}")
 _CODE = re.compile(r"[{}=<>\[\]\\^~@]|;$|\w\(\w*\)|\b\d\d:\d\d\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"^\s*(?:\d{1,4}[.)]|[-–•+●*■◆○□◇])\s")
 
-PROSE, KEYWORDS, LINKS, TAGS, JUNK, SMALL = range(6)
-#: Share of a row's words that lie in advertising phrases; the others are made-up names.
-COVERAGE = 0.3
-#: So many lines of a word or two are a list; fewer are passed over.
-FEW = 8
-
-
-def phrase_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of two letters or more of a block as hashes with their text and line numbers, whether their line has no sentence in it, and the hashes of the pairs they begin (0 at a line's end)."""
-    begin, end, text = block.runs(LETTER)
-    some = end - begin > 1
-    begin, end, text = begin[some], end[some], text[some]
-    if not len(begin):
-        none = np.zeros(0, np.int64)
-        return none.astype(_U64), none, none, none.astype(bool), none.astype(_U64)
-    breaks = np.cumsum(block.cp == 10)
-    line = breaks[begin] + text
-    h = block.hashes(begin, end)
-    # the last character of each line that is no white space
-    inked = np.flatnonzero((classes()[block.cp] & SPACE) == 0)
-    ink_line = breaks[inked] + np.searchsorted(block.start, inked, "right") - 1
-    last = np.concatenate((ink_line[1:] != ink_line[:-1], [True]))
-    ends = np.zeros(int(ink_line[-1]) + 1, bool)
-    ends[ink_line[last]] = np.isin(block.cp[inked[last]], _ENDS)
-    words = np.bincount(line, minlength=len(ends))
-    address = np.zeros(len(ends), bool)
-    address[line[np.isin(h, _address_words())]] = True
-    rows = (~ends & (words >= 6) & ~address)[line]
-    pair = np.zeros(len(h), _U64)
+PROSE, LINKS, TAGS, JUNK = range(4)
+#: Share of a row's words at which an advertising phrase begins; the others are its further words and made-up names.
+COVERAGE = 0.15
+#: Share of a line's words in what it says more than once, above which it is no sentence.
+AGAIN = 0.4
+#: Letters of a run that is no single word, and of the shingles in it; for Latin letters and for Hangul.
+_TOGETHER, _PIECE = (14, 7), (7, 3)
+
+
+class Phrases:
+    """The phrase shingles of a block: hash, the number of the word that each begins with, and the line and text of the words."""
+
+    def __init__(self, block: Block, shapes: LineShapes):
+        begin, end, text = block.runs(LETTER)
+        some = end - begin > 1
+        begin, end, text = begin[some], end[some], text[some]
+        self.text, n, lines = text, len(begin), len(shapes.chars)
+        self.line = np.cumsum(block.cp == 10)[begin] + text if n else text
+        h = block.hashes(begin, end)
+        self.words = np.bincount(self.line, minlength=lines)
+        self.address = np.zeros(lines, bool)
+        self.address[self.line[np.isin(h, _address_words())]] = True
+        unit, joined = _units(shapes, self.words, self.address)
+        of = unit[self.line]
+        far = np.concatenate((of, [-1, -2, -3]))
+        x = np.concatenate((h, np.zeros(3, _U64)))
+        a, b, c, d = (x[k : k + n] for k in range(4))
+        three, four = far[2 : n + 2] == of, far[3 : n + 3] == of
+        families = [(_fold(1, a, b, c), three), (_fold(2, a, c), three), (_fold(3, a, c, d), four), (_fold(4, a, b, d), four)]
+        # shingles of letters within words run together
+        hangul = (block.cp[begin] >= 0xAC00) & (block.cp[begin] <= 0xD7A3) if n else np.zeros(0, bool)
+        size = end - begin
+        self.together = size >= np.where(hangul, _TOGETHER[1], _TOGETHER[0])
+        long = np.flatnonzero(self.together)
+        piece = np.where(hangul, _PIECE[1], _PIECE[0])[long]
+        count = size[long] - piece + 1
+        start = np.repeat(begin[long], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pieces = _fold(5, block.hashes(start, start + np.repeat(piece, count))) if len(long) else np.zeros(0, _U64)
+        self.hash = np.concatenate([f[ok] for f, ok in families] + [pieces])
+        self.at = np.concatenate([np.flatnonzero(ok) for _, ok in families] + [np.repeat(long, count)])
+        # rows: lines without a sentence, addresses, tags, and short lines that go on with few words
+        letters = np.bincount(self.line, size, lines)
+        tags = (np.bincount(self.line, size * self.together, lines) * 2 >= letters) & (letters > 0)
+        again = np.zeros(lines, bool)
+        if joined.any():
+            inside = np.flatnonzero(joined[self.line])
+            key = mix(h[inside] + mix(of[inside].astype(_U64)))
+            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+            often = np.bincount(of[inside], times[which] >= 3, lines)
+            again = (often * 2 >= np.maximum(1, np.bincount(of[inside], minlength=lines)))[unit] & joined
+        # lines that say the same again: phrases of three words, and words of lines with bars, as menus do not
+        said = np.zeros(lines, bool)
+        for key, inside, bars in ((families[0][0], np.flatnonzero(three), False), (h, np.arange(n), True)):
+            if len(inside):
+                _, which, times = np.unique(mix(key[inside] + mix(self.line[inside].astype(_U64))), return_inverse=True, return_counts=True)
+                repeated = np.zeros(n + 2, bool)
+                for k in range(1 if bars else 3):
+                    repeated[inside[times[which] >= 2] + k] = True
+                share = np.bincount(self.line, repeated[:n], lines) >= AGAIN * np.maximum(1, self.words)
+                said |= share & (self.words >= 6) & ((shapes.bars >= 2) if bars else True)
+        self.rows = (~shapes.ended & (self.words >= 6) & (shapes.bars < 2)) | self.address | tags | again | said
+        self.longer = (self.words >= 6) | self.rows
+
+
+def _fold(salt: int, *hashes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        pair[:-1] = np.where(line[1:] == line[:-1], mix(h[:-1] * _U64(3) + mix(h[1:])), 0)
-    return h, text, line, rows, pair
+        return functools.reduce(lambda x, h: mix(x * _U64(0x9E3779B97F4A7C15) + h), hashes, np.full(len(hashes[0]), _U64(salt)))
+
+
+def _units(shapes: LineShapes, words: np.ndarray, address: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line at which what a line is part of begins, and whether it is joined: eight short lines or more in a row without a sentence end are read as one."""
+    unit = np.arange(len(words))
+    joined = np.zeros(len(words), bool)
+    at = np.flatnonzero(~shapes.blank)
+    short = (~shapes.ended & (words > 0) & (words < 6) & (shapes.bars == 0) & ~address)[at]
+    if not short.any():
+        return unit, joined
+    new = np.concatenate(([True], (short[1:] != short[:-1]) | (shapes.text[at[1:]] != shapes.text[at[:-1]])))
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, len(at)))
+    some = np.repeat(sizes >= 8, sizes) & short
+    unit[at[some]] = np.repeat(at[heads], sizes)[some]
+    joined[at[some]] = True
+    return unit, joined
 
 
 @functools.cache
@@ -75,134 +134,86 @@ def _address_words() -> np.ndarray:
     return words.hashes(words.start[:-1], words.start[1:])
 
 
-def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((hashes, owner))
-    h, o = hashes[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    return h[new], o[new]
-
-
-def _split_phrases(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of one and two words of a block, their texts, and whether they lie in rows of a page whose words are mostly in such rows."""
-    h, text, _, rows, pair = phrase_hashes(block)
-    n = len(block.texts)
-    dense = np.bincount(text[rows], minlength=n) * 2 >= np.bincount(text, minlength=n)
-    owner = np.concatenate((text, text[pair != 0]))
-    return np.concatenate((h, pair[pair != 0])), owner, np.concatenate((rows, rows[pair != 0])) & dense[owner]
-
-
-def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", least_hosts: int = 3, least_pages: int = 3, ratio: float = 0.2) -> np.ndarray:
-    """Hashes of the phrases of rows on at least ``least_hosts`` hosts and ``least_pages`` pages, and on at least ``ratio`` pages for each page that has them in other lines.
+def replicated_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", least_hosts: int = 3, least_pages: int = 3) -> DataFrame:
+    """(phrase, hosts, pages) of the phrases that stand in rows without sentences on at least so many hosts and pages, in pages whose longer lines have at least half their words in such rows.
 
-    Both floors are numbers, so pages are judged alike in a small and a large crawl; the pages with a
-    phrase in other lines are counted exactly for the phrases that pass them. Those come to the driver,
-    8 bytes each, and grow with the crawl's replicated phrases. Pages without a host count as those of one host.
+    Both floors are numbers, so pages are judged alike in a small and a large crawl. Pages without a
+    host count as those of one host.
     """
 
     def collect():
         def each(batch):
             hosts = batch.column(0)
             for first, block in blocks([plain(t) for t in batch.column(1).to_pylist()]):
-                both, owner, kind = _split_phrases(block)
-                p, o = _distinct(both[kind], owner[kind])
-                some, counts = np.unique(o, return_counts=True)
-                yield {"host": hosts.slice(first, len(block.texts)).take(pa.array(some)), "phrases": list_array(p.view(np.int64), counts, pa.int64())}
+                n, shapes = len(block.texts), LineShapes(block)
+                p = Phrases(block, shapes)
+                dense = np.bincount(shapes.text, p.words * p.rows, n) * 2 >= np.bincount(shapes.text, p.words * p.longer, n)
+                some = p.rows[p.line[p.at]] & dense[p.text[p.at]]
+                h, text = _distinct(p.hash[some], p.text[p.at[some]])
+                of, counts = np.unique(text, return_counts=True)
+                yield {"host": hosts.slice(first, n).take(pa.array(of)), "phrases": list_array(h.view(np.int64), counts, pa.int64())}
 
         return each
 
-    def hashes(df):
-        return df.toArrow().column("phrase").to_numpy().view(_U64)
-
     rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("_text")).where("_text is not null")
     counted = map_batches(rows, collect, "host string, phrases array<long>").select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count("*").alias("pages"))
-    counted = cut(counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages)))
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(hashes(counted.select("phrase"))))
+    return counted.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).where((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages))
+
+
+def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return h[new], o[new]
+
+
+def advertising_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", ratio: float = 0.5, **floors) -> DataFrame:
+    """(phrase): replicated phrases of rows, on at least the share ``ratio`` of all pages that hold them anywhere; see replicated_phrases."""
+    replicated = cut(replicated_phrases(docs, text_col, host_col, **floors))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(replicated, "phrase"))
+
+    class Count:
+        """Pages of each phrase; sums are kept for the life of a task up to KEEP phrases."""
+
+        KEEP = 2_000_000
 
-    class Others:
         def __init__(self):
-            self.phrases = sent.value
-            self.pages = np.zeros(len(self.phrases), np.int64)
+            self.bits = sent.value
+            self.phrases, self.pages, self.waiting, self.size = np.zeros(0, _U64), np.zeros(0, np.int64), [], 0
 
         def __call__(self, batch):
-            if len(self.phrases):
-                for _, block in blocks([plain(t) for t in batch.column(0).to_pylist()]):
-                    both, owner, kind = _split_phrases(block)
-                    both, owner = both[~kind], owner[~kind]
-                    at = np.minimum(np.searchsorted(self.phrases, both), len(self.phrases) - 1)
-                    hit = self.phrases[at] == both
-                    once = np.unique(owner[hit] * len(self.phrases) + at[hit])
-                    np.add.at(self.pages, once % len(self.phrases), 1)
-            return ()
+            for _, block in blocks([plain(t) for t in batch.column(0).to_pylist()]):
+                p = Phrases(block, LineShapes(block))
+                hit = maybe_in(self.bits, p.hash)
+                h, _ = _distinct(p.hash[hit], p.text[p.at[hit]])
+                self.waiting.append(h)
+                self.size += len(h)
+                if self.size >= self.KEEP:
+                    self.merge()
+                    if len(self.phrases) >= self.KEEP:
+                        yield from self.out()
+
+        def merge(self):
+            h, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.zeros(0, _U64), np.zeros(0, np.int64))
+            both, which = np.unique(np.concatenate((self.phrases, h)), return_inverse=True)
+            self.pages = np.bincount(which, np.concatenate((self.pages, n)), len(both)).astype(np.int64)
+            self.phrases, self.waiting, self.size = both, [], 0
+
+        def out(self):
+            yield {"phrase": self.phrases.view(np.int64), "anywhere": self.pages}
+            self.phrases, self.pages = np.zeros(0, _U64), np.zeros(0, np.int64)
 
         def finish(self):
-            some = np.flatnonzero(self.pages)
-            yield {"phrase": self.phrases[some].view(np.int64), "others": self.pages[some]}
-
-    others = map_batches(rows.select("_text"), Others, "phrase long, others long").groupBy("phrase").agg(F.sum("others").alias("others"))
-    found = counted.join(others, "phrase", "left").where(F.col("pages") >= ratio * F.coalesce("others", F.lit(0)))
-    return np.sort(hashes(found.select("phrase")))
-
-
-def covered_words(h: np.ndarray, line: np.ndarray, pair: np.ndarray, lines: int, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By line, numbered through the block: words, and words within an advertising phrase. h, line and pair as phrase_hashes has them."""
-    if not len(h) or not len(phrases):
-        return np.bincount(line, minlength=lines) if len(h) else np.zeros(lines, np.int64), np.zeros(lines, np.int64)
-
-    def known(x):
-        at = np.minimum(np.searchsorted(phrases, x), len(phrases) - 1)
-        return phrases[at] == x
-
-    two = known(pair) & (pair != 0)
-    hit = known(h) | two
-    hit[1:] |= two[:-1]
-    return np.bincount(line, minlength=lines), np.bincount(line[hit], minlength=lines)
-
-
-class LineCounts:
-    """Counts of each line of a block, lines numbered through it as they follow one another in the texts."""
-
-    def __init__(self, block: Block):
-        n, cp = len(block.texts), block.cp
-        breaks = np.flatnonzero(cp == 10)
-        of = np.searchsorted(block.start, breaks, "right") - 1
-        text, begin = np.concatenate((np.arange(n), of)), np.concatenate((block.start[:-1], breaks + 1))
-        order = np.lexsort((begin, text))
-        text, begin = text[order], begin[order]
-        end = np.append(begin[1:] - 1, len(cp))
-        last = np.append(text[1:] != text[:-1], True)
-        end[last] = block.start[1:][text[last]]
-        self.first = np.searchsorted(text, np.arange(n))
-        kind = classes()[cp]
-        letter, digit = (kind & LETTER) != 0, (kind & DIGIT) != 0
-        space = (kind & SPACE) != 0
-
-        def count(mask):
-            sums = np.concatenate(([0], np.cumsum(mask)))
-            return sums[end] - sums[begin]
-
-        heads = block.start[:-1][block.start[:-1] < len(cp)]
-
-        def starts(mask):
-            out = mask.copy()
-            out[1:] &= ~mask[:-1]
-            out[heads] = mask[heads]
-            return out
-
-        self.letters, self.digits = count(letter), count(digit)
-        self.ink = end - begin - count(space)
-        self.chars = end - begin
-        self.runs = count(starts(letter))
-        self.tokens = count(starts(~space))
-        meet = np.zeros(len(cp), bool)
-        meet[1:] = (letter[1:] & digit[:-1]) | (digit[1:] & letter[:-1])
-        meet[heads] = False
-        self.meet = count(meet)
-        self.hangul = count((cp >= 0xAC00) & (cp <= 0xD7A3)) * 2 > self.letters
-
-
-def line_kind(line: str, words: int, covered: int, letters: int, ink: int, runs: int, tokens: int, meet: int, hangul: bool) -> int:
-    """What a line of a body is made of. words: those of two letters and more; meet: places where a letter and a digit touch."""
+            self.merge()
+            yield from self.out()
+
+    anywhere = map_batches(docs.select(F.col(text_col).alias("_text")).where("_text is not null"), Count, "phrase long, anywhere long").groupBy("phrase").agg(F.sum("anywhere").alias("anywhere"))
+    return replicated.join(anywhere, "phrase").where(F.col("pages") >= ratio * F.col("anywhere")).select("phrase")
+
+
+def line_kind(line: str, words: int, letters: int, ink: int, runs: int, tokens: int, meet: int, hangul: bool) -> int:
+    """What a line of a body is made of, phrases apart. words: those of two letters and more; meet: places where a letter and a digit touch."""
     s = line.strip()
     if ("://" in s or "www." in s) and (link := list(_LINK.finditer(s))):
         rest = s[link[-1].end() :]
@@ -211,12 +222,8 @@ def line_kind(line: str, words: int, covered: int, letters: int, ink: int, runs:
         return TAGS
     if letters * 10 >= ink * 8 and not meet and (ink >= (7.5 if hangul else 14) * tokens or ("_" in s and sum("_" in t for t in s.split()) * 5 >= tokens)):
         return TAGS  # words run together
-    if ink < 12 and words < 4:
-        return SMALL
     if letters * 10 < ink * 7 or runs < 3 or (letters * 20 < ink * 17 and _CODE.search(s)) or meet * 4 > tokens:
         return JUNK
-    if words >= 4 and covered >= COVERAGE * words:
-        return KEYWORDS
     ended = s.endswith((".", "!", "?"))
     if runs < 10 and not ended and _BULLET.match(s):
         return JUNK
@@ -236,87 +243,127 @@ def _common_words(common: dict[str, set[str]]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.array([[w in common[lang] for lang in sorted(common)] for w in words], bool).reshape(len(words), len(common))[order]
 
 
-def profiles(docs: DataFrame, terms: set[str], phrases: np.ndarray, common: dict[str, set[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+_STATISTICS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "body_chars")
+_HITS = {"hit_phrase": pa.int64(), "hit_at": pa.int32(), "hit_line": pa.int32(), "hit_chars": pa.int32(), "hit_words": pa.int32(), "hit_kind": pa.int32()}
+
+
+def profiles(docs: DataFrame, model: LineModel, phrases: DataFrame, common: dict[str, set[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), salts: int = 8) -> DataFrame:
     """A row for each document whose text is neither null nor blank, with statistics of its body.
 
-    Columns: id, keep, words, mean_word_length, symbol_ratio (characters that are neither letters,
-    digits nor blanks), punctuated_lines (share of lines that end in punctuation), common_words (share
-    of words that are frequent words of any of the languages; the largest of them), and the shares of
-    the characters in running text, keyword rows, links, tags and anything else, all over the body; a
-    page without a body is measured by all its lines. The title line is passed over unless it is all.
+    Columns: id, keep, language (that of the frequent words the body has most of; ko where letters mostly
+    are Hangul; null without any), words, mean_word_length, symbol_ratio (characters that are neither
+    letters, digits nor blanks), punctuated_lines (share of lines that end in punctuation), common_words
+    (share of words that are frequent words of that language), body_chars, and the shares of the
+    characters in running text (prose), rows of advertising phrases (keywords), links, tags, and anything
+    else (other), all over the body; listed is links and tags where the page holds replicated phrases in
+    them, else 0. A page without a body is measured by all its lines. The title line is passed over
+    unless it is all. A line that describes a link in words is no row. Headings between sentences count for nothing.
+
+    phrases: as advertising_phrases gives them, read more than once.
     """
     columns = [F.col(id_col).alias("_id"), *(F.col(c) for c in keep)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    sent = docs.sparkSession.sparkContext.broadcast((terms, phrases, common))
-    names = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "body_chars", "prose", "keywords", "links", "tags", "other")
+    phrases = cut(phrases)
+    sent = docs.sparkSession.sparkContext.broadcast((model, filter_of(phrases, "phrase"), common))
+    kinds = ("c_prose", "c_links", "c_tags", "c_other")
 
     def make():
-        terms, phrases, common = sent.value
-        find = BodyFinder(terms, True, made_plain=True)
+        model, bits, common = sent.value
         frequent, languages = _common_words(common)
+        names = np.array([*sorted(common), "ko"], object)
 
         def each(batch):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for first, block in blocks([plain(t) for t in texts]):
-                count = LineCounts(block)
-                start = count.first
-                h, _, line_of, _, pair = phrase_hashes(block)
-                words, covered = covered_words(h, line_of, pair, len(count.chars), phrases)
-                columns = [x.tolist() for x in (words, covered, count.letters, count.ink, count.runs, count.tokens, count.meet, count.hangul)]
-                dense = 4.0 * ((words >= 4) & (covered >= COVERAGE * words))  # rows of advertising are no menu
-                split = [t.split("\n") for t in block.texts]
-                found = []
-                for k in range(0, len(split), 256):
-                    body, shapes, _ = find([(x, None) for x in split[k : k + 256]], [dense[a : a + len(x)] for a, x in zip(start[k : k + 256].tolist(), split[k : k + 256])])
-                    found += list(zip(body, shapes))
-                at, shares, chosen, owner, ended = [], [], [], [], []
-                for p, (lines, (body, shapes)) in enumerate(zip(split, found)):
-                    if not (t := block.texts[p]) or t.isspace():
-                        continue
-                    if len(body) == 0:
-                        body = [k for k in range(1 if len(lines) > 1 else 0, len(lines)) if lines[k].strip()] or [k for k in range(len(lines)) if lines[k].strip()]
-                        shapes = [None] * len(body)
-                    else:
-                        body, shapes = body.tolist(), shapes.tolist()
-                    share, a, n, small = [0] * 6, int(start[p]), 0, 0
-                    for k, shape in zip(body, shapes):
-                        line = lines[k]
-                        n += line.rstrip().endswith((".", "!", "?", "”", '"', "…", "。"))
-                        if shape != HEADING:
-                            kind = line_kind(line, *(c[a + k] for c in columns))
-                            share[kind] += len(line)
-                            small += kind == SMALL
-                    if small >= FEW:
-                        share[JUNK] += share[SMALL]
-                    chosen += [a + k for k in body]
-                    owner += [len(at)] * len(body)
-                    ended.append(n / len(body))
-                    at.append(p)
-                    shares.append(share)
-                if not at:
+                shapes = LineShapes(block)
+                lines = PageLines(block, True, shapes)
+                body = np.zeros(len(shapes.chars), bool)
+                body[lines.at[body_mask(model, lines)]] = True
+                heading = np.zeros(len(shapes.chars), bool)
+                heading[lines.at[lines.between & (lines.long < 4) & ~shapes.ended[lines.at]]] = True
+                inked = ~shapes.blank
+                # pages without a body: all lines but the title, or the title too if it is all
+                for mask in (inked & (np.arange(len(inked)) != shapes.first[shapes.text]), inked):
+                    none = np.bincount(shapes.text, body, len(block.texts)) == 0
+                    body |= mask & none[shapes.text]
+                chosen = np.flatnonzero(body)
+                if not len(chosen):
                     continue
-                chosen, owner, n = np.array(chosen), np.array(owner), len(at)
+                p = Phrases(block, shapes)
+                joined = block.joined
+                figures = [x[chosen].tolist() for x in (shapes.begin, shapes.end, p.words, shapes.letters, shapes.ink, shapes.runs, shapes.tokens, shapes.meet, shapes.hangul)]
+                kind = np.full(len(body), -1)
+                kind[chosen] = [line_kind(joined[a:b], *rest) for a, b, *rest in zip(*figures)]
+                kind[heading] = -1
+                # lines with enough of what may be advertising phrases; for links and tags one is enough
+                hit = np.flatnonzero(maybe_in(bits, p.hash) & (kind[p.line[p.at]] >= 0))
+                starts = np.zeros(len(p.line), bool)
+                starts[p.at[hit]] = True
+                share = np.bincount(p.line, starts, len(body))
+                listed = (kind == LINKS) | (kind == TAGS)
+                likely = ((share >= np.maximum(1, COVERAGE * p.words)) & ~p.address) | (listed & (share > 0))
+                hit = hit[likely[p.line[p.at[hit]]]]
+                hit = hit[np.argsort(p.text[p.at[hit]], kind="stable")]
+                line = p.line[p.at[hit]]
+
+                at, owner = np.unique(shapes.text[chosen], return_inverse=True)
+                n = len(at)
                 of = lambda x: np.bincount(owner, x[chosen], n)
-                letters, digits, ink, runs = of(count.letters), of(count.digits), np.maximum(1, of(count.ink)), of(count.runs)
-                # frequent words of each language, by line and then by document
-                best = np.zeros(n)
-                if len(h) and len(frequent):
+                letters, digits, ink, runs = of(shapes.letters), of(shapes.digits), np.maximum(1, of(shapes.ink)), of(shapes.runs)
+                hangul = of(shapes.letters * shapes.hangul) * 2 > letters
+                best, which = np.zeros(n), np.full(n, -1)
+                if len(p.line) and len(frequent):
+                    words = block.runs(LETTER)
+                    two = words[1] - words[0] > 1
+                    h = block.hashes(words[0][two], words[1][two])
                     where = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    hit = frequent[where] == h
-                    best = np.stack([of(np.bincount(line_of[hit], languages[where[hit], k], len(words))) for k in range(languages.shape[1])]).max(axis=0)
-                share = np.array(shares, np.float64)
-                total = share[:, :5].sum(axis=1)
-                share[total == 0, JUNK] = np.maximum(1, share[total == 0, SMALL])  # small lines count where there is nothing else
-                total = share[:, :5].sum(axis=1)
-                table = dict(zip(names, (runs, letters / np.maximum(1, runs), (ink - letters - digits) / ink, np.array(ended), best / np.maximum(1, of(words)), total, *(share[:, k] / total for k in (PROSE, KEYWORDS, LINKS, TAGS, JUNK)))))
-                rows = pa.array(np.array(at) + first)
+                    found = frequent[where] == h
+                    each_language = np.stack([of(np.bincount(p.line[found], languages[where[found], k], len(body))) for k in range(languages.shape[1])])
+                    best = each_language.max(axis=0)
+                    which = np.where(best > 0, each_language.argmax(axis=0), -1)
+                which = np.where((which < 0) & hangul, len(names) - 1, which)
+                chars = shapes.chars
+                table = {
+                    "language": [names[k] if k >= 0 else None for k in which.tolist()],
+                    **dict(zip(_STATISTICS, (runs, letters / np.maximum(1, runs), (ink - letters - digits) / ink, of(shapes.ended) / np.bincount(owner, minlength=n), best / np.maximum(1, of(p.words)), of(chars)))),
+                    **{name: of(chars * (kind == k)) for k, name in enumerate(kinds)},
+                }
+                per_page = np.bincount(np.searchsorted(at, p.text[p.at[hit]]), minlength=n)
+                flat = (p.hash[hit].view(np.int64), p.at[hit], line, chars[line], p.words[line], kind[line])
+                table |= {name: list_array(x, per_page, t) for (name, t), x in zip(_HITS.items(), flat)}
+                rows = pa.array(at + first)
                 yield {batch.schema.names[k]: batch.column(k).take(rows) for k in range(batch.num_columns - 1)} | table
 
         return each
 
-    return map_batches(docs.select(*columns, F.col(text_col).alias("_text")), make, f"{ddl}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("_id", id_col)
+    ddl = f"{ddl}, language string, " + ", ".join(f"{n} double" for n in (*_STATISTICS, *kinds)) + ", " + ", ".join(f"{n} array<{'long' if t == pa.int64() else 'int'}>" for n, t in _HITS.items())
+    measured = cut(map_batches(docs.select(*columns, F.col(text_col).alias("_text")), make, ddl).withColumn("_row", F.monotonically_increasing_id()))
+    # the exact join; a phrase of a third of all pages is spread over several tasks
+    hits = measured.where(F.size("hit_phrase") > 0).select("_row", F.explode(F.arrays_zip(*_HITS)).alias("x")).select("_row", "x.*").withColumn("_salt", F.pmod(F.col("_row"), F.lit(salts)).cast("int"))
+    salted = phrases.select(F.col("phrase").alias("hit_phrase"), F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt"))
+    exact = hits.join(salted, ["hit_phrase", "_salt"], "left_semi").groupBy("_row", "hit_line").agg(F.count_distinct("hit_at").alias("starts"), *(F.first(f"hit_{c}").alias(c) for c in ("chars", "words", "kind")))
+    listed = F.col("kind").isin(LINKS, TAGS)
+    stitched = ~listed & (F.col("starts") >= F.greatest(F.lit(1.0), COVERAGE * F.col("words")))
+    by_page = exact.groupBy("_row").agg(
+        F.sum(F.when(stitched, F.col("chars")).otherwise(0)).alias("keywords"),
+        *(F.sum(F.when(stitched & (F.col("kind") == k), F.col("chars")).otherwise(0)).alias(f"less_{name}") for k, name in ((PROSE, "prose"), (JUNK, "other"))),
+        F.max(listed).alias("replicated"),
+    )
+    out = measured.drop(*_HITS).join(by_page, "_row", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    total = F.col("c_prose") + F.col("c_links") + F.col("c_tags") + F.col("c_other")
+    share = lambda x: F.when(total > 0, x / total).otherwise(0.0)
+    shares = {
+        "prose": share(F.col("c_prose") - zero("less_prose")),
+        "keywords": share(zero("keywords")),
+        "links": share(F.col("c_links")),
+        "tags": share(F.col("c_tags")),
+        "other": F.when(total > 0, (F.col("c_other") - zero("less_other")) / total).otherwise(1.0),
+        "listed": F.when(F.coalesce("replicated", F.lit(False)), share(F.col("c_links") + F.col("c_tags"))).otherwise(0.0),
+    }
+    return out.select(F.col("_id").alias(id_col), *keep, "language", *_STATISTICS, *(c.alias(name) for name, c in shares.items()))
 
 
 def spam_pages(profiled: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of profiles whose body is, by characters, at least the share ``least`` keyword rows, links and tags."""
-    return profiled.where(F.col("keywords") + F.col("links") + F.col("tags") >= least)
+    """Rows of profiles whose body is, by characters, at least the share ``least`` rows of advertising phrases, and links and tags beside replicated phrases."""
+    return profiled.where(F.col("keywords") + F.col("listed") >= least)

@@ -1,11 +1,9 @@
 """Occurrences and records of every term, by suffix arrays.
 
-Each block of records gets a suffix array over its terms: suffixes are ordered by prefix doubling,
-neighbours in that order share a common prefix of n terms or more exactly where they begin with the
-same n-gram, and every maximal interval of such neighbours is one n-gram with its occurrences. Within
-an interval suffixes stand in order of position, so an n-gram's records are its occurrences less the
-neighbours that lie in one record. A record lies in one block, hence the counts of blocks add up:
-Spark sums (term, occurrences, records) after a first summing inside each task.
+Each block of records gets one suffix array over its terms (see suffix_array), from which n-grams of any
+length are read: their occurrences are intervals of common prefixes, their records these less the
+adjacencies within one record. A record lies in one block, hence the counts of blocks add up: Spark sums
+(term, occurrences, records) after a first summing inside each task.
 """
 
 from __future__ import annotations
@@ -17,45 +15,12 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .chars import LETTER, blocks
+from .suffix_array import SuffixArray
 
 #: Terms a task keeps before it sends its sums on.
 KEEP = 200_000
 
 
-def ngram_ranks(ids: np.ndarray, record: np.ndarray, n: int) -> np.ndarray:
-    """For each position the rank of the n terms from there among all n-grams, -1 where the record ends sooner."""
-    ranks, have = ids.astype(np.int64), 1
-    while have < n:  # prefix doubling: ranks of 2k terms from ranks of k terms
-        step = min(have, n - have)
-        whole = np.zeros(len(ids), bool)
-        whole[: len(ids) - have - step + 1] = record[: len(ids) - have - step + 1] == record[have + step - 1 :] if len(ids) >= have + step else False
-        at = np.flatnonzero(whole)
-        key = ranks[at] * (int(ranks.max(initial=0)) + 1) + ranks[at + step]
-        new = np.full(len(ids), -1, np.int64)
-        new[at] = np.unique(key, return_inverse=True)[1]
-        ranks, have = new, have + step
-    return ranks
-
-
-def interval_counts(ids: np.ndarray, record: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First position, occurrences and records of every n-gram.
-
-    ids: term numbers from 0 in order of position; record: their records, ascending.
-    """
-    ranks = ngram_ranks(ids, record, n)
-    at = np.flatnonzero(ranks >= 0)
-    order = at[np.argsort(ranks[at], kind="stable")]  # the suffix array, cut to prefixes of n terms
-    if not len(order):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    same = ranks[order][1:] == ranks[order][:-1]  # the common prefix with the neighbour has n terms
-    heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
-    occurrences = np.diff(np.append(heads, len(order)))
-    repeated = np.concatenate(([False], same & (record[order][1:] == record[order][:-1])))
-    records = occurrences - np.add.reduceat(repeated, heads, dtype=np.int64)
-    return order[heads], occurrences, records
-
-
 class _Sums:
     """Counts of a task, by n and term."""
 
@@ -84,8 +49,8 @@ def _summed(partial: DataFrame) -> DataFrame:
     return partial.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def text_term_counts(texts: DataFrame, text_col: str = "text", max_n: int = 1) -> DataFrame:
-    """(n, term, occurrences, records) of all n-grams of 1 to max_n words, words being the longest runs of letters of the lower-cased text, n-grams written with single blanks.
+def text_term_counts(texts: DataFrame, text_col: str = "text", lengths: tuple[int, ...] = (1,)) -> DataFrame:
+    """(n, term, occurrences, records) of all n-grams of the given lengths in words, words being the longest runs of letters of the lower-cased text, n-grams written with single blanks.
 
     Every row is a record; null and empty texts hold no term. Repeated rows count again.
     """
@@ -98,8 +63,9 @@ def text_term_counts(texts: DataFrame, text_col: str = "text", max_n: int = 1) -
                     continue
                 _, head, ids = np.unique(block.hashes(begin, end), return_index=True, return_inverse=True)
                 words = [block.joined[a:b] for a, b in zip(begin[head].tolist(), end[head].tolist())]
-                for n in range(1, max_n + 1):
-                    at, occurrences, records = interval_counts(ids, record, n)
+                suffixes = SuffixArray(ids, record)
+                for n in lengths:
+                    at, occurrences, records = suffixes.counts(n)
                     terms = [words[i] for i in ids[at].tolist()] if n == 1 else [" ".join(words[j] for j in ids[a : a + n].tolist()) for a in at.tolist()]
                     yield from self.add(n, terms, occurrences, records)
 
@@ -151,7 +117,7 @@ def value_term_counts(rows: DataFrame, record_col: str, values_col: str, salts:
                 if k == 0 and inner.any():
                     yield from self.take(ids[record == 0], words)
                     yield from self.close()
-                    at, occurrences, records = interval_counts(ids[inner], record[inner], 1)
+                    at, occurrences, records = SuffixArray(ids[inner], record[inner]).counts(1)
                     yield from self.add(1, [words[i] for i in ids[inner][at].tolist()], occurrences, records)
                 else:
                     yield from self.take(ids[record == k], words)

@@ -1,4 +1,9 @@
-"""Statistics of documents against their language's distribution, by mergeable quantile sketches."""
+"""Statistics of documents against their language's distribution, by mergeable quantile sketches.
+
+The share of running text in a body has two modes in a crawl, pages of prose and pages of lists, tables
+and junk, so its lower tail is cut where the language's own distribution divides best (the split of the
+sketch's quantiles with the largest variance between its parts), not at a number given beforehand.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,10 @@ from pyspark.sql import functions as F
 
 #: Statistics that profiles gives and that have a distribution in each language.
 STATISTICS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose")
-#: Least spread of each, so that a statistic most documents agree in does not flag the rest.
-LEAST_SPREAD = {"words": 20.0, "mean_word_length": 0.25, "symbol_ratio": 0.02, "punctuated_lines": 0.1, "common_words": 0.03, "prose": 0.1}
 #: Percentiles are read from the quantiles of these ranks.
 _RANKS = [k / 100 for k in range(101)]
+#: Share of a distribution's variance that lies between its two parts, above which it has two modes: a normal one has 0.64, an even one 0.75.
+TWO_MODES = 0.8
 
 
 def _at_most(value):
@@ -22,35 +27,72 @@ def quantile_sketches(rows: DataFrame, by: str, statistics: tuple[str, ...] = ST
     return rows.groupBy(by).agg(*(F.kll_sketch_agg_double(s).alias(s) for s in statistics), F.count("*").alias("documents"))
 
 
-def merged_sketches(sketches: DataFrame, by: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """Sketches of several parts (days, sources) as one for each value of ``by``."""
-    return sketches.groupBy(by).agg(*(F.kll_merge_agg_double(s).alias(s) for s in statistics), F.sum("documents").alias("documents"))
+def merged_sketches(sketches: DataFrame, by: str | None = None, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """Sketches of several parts (days, sources, languages) as one for each value of ``by``, or one of all."""
+    return sketches.groupBy(*([by] if by else [])).agg(*(F.kll_merge_agg_double(s).alias(s) for s in statistics), F.sum("documents").alias("documents"))
+
+
+def _quantiles(sketches: DataFrame, statistics: tuple[str, ...]) -> list:
+    ranks = F.array(*map(F.lit, _RANKS))
+    return [F.kll_sketch_get_quantile_double(s, ranks).alias(f"_q_{s}") for s in statistics]
+
+
+def _mean(values):
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def two_mode_split(quantiles):
+    """(share, cut, low, high): of all splits of evenly spaced quantiles the one with the largest variance between its parts, as a share of the whole variance; the midpoint between the means of the parts; and these means."""
+    middle = _mean(quantiles)
+    whole = F.aggregate(quantiles, F.lit(0.0), lambda a, x: a + (x - middle) * (x - middle)) / F.size(quantiles)
+
+    def split(k):
+        low, high = _mean(F.slice(quantiles, F.lit(1), k)), _mean(F.slice(quantiles, k + 1, F.size(quantiles) - k))
+        p = k / F.size(quantiles)
+        between = p * (1 - p) * (high - low) * (high - low)
+        return F.struct(F.coalesce(between / F.nullif(whole, F.lit(0.0)), F.lit(0.0)).alias("share"), ((low + high) / 2).alias("cut"), low.alias("low"), high.alias("high"))
+
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.size(quantiles) - 1), split))
+
+
+def cut_offs(sketches: DataFrame, by: str, statistic: str = "prose") -> DataFrame:
+    """(by, cut_off): where the statistic divides in two in each language; where a language shows one mode only, where it does over all languages, and null where it does not there either.
+
+    A language of a handful of pages, or one without a page of the rarer kind, is so judged by the others.
+    """
+    split = lambda df, *keep: df.select(*keep, two_mode_split(_quantiles(df, (statistic,))[0]).alias("x"))
+    two = lambda x: F.when(x["share"] >= TWO_MODES, x["cut"])
+    every = split(merged_sketches(sketches.select(statistic, "documents"), None, (statistic,))).select(two(F.col("x")).alias("_of_all"))
+    own = split(sketches, by).select(by, two(F.col("x")).alias("_own"))
+    return own.join(F.broadcast(every)).select(by, F.coalesce("_own", "_of_all").alias("cut_off"))  # one row is joined to a row a language
 
 
 def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """rows with, for each statistic s, s_percentile (0 to 1) and s_z: distance from the median in units of its spread.
+    """rows with cut_off, and for each statistic s s_percentile (0 to 1) and s_z: distance from the median in units of its spread.
 
-    The spread is the smaller of the distances from the median to the quartiles, / 0.6745, and at
-    least LEAST_SPREAD: up to half of the documents may lie far off on one side without hiding it.
+    The spread of either side is the distance from the median to the tenth or ninetieth percentile,
+    / 1.2816; where that is 0 the further percentiles take its place, and z is 0 where all are equal.
 
     sketches has a row for each value of ``by`` and is broadcast: the values are languages.
     """
-    ranks = F.array(*map(F.lit, _RANKS))
-    quantiles = sketches.select(F.col(by).alias("_by"), *(F.kll_sketch_get_quantile_double(s, ranks).alias(f"_q_{s}") for s in statistics))
-    joined = rows.join(F.broadcast(quantiles), rows[by].eqNullSafe(quantiles["_by"]), "left")
+    table = sketches.select(F.col(by).alias("_by"), *_quantiles(sketches, statistics))
+    cuts = cut_offs(sketches, by).withColumnRenamed(by, "_by_cut")
+    table = table.join(cuts, table["_by"].eqNullSafe(cuts["_by_cut"])).drop("_by_cut")
+    joined = rows.join(F.broadcast(table), rows[by].eqNullSafe(table["_by"]), "left")
     columns = {}
     for s in statistics:
         q = F.col(f"_q_{s}")
-        spread = F.greatest(F.least(q[75] - q[50], q[50] - q[25]) / 0.6745, F.lit(LEAST_SPREAD.get(s, 1e-9)))
-        columns[f"{s}_z"] = (F.col(s) - q[50]) / spread
+        spread = lambda side: F.coalesce(*(F.nullif(F.abs(q[50] - q[side(d)]), F.lit(0.0)) / z for d, z in ((40, 1.2816), (45, 1.6449), (49, 2.3263), (50, 3.0))))  # noqa: B023, E731
+        below, above = spread(lambda d: 50 - d), spread(lambda d: 50 + d)
+        away = F.col(s) - q[50]
+        columns[f"{s}_z"] = F.coalesce(F.when(away < 0, away / below).when(away > 0, away / above), F.lit(0.0))
         columns[f"{s}_percentile"] = F.size(F.filter(q, _at_most(F.col(s)))) / len(_RANKS)
     return joined.withColumns(columns).drop("_by", *(f"_q_{s}" for s in statistics))
 
 
-def not_prose(rows: DataFrame, tail: float = 5.0, least: float = 0.5) -> DataFrame:
-    """Rows of against_distribution whose running text is less than the share ``least`` of the body, spam pages, and rows far in the lower tail of the share of running text of their language.
+def not_prose(rows: DataFrame, spam: float = 0.5) -> DataFrame:
+    """Rows of against_distribution in the lower mode of the share of running text of their language, and spam pages (see spam_pages).
 
-    The first two do not depend on the language's distribution: what half of a language is does not hide them.
+    Where no distribution has two modes there is no tail, and spam pages are left.
     """
-    spam = F.col("keywords") + F.col("links") + F.col("tags") >= least
-    return rows.where((F.col("prose") < least) | spam | (F.col("prose_z") < -tail))
+    return rows.where(F.coalesce(F.col("prose") < F.col("cut_off"), F.lit(False)) | (F.col("keywords") + F.col("listed") >= spam))

@@ -5,8 +5,9 @@ tokens. A sequence of tokens is what the merge list makes of its bytes exactly i
 are: undoing the merges of both, latest first, never meets a pair that an earlier merge would have
 joined. So the last token of a prefix of the input is the only one ending there that fits the last
 token where it begins, and a table of the last tokens of the latest positions, one for each byte of
-the longest token, is all the state there is. A token is sent on once every path that can still go
-on has it; ``lookahead`` bounds, from the merge list, how many bytes that takes.
+the longest token, is all the state there is. ``lookahead`` bounds, from the merge list, how many bytes
+beyond a token can still change it; a token is sent on once so many bytes, and those of one more token,
+have come after it, so what is kept is bounded by the merge list and not by the text.
 
 Distinct pretokens of a block are transduced once and their ids laid out by array operations.
 """
@@ -145,21 +146,16 @@ class Transducer:
         return out
 
     def _settle(self) -> list[int]:
-        """Send the tokens that the paths to all positions where a later token can begin have in common."""
-        n = len(self.kept)
-        common: set[int] | None = None
-        for end in range(max(1, n - self.m.longest + 1), n + 1):
-            path, at = set(), end
-            while at > 0:
-                path.add(at)
-                at = self.last[at][1]
-            common = path if common is None else common & path
-        upto = max((p for p in common or () if p < n), default=0)
+        """Send the tokens of the path to the end that are further from it than a later byte can reach."""
+        fixed = len(self.kept) - self.m.lookahead - self.m.longest
+        upto = len(self.kept)
+        while upto > max(0, fixed):
+            upto = self.last[upto][1]
         if not upto:
             return []
         out = self._path(upto)
         end_token = self.last[upto][0]
-        self.last = [(end_token, 0)] + [(t, b - upto) for t, b in self.last[upto + 1 :]]
+        self.last = [(end_token, 0)] + [(t, b - upto) if b >= upto else (t, -1) for t, b in self.last[upto + 1 :]]
         del self.kept[:upto]
         self.base += upto
         return out
@@ -262,21 +258,19 @@ def pretoken_starts(block: Block) -> np.ndarray:
     return np.flatnonzero(opens[:n])
 
 
+@functools.cache
+def _safe():
+    import regex
+
+    return regex.compile(r"(?<=\S) (?=\p{L})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+
+
 def portions(text: str, size: int = BLOCK_CHARS):
-    """A text cut where a pretoken begins whatever stands around: before a blank between a character that is none and a letter."""
+    """A text cut where a pretoken begins whatever stands around: before a blank between a character that is none and a letter, and between letters and numbers."""
     begin = 0
-    while len(text) - begin > size:
-        cut = text.rfind(" ", begin + 1, begin + size)
-        while cut > 0 and (text[cut - 1].isspace() or not text[cut + 1].isalpha()):
-            cut = text.rfind(" ", begin + 1, cut)
-        if cut <= begin:  # no such place in the portion: the next one
-            cut = begin + size
-            while 0 <= (cut := text.find(" ", cut + 1)) < len(text) - 1 and (text[cut - 1].isspace() or not text[cut + 1].isalpha()):
-                pass
-            if not 0 < cut < len(text) - 1:
-                break
-        yield text[begin:cut]
-        begin = cut
+    while len(text) - begin > size and (cut := _safe().search(text, begin + size)):
+        yield text[begin : cut.start()]
+        begin = cut.start()
     yield text[begin:]
 
 

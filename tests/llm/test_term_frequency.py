@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from loamsift.llm import term_frequency as tf
+from loamsift.llm.suffix_array import SuffixArray
 
 
 def test_intervals_against_counting():
@@ -13,7 +14,14 @@ def test_intervals_against_counting():
         docs = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 6))]
         ids, record = np.array([x for d in docs for x in d]), np.array([k for k, d in enumerate(docs) for _ in d])
         ids = np.unique(ids, return_inverse=True)[1]
-        for n in (1, 2, 3, 5):
+        suffixes = SuffixArray(ids, record)
+        assert all(tuple(ids[a : suffixes.end[a]]) <= tuple(ids[b : suffixes.end[b]]) for a, b in zip(suffixes.order, suffixes.order[1:]))
+        classes = {}
+        for at, shortest, longest, o, r in suffixes.intervals():
+            for n in range(shortest, longest + 1):
+                classes[tuple(ids[at : at + n])] = (o, r)
+        repeated = {}
+        for n in range(1, 14):
             occurrences, records = Counter(), Counter()
             at = 0
             for d in docs:
@@ -21,9 +29,11 @@ def test_intervals_against_counting():
                 occurrences.update(grams)
                 records.update(set(grams))
                 at += len(d)
-            first, o, r = tf.interval_counts(ids, record, n)
+            first, o, r = suffixes.counts(n)
             got = {tuple(ids[i : i + n]): (a, b) for i, a, b in zip(first, o, r)}
             assert got == {g: (occurrences[g], records[g]) for g in occurrences}
+            repeated |= {g: c for g, c in got.items() if c[0] > 1}
+        assert classes == repeated
 
 
 def test_tables(spark):

@@ -51,6 +51,19 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.join(sizes, "group").select("doc_id", "group_id", "group_size", F.col("links").cast("long").alias("links"))
 
 
+SQL["p1_groups"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS class FROM s GROUP BY doc_id),
+q AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM q JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE same >= 0.8 * (x.n + y.n - same) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+g AS (SELECT a AS doc_id, min(b) AS group_id FROM r GROUP BY a),
+l AS (SELECT p.a AS doc_id, count(DISTINCT y.class) AS links FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE x.class <> y.class GROUP BY p.a)
+SELECT g.doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, coalesce(links, 0) AS links FROM g LEFT JOIN l USING (doc_id)
+"""
+
+
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = look_alike_pairs(table(spark, folder, "documents"))

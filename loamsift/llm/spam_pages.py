@@ -2,10 +2,10 @@
 
 Three passes over the texts and two joins:
 
-1. Phrase shingles of three words or more are taken from rows without sentences, in pages whose longer
-   lines mostly are such rows, exploded, and their distinct hosts counted. One word of a shingle may
-   vary (a made-up name, a brand), so "free shipping Dunrist desk lamp" has a shingle in common with
-   every other name. Words run together, as tags have them, give shingles of letters.
+1. Phrase shingles of three words are taken from rows without sentences, in pages whose longer lines
+   mostly are such rows, exploded, and their distinct hosts counted. They are taken as they are and with
+   any word in the middle (a made-up name, a brand), so "shipping Dunrist desk" is a phrase in common
+   with every other name. Words run together, as tags have them, give shingles of letters.
 2. Of phrases on several hosts the pages that hold them anywhere are counted, exactly. Advertising
    phrases are those found in such rows on a good part of the pages that have them at all.
 3. Every line of every body (see main_content) is measured, and the phrases in it are joined with the
@@ -66,11 +66,10 @@ class Phrases:
         self.address[self.line[np.isin(h, _address_words())]] = True
         unit, joined = _units(shapes, self.words, self.address)
         of = unit[self.line]
-        far = np.concatenate((of, [-1, -2, -3]))
-        x = np.concatenate((h, np.zeros(3, _U64)))
-        a, b, c, d = (x[k : k + n] for k in range(4))
-        three, four = far[2 : n + 2] == of, far[3 : n + 3] == of
-        families = [(_fold(1, a, b, c), three), (_fold(2, a, c), three), (_fold(3, a, c, d), four), (_fold(4, a, b, d), four)]
+        far = np.concatenate((of, [-1, -2]))
+        three = np.flatnonzero(far[2 : n + 2] == of)
+        ends = _fold(2, h[three], h[three + 2])  # of any three words, whatever the middle one
+        whole = _fold(1, ends, h[three + 1])
         # shingles of letters within words run together
         hangul = (block.cp[begin] >= 0xAC00) & (block.cp[begin] <= 0xD7A3) if n else np.zeros(0, bool)
         size = end - begin
@@ -80,30 +79,39 @@ class Phrases:
         count = size[long] - piece + 1
         start = np.repeat(begin[long], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         pieces = _fold(5, block.hashes(start, start + np.repeat(piece, count))) if len(long) else np.zeros(0, _U64)
-        self.hash = np.concatenate([f[ok] for f, ok in families] + [pieces])
-        self.at = np.concatenate([np.flatnonzero(ok) for _, ok in families] + [np.repeat(long, count)])
-        # rows: lines without a sentence, addresses, tags, and short lines that go on with few words
+        self.hash = np.concatenate((whole, ends, pieces))
+        self.at = np.concatenate((three, three, np.repeat(long, count)))
+        self._parts = shapes, h, size, unit, joined, three, whole
+
+    @functools.cached_property
+    def rows(self) -> np.ndarray:
+        """Lines without a sentence: long ones without an end, addresses, tags, short lines that go on with few words, and lines that say the same again."""
+        shapes, h, size, unit, joined, three, whole = self._parts
+        lines = len(self.words)
         letters = np.bincount(self.line, size, lines)
-        tags = (np.bincount(self.line, size * self.together, lines) * 2 >= letters) & (letters > 0)
-        again = np.zeros(lines, bool)
+        rows = self.address | ((np.bincount(self.line, size * self.together, lines) * 2 >= letters) & (letters > 0))
         if joined.any():
             inside = np.flatnonzero(joined[self.line])
-            key = mix(h[inside] + mix(of[inside].astype(_U64)))
-            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-            often = np.bincount(of[inside], times[which] >= 3, lines)
-            again = (often * 2 >= np.maximum(1, np.bincount(of[inside], minlength=lines)))[unit] & joined
-        # lines that say the same again: phrases of three words, and words of lines with bars, as menus do not
-        said = np.zeros(lines, bool)
-        for key, inside, bars in ((families[0][0], np.flatnonzero(three), False), (h, np.arange(n), True)):
-            if len(inside):
-                _, which, times = np.unique(mix(key[inside] + mix(self.line[inside].astype(_U64))), return_inverse=True, return_counts=True)
-                repeated = np.zeros(n + 2, bool)
-                for k in range(1 if bars else 3):
-                    repeated[inside[times[which] >= 2] + k] = True
-                share = np.bincount(self.line, repeated[:n], lines) >= AGAIN * np.maximum(1, self.words)
-                said |= share & (self.words >= 6) & ((shapes.bars >= 2) if bars else True)
-        self.rows = (~shapes.ended & (self.words >= 6) & (shapes.bars < 2)) | self.address | tags | again | said
-        self.longer = (self.words >= 6) | self.rows
+            of = unit[self.line[inside]]
+            _, which, times = np.unique(mix(h[inside] + mix(of.astype(_U64))), return_inverse=True, return_counts=True)
+            often = np.bincount(of, times[which] >= 3, lines)
+            rows |= (often * 2 >= np.maximum(1, np.bincount(of, minlength=lines)))[unit] & joined
+        # phrases of three words said again, and words said again between bars, as menus do not
+        barred = shapes.bars >= 2
+        for key, at, some, width in ((whole, three, (self.words >= 6) & shapes.ended, 3), (h, np.arange(len(h)), (self.words >= 6) & barred, 1)):
+            inside = some[self.line[at]]
+            key, at = key[inside], at[inside]
+            if len(at):
+                _, which, times = np.unique(mix(key + mix(self.line[at].astype(_U64))), return_inverse=True, return_counts=True)
+                again = np.zeros(len(self.line) + 2, bool)
+                for k in range(width):
+                    again[at[times[which] >= 2] + k] = True
+                rows |= some & (np.bincount(self.line, again[: len(self.line)], lines) >= AGAIN * np.maximum(1, self.words))
+        return rows | (~shapes.ended & (self.words >= 6) & ~barred)
+
+    @property
+    def longer(self) -> np.ndarray:
+        return (self.words >= 6) | self.rows
 
 
 def _fold(salt: int, *hashes: np.ndarray) -> np.ndarray:

@@ -56,15 +56,18 @@ def two_mode_split(quantiles):
 
 
 def cut_offs(sketches: DataFrame, by: str, statistic: str = "prose") -> DataFrame:
-    """(by, cut_off): where the statistic divides in two in each language; where a language shows one mode only, where it does over all languages, and null where it does not there either.
+    """(by, cut_off): where the statistic divides in two in each language.
 
-    A language of a handful of pages, or one without a page of the rarer kind, is so judged by the others.
+    A language that shows one mode only, or two on one side of where all languages together divide, is
+    judged by these, and so is one of a handful of pages or without a page of the rarer kind. cut_off is
+    null where neither divides.
     """
     split = lambda df, *keep: df.select(*keep, two_mode_split(_quantiles(df, (statistic,))[0]).alias("x"))
-    two = lambda x: F.when(x["share"] >= TWO_MODES, x["cut"])
-    every = split(merged_sketches(sketches.select(statistic, "documents"), None, (statistic,))).select(two(F.col("x")).alias("_of_all"))
-    own = split(sketches, by).select(by, two(F.col("x")).alias("_own"))
-    return own.join(F.broadcast(every)).select(by, F.coalesce("_own", "_of_all").alias("cut_off"))  # one row is joined to a row a language
+    two = F.col("x.share") >= TWO_MODES
+    every = split(merged_sketches(sketches.select(statistic, "documents"), None, (statistic,))).select(F.when(two, F.col("x.cut")).alias("_of_all"))
+    own = split(sketches, by).join(F.broadcast(every))  # one row beside the row of each language
+    apart = F.col("_of_all").isNull() | F.col("_of_all").between(F.col("x.low"), F.col("x.high"))
+    return own.select(by, F.coalesce(F.when(two & apart, F.col("x.cut")), F.col("_of_all")).alias("cut_off"))
 
 
 def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:

@@ -32,7 +32,8 @@ def operators(spark, docs):
     labelled = language_labels.label_languages(docs, model)
     targets = spark.createDataFrame([("s", 0.5, 3), ("none", 0.5, 2), (None, 0.1, 1), ("t", None, None)], "source string, target_share double, max_repeats int")
     counted = docs.withColumn("count", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(None))))
-    profiles = spam_pages.profiles(docs, main_content.shared_terms(docs), spam_pages.advertising_phrases(docs), {"en": {"the"}, "xx": set()}, keep=("lang",))
+    lines = main_content.fit_lines(counted)
+    profiles = spam_pages.profiles(docs, lines, spam_pages.advertising_phrases(docs), {"en": {"the"}, "xx": set()}, keep=("lang",))
     sketches = text_statistics.quantile_sketches(profiles, "lang")
     return {
         "pairs": near_duplicates.near_duplicate_pairs(docs, words=3, threshold=0.6),
@@ -40,9 +41,9 @@ def operators(spark, docs):
         "look": confusables.look_alike_pairs(docs),
         "classes": confusables.look_alike_classes(docs),
         "forms": confusables.consistent_texts(docs),
-        "terms": term_frequency.text_term_counts(docs, max_n=3),
+        "terms": term_frequency.text_term_counts(docs, lengths=(1, 2, 3)),
         "values": term_frequency.value_term_counts(counted, "doc_id", "count"),
-        "body": main_content.body_lines(counted, main_content.counted_terms(counted)),
+        "body": main_content.body_lines(counted, lines),
         "languages": language_labels.wrong_labels(labelled),
         "unlabelled": language_labels.label_languages(docs, language_labels.fit_from_tables(samples.where("false"))),
         "profiles": profiles,

@@ -51,6 +51,22 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pairs, expected)
 
 
+def test_a_line_is_one_chain(samples, lexicon):
+    """A line of 600 words whose language shows in its first words only: the names after them follow it to the end."""
+    model = ll.LanguageModel.fit(samples[:60], lexicon)
+    block = Block([ll.plain("der die und " + " ".join(f"{a}{b}" for a in ("xq", "zj", "qw", "vx") for b in ("zz", "qq", "jx", "vq", "wx")) * 8)])
+    begin, end, _ = block.runs(1)
+    assert len(begin) > 150
+    score = ll._Scorer(model)
+    scores = score(block, begin, end).astype(np.float64)
+    gamma, text, _, _ = ll.word_labels(model, score, block)
+    whole = ll.forward_backward(scores, np.array([0]), np.array([len(begin)]), model.transitions, model.begin)[0]
+    own = np.exp(scores - scores.max(axis=1, keepdims=True))
+    k = len(model.langs)
+    weight = ((1 / own.sum(axis=1) - 1 / k) / (1 - 1 / k)) ** 2
+    assert np.allclose(gamma, whole * weight[:, None])
+
+
 def test_documents_and_lines(spark, small, samples, lexicon):
     of = lambda lang, n=6: "\n".join([t for x, t in samples if x == lang and len(t.split()) >= 8][:n])
     other = next(t for x, t in samples if x == "fr" and len(t.split()) >= 9)

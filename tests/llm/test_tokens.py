@@ -57,7 +57,18 @@ def test_portions_and_memory(ours):
         got += t.feed(data[i : i + 37])
         most = max(most, len(t.kept))
     assert got + t.finish() == ts.transduce(ours.merges, data)
-    assert most <= 4 * ours.merges.longest and ours.merges.lookahead <= ours.merges.longest
+    assert most <= 4 * ours.merges.longest and ours.merges.lookahead + 2 * ours.merges.longest < 4 * ours.merges.longest
+
+
+@settings(max_examples=60, deadline=None)
+@given(text=st.text(st.sampled_from("aehinorst한국어é"), min_size=200, max_size=900))
+def test_what_is_sent_is_never_taken_back(ours, theirs, text):
+    """Tokens leave the transducer while bytes still come in; together they are those of the whole."""
+    data, t = text.encode(), ts.Transducer(ours.merges)
+    sent = [t.feed(data[i : i + 50]) for i in range(0, len(data), 50)]
+    ids = [i for part in sent for i in part]
+    whole = ts.transduce(ours.merges, data)
+    assert ids == whole[: len(ids)] and ids + t.finish() == whole == theirs(text)
 
 
 @settings(max_examples=100, deadline=None)
@@ -115,4 +126,6 @@ def test_long_texts_go_through_in_portions(ours, theirs):
     assert "".join(parts) == text and len(parts) > 50
     assert [i for p in parts for i in ours.encode(p)] == theirs(text)
     assert list(ts.portions("ab" * 3000, 500)) == ["ab" * 3000]
+    mixed = "ab12" * 3000
+    assert len(list(ts.portions(mixed, 500))) > 20 and [i for p in ts.portions(mixed, 500) for i in ours.encode(p)] == theirs(mixed)
     assert list(ts.portions("a" * 900 + " b" + "c" * 700 + "  d", 500)) == ["a" * 900, " b" + "c" * 700 + "  d"]

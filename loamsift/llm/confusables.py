@@ -3,7 +3,8 @@
 The skeleton of a text is its canonical decomposition, with every character replaced by the
 prototype of its look and the result decomposed again. Prototypes come from rules over the Unicode
 data (width, font, ligature and no-break variants; kinds of blanks; characters that show nothing)
-and from a short table of letters of other alphabets with the look of a Latin letter. Case, accents,
+and, for letters of other alphabets with the look of a Latin letter, from the confusables data of the
+Unicode Consortium that come with Spark's own libraries (ICU), with a short table beside them. Case, accents,
 digits against letters, superscripts and circled forms, the number and place of blanks and line
 breaks all show, and are kept. A zero-width joiner between two pictographs changes the picture, and
 is kept too.
@@ -65,16 +66,77 @@ def prototypes() -> dict[str, str]:
                 table[ch] = unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in rest.split()))
     for many, one in LOOK_ALIKES.items():
         table.update(zip(many, one))
-    for ch, to in list(table.items()):  # a prototype's own characters may have prototypes
+    return _closed(table)
+
+
+def _closed(table: dict[str, str]) -> dict[str, str]:
+    """The table with prototypes in place of the characters of its prototypes that have some."""
+    out = {}
+    for ch, to in table.items():
         while (further := "".join(table.get(x, x) for x in to)) != to:
             to = further
-        table[ch] = to
-    return table
+        out[ch] = to
+    return out
+
+
+@functools.cache
+def _confusable_letters() -> dict[str, str]:
+    """Letters of other alphabets and the Latin letter of their look and case, by ICU's confusables data; none where ICU is not there.
+
+    Of Latin letters that ICU takes for each other (I and l) the one of the same case stands.
+    """
+    from pyspark import SparkContext
+
+    letters = [chr(c) for c in range(0x100, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and not unicodedata.name(chr(c), "LATIN").startswith("LATIN")]
+    latin = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    try:
+        checker = SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        looks = checker.getSkeleton("\n".join([*latin, *letters])).split("\n")
+    except (AttributeError, TypeError):
+        return {}
+    if len(looks) != len(latin) + len(letters):
+        return {}
+    of: dict[str, list[str]] = {}
+    for c, look in zip(latin, looks):
+        of.setdefault(look, []).append(c)
+    out = {}
+    for c, look in zip(letters, looks[len(latin) :]):
+        fits = [x for x in of.get(look, ()) if x.isupper() == c.isupper()]
+        if fits:
+            out[c] = fits[0]
+    return out
+
+
+class Skeletons:
+    """Skeletons by the prototypes and further look-alikes."""
+
+    def __init__(self, more: dict[str, str]):
+        self.table = _closed(more | prototypes())
+        self.pattern = _pattern_of(self.table)
+
+    def __call__(self, text: str) -> str:
+        """The form that all texts of the same look share."""
+        if text.isascii() and not _PLAIN.search(text):
+            return text
+        text = text.replace("\r\n", "\n")
+        text = self.pattern.sub(lambda m: "".join(map(self.table.__getitem__, m[0])), unicodedata.normalize("NFD", text))
+        if "\u200d" in text:
+            text = _JOINER.sub("", text)
+        return unicodedata.normalize("NFD", text)
 
 
 @functools.cache
-def _pattern() -> re.Pattern:
-    points = sorted(map(ord, prototypes()))
+def _skeletons(more: tuple[tuple[str, str], ...] = ()) -> Skeletons:
+    return Skeletons(dict(more))
+
+
+def skeleton(text: str) -> str:
+    """The skeleton by the rules and the short table alone."""
+    return _skeletons()(text)
+
+
+def _pattern_of(table: dict[str, str]) -> re.Pattern:
+    points = sorted(map(ord, table))
     spans: list[list[int]] = []
     for p in points:
         if spans and p == spans[-1][1] + 1:
@@ -88,21 +150,9 @@ _JOINER = re.compile(f"(?<![{_PICTURE}])‍|‍(?![{_PICTURE}])")
 _PLAIN = re.compile("[\x00-\x09\x0b-\x1f\x7f]")
 
 
-def skeleton(text: str) -> str:
-    """The form that all texts of the same look share."""
-    if text.isascii() and not _PLAIN.search(text):
-        return text
-    text = text.replace("\r\n", "\n")
-    table = prototypes()
-    text = _pattern().sub(lambda m: "".join(map(table.__getitem__, m[0])), unicodedata.normalize("NFD", text))
-    if "‍" in text:
-        text = _JOINER.sub("", text)
-    return unicodedata.normalize("NFD", text)
-
-
-def consistent_form(text: str) -> str:
+def consistent_form(text: str, of: Skeletons | None = None) -> str:
     """The skeleton, composed: what to store in place of the text."""
-    return unicodedata.normalize("NFC", skeleton(text))
+    return unicodedata.normalize("NFC", (of or _skeletons())(text))
 
 
 def _key(text: str) -> bytes:
@@ -112,10 +162,13 @@ def _key(text: str) -> bytes:
 def consistent_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, form) for every row; null stays null, a text that shows nothing becomes what is left of it."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = tuple(_confusable_letters().items())  # some hundred letters
 
     def make():
+        of = _skeletons(more)
+
         def each(batch):
-            yield {"_id": batch.column(0), "form": [None if t is None else consistent_form(t) for t in batch.column(1).to_pylist()]}
+            yield {"_id": batch.column(0), "form": [None if t is None else consistent_form(t, of) for t in batch.column(1).to_pylist()]}
 
         return each
 
@@ -125,10 +178,13 @@ def consistent_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def skeleton_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, look, exact): 128-bit keys of the skeleton and of the text. Rows whose text is null or shows nothing are left out."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = tuple(_confusable_letters().items())
 
     def make():
+        of = _skeletons(more)
+
         def each(batch):
-            forms = [None if t is None or not (s := skeleton(t)).strip() else (_key(s), _key(t)) for t in batch.column(1).to_pylist()]
+            forms = [None if t is None or not (s := of(t)).strip() else (_key(s), _key(t)) for t in batch.column(1).to_pylist()]
             some = pa.array([x is not None for x in forms])
             yield {"_id": batch.column(0).filter(some), "look": [x[0] for x in forms if x], "exact": [x[1] for x in forms if x]}
 

@@ -146,7 +146,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray,
 def _sketches(darts: np.ndarray) -> np.ndarray:
     """Two bits of each dart of a signature, packed into 64-bit words: equal darts agree in both, others in each by chance."""
     h = mix(darts)
-    bits = np.stack([(h >> _U64(j)) & _U64(1) for j in (3, 7)], axis=2).astype(np.uint8).reshape(len(darts), -1)
+    bits = np.stack([(h >> _U64(j)) & _U64(1) for j in (3, 7)], axis=2).astype(np.uint8).reshape(len(darts), 2 * darts.shape[1])
     bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
     return np.packbits(bits, axis=1).view(np.int64)
 

@@ -10,7 +10,7 @@ Three passes over the texts and two joins:
    phrases are those found in such rows on a good part of the pages that have them at all.
 3. Every line of every body (see main_content) is measured, and the phrases in it are joined with the
    table of advertising phrases. A page is flagged if most of its body is rows stitched from them, or
-   bare links and tags on a page that holds such replicated phrases.
+   bare links and tags on a page that holds such replicated phrases, or hardly anything but these.
 
 The tables of phrases stay distributed. Tasks get a filter of fixed size made of them (see filters), which
 lets through every phrase of the table and some others; the exact joins come after it.
@@ -45,7 +45,9 @@ _BULLET = re.compile(r"^\s*(?:\d{1,4}[.)]|[-–•+●*■◆○□◇])\s")
 PROSE, LINKS, TAGS, JUNK = range(4)
 #: Share of a row's words at which an advertising phrase begins; the others are its further words and made-up names.
 COVERAGE = 0.15
-#: Share of a line's words in what it says more than once, above which it is no sentence.
+#: Share of a body that links and tags fill where they need no phrases of other hosts beside them.
+ALONE = 0.8
+#: Share of a line's words in what its sentences say more than once, above which they are none.
 AGAIN = 0.4
 #: Letters of a run that is no single word, and of the shingles in it; for Latin letters and for Hangul.
 _TOGETHER, _PIECE = (14, 7), (7, 3)
@@ -81,12 +83,14 @@ class Phrases:
         pieces = _fold(5, block.hashes(start, start + np.repeat(piece, count))) if len(long) else np.zeros(0, _U64)
         self.hash = np.concatenate((whole, ends, pieces))
         self.at = np.concatenate((three, three, np.repeat(long, count)))
-        self._parts = shapes, h, size, unit, joined, three, whole
+        stops = np.flatnonzero(np.logical_or.reduce([block.cp == ord(c) for c in ".!?。"]))
+        sentence = np.searchsorted(stops, begin) + (self.line << 32)
+        self._parts = shapes, h, size, unit, joined, three, whole, sentence
 
     @functools.cached_property
     def rows(self) -> np.ndarray:
-        """Lines without a sentence: long ones without an end, addresses, tags, short lines that go on with few words, and lines that say the same again."""
-        shapes, h, size, unit, joined, three, whole = self._parts
+        """Lines without a sentence: long ones without an end, addresses, tags, short lines that go on with few words, and lines whose sentences say the same again."""
+        shapes, h, size, unit, joined, three, whole, sentence = self._parts
         lines = len(self.words)
         letters = np.bincount(self.line, size, lines)
         rows = self.address | ((np.bincount(self.line, size * self.together, lines) * 2 >= letters) & (letters > 0))
@@ -96,13 +100,13 @@ class Phrases:
             _, which, times = np.unique(mix(h[inside] + mix(of.astype(_U64))), return_inverse=True, return_counts=True)
             often = np.bincount(of, times[which] >= 3, lines)
             rows |= (often * 2 >= np.maximum(1, np.bincount(of, minlength=lines)))[unit] & joined
-        # phrases of three words said again, and words said again between bars, as menus do not
+        # phrases of three words said again in one sentence, and words said again between bars, as menus do not
         barred = shapes.bars >= 2
         for key, at, some, width in ((whole, three, (self.words >= 6) & shapes.ended, 3), (h, np.arange(len(h)), (self.words >= 6) & barred, 1)):
             inside = some[self.line[at]]
             key, at = key[inside], at[inside]
             if len(at):
-                _, which, times = np.unique(mix(key + mix(self.line[at].astype(_U64))), return_inverse=True, return_counts=True)
+                _, which, times = np.unique(mix(key + mix(sentence[at].astype(_U64))), return_inverse=True, return_counts=True)
                 again = np.zeros(len(self.line) + 2, bool)
                 for k in range(width):
                     again[at[times[which] >= 2] + k] = True
@@ -367,7 +371,7 @@ def profiles(docs: DataFrame, model: LineModel, phrases: DataFrame, common: dict
         "links": share(F.col("c_links")),
         "tags": share(F.col("c_tags")),
         "other": F.when(total > 0, (F.col("c_other") - zero("less_other")) / total).otherwise(1.0),
-        "listed": F.when(F.coalesce("replicated", F.lit(False)), share(F.col("c_links") + F.col("c_tags"))).otherwise(0.0),
+        "listed": F.when(F.coalesce("replicated", F.lit(False)) | (share(F.col("c_links") + F.col("c_tags")) >= ALONE), share(F.col("c_links") + F.col("c_tags"))).otherwise(0.0),
     }
     return out.select(F.col("_id").alias(id_col), *keep, "language", *_STATISTICS, *(c.alias(name) for name, c in shares.items()))
 

@@ -22,3 +22,14 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.id_a, r.id_b) for r in c.look_alike_pairs(df).collect()} == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     assert {(r.doc_id, r.class_id, r.variants) for r in c.look_alike_classes(df).collect()} == {(i, 1, 3) for i in (1, 2, 3, 4)} | {(5, 5, 1)}
+
+
+def test_letters_of_other_alphabets(spark):
+    """What ICU's data add to the short table: other alphabets only, case kept, no letter taken from Latin."""
+    more = c._confusable_letters()
+    assert len(more) > 100 and all(len(b) == 1 and b.isascii() and a.isupper() == b.isupper() and not a.isascii() for a, b in more.items())
+    of = c.Skeletons(more)
+    assert of("Ꮤorld") == "World" and of("раураl") == "paypal"
+    for a, b in (("I", "l"), ("O", "0"), ("rn", "m"), ("ı", "i"), ("é", "e")):
+        assert of(a) != of(b)
+    assert all(of(of(x)) == of(x) for x in more)

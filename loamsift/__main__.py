@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import dedup, heuristics, lines, patterns, quality, sampling
 from .plans import pipelines
-from .session import ship_package
+from .session import shared_folder, ship_package
 from .sources import records, sinks
 
 
@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 
     s = step("baseline", "documents of WET files in one language")
     s.add_argument("--lang", choices=["en", "ko"], required=True)
-    s.add_argument("--english", default=None, metavar="MODULE:FUNCTION", help="a function from the text column to a boolean one")
+    s.add_argument("--english", default=None, metavar="MODULE:FUNCTION", help="a function from the text column to a boolean one; needed for en")
     s = step("count-lines", "in how many documents each line occurs")
     s.add_argument("--scope", nargs="*", default=[])
     s = step("merge-counts", "counts of finer scopes as one")
@@ -42,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     s = step("count-info", "texts without title with the counts of their lines")
     s.add_argument("--counts", required=True)
     s.add_argument("--scope", nargs="*", default=[])
+    s.add_argument("--train", type=int, nargs=2, metavar=("FROM", "TO"), default=None, help="shard_idx of the train split to take, TO not included")
+    s.add_argument("--valid", type=int, nargs=2, metavar=("FROM", "TO"), default=None)
     s = step("extract", "lines kept by the patterns; several values make a grid")
     for name, default in (("--red", [1000]), ("--green", [1])):
         s.add_argument(name, type=int, nargs="+", default=default)
@@ -49,11 +51,12 @@ def parser() -> argparse.ArgumentParser:
     s = step("heuristics", "document filters and line modifiers")
     s.add_argument("--shard-id", type=int, default=0)
     s.add_argument("--total-shards", type=int, default=1)
-    s.add_argument("--word-model", choices=["split", "fasttext", "uniseg"], default="split")
+    s.add_argument("--word-model", choices=["split", "fasttext", "uniseg"], default="uniseg")
     s = step("dedup", "without what was seen before")
     s.add_argument("--ngram", type=int, default=13)
+    s.add_argument("--min-words", type=int, default=1, help="paragraphs of fewer words are passed over")
     s.add_argument("--threshold", type=float, default=0.8)
-    s.add_argument("--remove", choices=["paragraph", "document", "both"], default="both")
+    s.add_argument("--remove", choices=dedup.REMOVE, default="both")
     s = step("quality", "documents a scorer rates at the threshold or above")
     s.add_argument("--threshold", type=float, default=0.018112)
     s.add_argument("--scorer", required=True, metavar="MODULE:FUNCTION", help="a function from the text column to a score")
@@ -79,24 +82,31 @@ def _read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         reader = spark.read.option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED")
         rows = (reader.option("pathGlobFilter", a.file_pattern) if a.file_pattern else reader).json(a.source)
-    return rows if "doc_id" in rows.columns or "text" not in rows.columns else rows.withColumn("doc_id", F.monotonically_increasing_id())
+    if a.limit > 0:
+        rows = rows.limit(a.limit)
+    if "doc_id" in rows.columns or "text" not in rows.columns:
+        return rows
+    # ids by place differ between two scans, so they are written once for the steps that join the rows with themselves
+    written = f"{shared_folder(spark)}/rows"
+    rows.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(written)
+    return spark.read.parquet(written)
 
 
 def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.step == "baseline":
         wet = records.read_wet(spark, a.source)
-        return pipelines.korean_baseline(wet) if a.lang == "ko" else pipelines.english_baseline(wet, _function(a.english) if a.english else lambda text: F.lit(True))
+        return (pipelines.korean_baseline(wet) if a.lang == "ko" else pipelines.english_baseline(wet, _function(a.english))).drop("error")
     if a.step == "split":
         paths = records.read_list(spark, a.source[0], "wet_path").withColumn("snapshot", F.lit(""))
         return sampling.split_shards(sampling.shuffled(paths, ["snapshot"], seed=a.seed), ["snapshot"], a.shards, a.pieces, a.valid).drop("snapshot")
     rows = _read(spark, a)
-    if a.limit > 0:
-        rows = rows.limit(a.limit)
     if a.step == "count-lines":
         return lines.document_frequency(rows, a.scope)
     if a.step == "merge-counts":
         return lines.merged(rows, a.scope)
     if a.step == "count-info":
+        if a.train or a.valid:
+            rows = sampling.sliced(rows, tuple(a.train or (0, 0)), tuple(a.valid or (0, 0)))
         counts = spark.read.parquet(a.counts) if a.format == "parquet" else spark.read.json(a.counts)
         return lines.count_info(rows, counts, a.scope)
     if a.step == "extract":
@@ -109,13 +119,16 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(a.total_shards)) == a.shard_id)
         return heuristics.heuristics(rows, word_model=a.word_model)
     if a.step == "dedup":
-        return dedup.drop_seen(rows, a.ngram, a.threshold, paragraphs=a.remove != "document", documents=a.remove != "paragraph")
+        return dedup.drop_seen(rows, a.ngram, a.threshold, remove=a.remove, least=a.min_words)
     score = _function(a.scorer)
     return quality.with_quality(rows, score, a.threshold) if a.step == "quality" else pipelines.curation(rows, score, a.threshold)
 
 
 def main(args: list[str]) -> None:
-    a = parser().parse_args(args)
+    p = parser()
+    a = p.parse_args(args)
+    if a.step == "baseline" and a.lang == "en" and not a.english:
+        p.error("baseline --lang en needs --english, which tells English texts from others")
     spark = SparkSession.builder.appName(f"loamsift {a.step}").getOrCreate()
     ship_package(spark)
     rows = result(spark, a)

@@ -15,6 +15,9 @@ from pyspark.sql.types import ArrayType, StringType
 #: White space as str.isspace has it, for Java's and RE2's regular expressions alike.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: Anything but white space.
+INK = "[^" + WS[1:]
+
 # Punctuation and its plain form.
 PUNCTUATION = {
     "，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"',
@@ -39,6 +42,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, rf"{WS}+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """size(words(text)) by one expression over the text."""
+    return F.regexp_count(text, F.lit(f"{INK}+"))
+
+
 def token_words(text: Column) -> Column:
     """Tokens between the delimiters of the fastText tokenizer that begin with a letter or number."""
     return F.filter(F.split(text, "[ \n\r\t\x0b\f\x00]+"), lambda w: w.rlike(r"^[\p{L}\p{N}]"))
@@ -122,6 +130,12 @@ def strip_accents(texts: pd.Series) -> pd.Series:
     return texts.map(plain)
 
 
+@pandas_udf(StringType())
+def compose(texts: pd.Series) -> pd.Series:
+    """Canonical composition; no built-in expression composes."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def normalize(line: Column, accent: bool = True, case: bool = True, numbers: bool = True, punct: int = 1) -> Column:
     """punct: 1 replaces punctuation, 2 removes it, anything else leaves it."""
     out = strip(line)
@@ -161,8 +175,13 @@ def spacing_for_tokenizer(text: Column, language: str = "en") -> Column:
     return out
 
 
+def spans(keys: Column, span: int = 1) -> Column:
+    """Every ``span`` keys that follow one another, joined by line ends; none where there are fewer."""
+    return keys if span == 1 else F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(keys) - span + 1, F.lit(1))), lambda i: F.size(keys) >= span), lambda i: F.array_join(F.slice(keys, i, span), "\n"))
+
+
 def line_hash(line: Column) -> Column:
-    """The first eight bytes of the line's SHA-1, low byte first, as decimal(20,0)."""
+    """The first eight bytes of the SHA-1 of a line, or of several joined, low byte first, as decimal(20,0)."""
     digest = F.sha1(F.encode(line, "UTF-8"))
     low_first = F.concat(*(F.substring(digest, 2 * k + 1, 2) for k in range(7, -1, -1)))
     return F.conv(low_first, 16, 10).cast("decimal(20,0)")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, lines_of, strip, token_word_count, words
+from ..functions.text import INK, WS, lines_of, strip, token_word_count, word_count
 from .repetition import passes
 
 # Words, marks and nouns that the filters look for.
@@ -31,7 +31,7 @@ def page_length(text: Column, least: int = 50, most: int = 100_000) -> Column:
 
 def mean_word_length(text: Column) -> Column:
     """Characters for each word; null without words."""
-    return F.length(F.regexp_replace(text, WS, "")) / F.nullif(F.size(words(text)), F.lit(0))
+    return F.length(F.regexp_replace(text, WS, "")) / F.nullif(word_count(text), F.lit(0))
 
 
 def word_length(text: Column, least: float = 3, most: float = 10) -> Column:
@@ -41,43 +41,45 @@ def word_length(text: Column, least: float = 3, most: float = 10) -> Column:
 def symbol_ratio_value(text: Column) -> Column:
     """Symbols for each word; null without words."""
     found = sum(((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s) for s in SYMBOLS), F.lit(0.0))
-    return found / F.nullif(F.size(words(text)), F.lit(0))
+    return found / F.nullif(word_count(text), F.lit(0))
 
 
 def symbol_ratio(text: Column, most: float = 0.1) -> Column:
     return F.coalesce(symbol_ratio_value(text) <= most, F.lit(False))
 
 
-def _share(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test)) / F.size(lines)
+def _line_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
+def _bullet_lines(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?<![^\n])[" + "".join(map(re.escape, BULLETS)) + "]"))
 
 
 def bullet_share(text: Column) -> Column:
-    return _share(lines_of(text), lambda x: F.substring(x, 1, 1).isin(BULLETS))
+    return _bullet_lines(text) / _line_count(text)
 
 
 def bullet_ratio(text: Column, most: float = 0.9) -> Column:
-    lines = lines_of(text)
-    return F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin(BULLETS))) <= F.lit(most) * F.size(lines)
+    return _bullet_lines(text) <= F.lit(most) * _line_count(text)
 
 
-def _ends_in_ellipsis(line: Column) -> Column:
-    return line.endswith(ELLIPSES[0]) | line.endswith(ELLIPSES[1]) | line.endswith(ELLIPSES[2])
+def _ellipsis_lines(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("(?:" + "|".join(map(re.escape, ELLIPSES)) + r")(?![^\n])"))
 
 
 def ellipsis_share(text: Column) -> Column:
-    return _share(lines_of(text), _ends_in_ellipsis)
+    return _ellipsis_lines(text) / _line_count(text)
 
 
 def ellipsis_ratio(text: Column, most: float = 0.3) -> Column:
-    lines = lines_of(text)
-    return F.size(F.filter(lines, _ends_in_ellipsis)) <= F.lit(most) * F.size(lines)
+    return _ellipsis_lines(text) <= F.lit(most) * _line_count(text)
 
 
 def non_alphabetic_share(text: Column) -> Column:
     """Share of words without a letter; null without words."""
-    found = words(text)
-    return F.size(F.filter(found, lambda w: ~w.rlike(r"\p{L}"))) / F.nullif(F.size(found), F.lit(0))
+    no_letter = INK[:-1] + r"\p{L}]"
+    return F.regexp_count(text, F.lit(rf"(?<!{INK}){no_letter}+(?!{INK})")) / F.nullif(word_count(text), F.lit(0))
 
 
 def alphabetic_words(text: Column, most: float = 0.2) -> Column:
@@ -85,8 +87,8 @@ def alphabetic_words(text: Column, most: float = 0.2) -> Column:
 
 
 def stop_word_count(text: Column, unique: bool = False) -> Column:
-    found = F.filter(words(F.lower(text)), lambda w: w.isin(STOP_WORDS))
-    return F.size(F.array_distinct(found) if unique else found)
+    pattern = F.lit(rf"(?<!{INK})(?:{'|'.join(STOP_WORDS)})(?!{INK})")
+    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), pattern, F.lit(0)))) if unique else F.regexp_count(F.lower(text), pattern)
 
 
 def stop_words(text: Column, least: int = 2, unique: bool = False) -> Column:
@@ -101,49 +103,66 @@ def collapse_newlines(text: Column, most: int = 2) -> Column:
     return F.regexp_replace(text, f"\n{{{most + 1},}}", "\n" * most)
 
 
+def _uppercase(line: Column, most: float = 0.5) -> Column:
+    return F.regexp_count(line, F.lit(r"\p{IsUppercase}")) / F.length(line) > most
+
+
+def _numeric(line: Column, most: float = 0.999999) -> Column:
+    return F.regexp_count(line, F.lit(rf"[\p{{Nd}}{OTHER_DIGITS}]")) / F.length(line) > most
+
+
+def _counter(line: Column) -> Column:
+    return F.lower(line).rlike(rf"^[^\p{{L}}\p{{N}}_]*\p{{Nd}}(?:,|\.|\p{{Nd}})*(?:k|m|b)?{WS}+(?:{COUNTED})[^\p{{L}}\p{{N}}_]*\z")
+
+
+def _of_words(line: Column, least: int = 2, most: int | None = None) -> Column:
+    n = word_count(line)
+    return n >= least if most is None else n.between(least, most)
+
+
 def drop_uppercase_lines(text: Column, most: float = 0.5) -> Column:
-    return _lines_where(text, lambda x: (x == "") | (F.regexp_count(x, F.lit(r"\p{IsUppercase}")) / F.length(x) <= most))
+    return _lines_where(text, lambda x: (x == "") | ~_uppercase(x, most))
 
 
 def drop_numeric_lines(text: Column, most: float = 0.999999) -> Column:
-    return _lines_where(text, lambda x: (x == "") | (F.regexp_count(x, F.lit(rf"[\p{{Nd}}{OTHER_DIGITS}]")) / F.length(x) <= most))
+    return _lines_where(text, lambda x: (x == "") | ~_numeric(x, most))
 
 
 def drop_counter_lines(text: Column) -> Column:
-    counter = rf"^[^\p{{L}}\p{{N}}_]*\p{{Nd}}(?:,|\.|\p{{Nd}})*(?:k|m|b)?{WS}+(?:{COUNTED})[^\p{{L}}\p{{N}}_]*\z"
-    return _lines_where(text, lambda x: ~F.lower(x).rlike(counter))
+    return _lines_where(text, lambda x: ~_counter(x))
 
 
 def drop_short_lines(text: Column, least: int = 2, most: int | None = None) -> Column:
     """Lines of less than ``least`` or more than ``most`` words go; empty lines stay."""
-
-    def test(x):
-        n = F.size(words(x))
-        return (x == "") | ((n >= least) & (F.lit(True) if most is None else n <= most))
-
-    return _lines_where(text, test)
+    return _lines_where(text, lambda x: (x == "") | _of_words(x, least, most))
 
 
-def remove_substring(text: Column, substrings: str | list[str], location: str = "any", max_words: int | None = 10, only_substring: bool = True, case_sensitive: bool = False) -> Column:
-    """Cut substrings, with one white space beside them, out of short lines; lines left blank by that go. With only_substring=False lines that hold one go as a whole."""
+def _without_substring(lines: Column, substrings: str | list[str], location: str, max_words: int | None = 10, only_substring: bool = True, case_sensitive: bool = False) -> Column:
     found = "(?:" + "|".join(re.escape(s) for s in ([substrings] if isinstance(substrings, str) else substrings)) + ")"
     pattern = {"prefix": rf"^{found}{WS}?", "suffix": rf"{WS}?{found}\z", "any": rf"{WS}?{found}"}[location]
     pattern = pattern if case_sensitive else f"(?iu){pattern}"
-    lines = lines_of(text)
-    short = (lambda x: F.lit(True)) if max_words is None else lambda x: F.size(words(x)) <= max_words
+    short = (lambda x: F.lit(True)) if max_words is None else lambda x: word_count(x) <= max_words
+    # most lines hold none of the substrings and are passed on as they are
+    hit = lambda x: x.rlike(pattern) & short(x)
     if not only_substring:
-        return F.array_join(F.filter(lines, lambda x: ~(short(x) & x.rlike(pattern))), "\n")
-    changed = F.transform(lines, lambda x: F.struct(x.alias("old"), F.when(short(x), F.regexp_replace(x, pattern, "")).otherwise(x).alias("new")))
-    stay = F.filter(changed, lambda z: (z["old"] == "") | ~short(z["old"]) | ~z["new"].rlike(rf"^{WS}*\z"))
-    return F.array_join(F.transform(stay, lambda z: z["new"]), "\n")
+        return F.filter(lines, lambda x: ~hit(x))
+    changed = F.transform(lines, lambda x: F.when(hit(x), F.regexp_replace(x, pattern, "")).otherwise(x))
+    # a line that is blank before and after goes too unless it is empty
+    gone = F.zip_with(lines, changed, lambda old, new: F.when((old == "") | ~short(old) | ~new.rlike(rf"^{WS}*\z"), new))
+    return F.filter(gone, lambda x: x.isNotNull())
+
+
+def remove_substring(text: Column, substrings: str | list[str], location: str = "any", max_words: int | None = 10, only_substring: bool = True, case_sensitive: bool = False) -> Column:
+    """Cut substrings, with one white space beside them, out of short lines; lines left blank by that go. With only_substring=False lines that hold one go as a whole."""
+    return F.array_join(_without_substring(lines_of(text), substrings, location, max_words, only_substring, case_sensitive), "\n")
 
 
 def modified(text: Column) -> Column:
-    """All modifiers in their order."""
-    out = drop_short_lines(drop_counter_lines(drop_numeric_lines(drop_uppercase_lines(collapse_newlines(text)))))
+    """All modifiers in their order, in one pass over the lines."""
+    lines = F.filter(lines_of(collapse_newlines(text)), lambda x: (x == "") | (_of_words(x) & ~_uppercase(x) & ~_numeric(x) & ~_counter(x)))
     for substring, location in REMOVED:
-        out = remove_substring(out, substring, location)
-    return out
+        lines = _without_substring(lines, substring, location)
+    return F.array_join(lines, "\n")
 
 
 def removal_ratio(before: Column, after: Column) -> Column:
@@ -158,7 +177,7 @@ def cheap_filters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.where(has_text(t) & bullet_ratio(t) & ellipsis_ratio(t) & page_length(t) & word_length(t) & symbol_ratio(t) & alphabetic_words(t) & stop_words(t))
 
 
-def heuristics(docs: DataFrame, text_col: str = "text", word_model: str = "split") -> DataFrame:
+def heuristics(docs: DataFrame, text_col: str = "text", word_model: str = "uniseg") -> DataFrame:
     """Documents that pass all filters, with the text as the modifiers leave it, without those that lose more than a twentieth of their words or all text.
 
     Nothing is shuffled. The costly repetition test sees what the cheap filters leave.

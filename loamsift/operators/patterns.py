@@ -6,7 +6,9 @@ dropped as a whole, and the lines of the kept runs remain.
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ def ptf_mask(colour: Column, k: Column | int = 3) -> Column:
     return _mask(runs, lambda x, i, last: x.startswith("g") | ((i > 0) & (i < last) & (F.length(x) <= k)))
 
 
+def pattern_mask(colour: Column, *expressions: str) -> Column:
+    """1 for the lines in a match of any of the caller's expressions over the colours (matches of one do not overlap)."""
+
+    def one(expression: str) -> Column:
+        pieces = F.split(F.regexp_replace(colour, expression, "|$0|"), "\\|", -1)  # at odd places the matches
+        return F.array_join(F.transform(pieces, lambda x, i: F.repeat(F.when(i % 2 == 1, "1").otherwise("0"), F.length(x))), "")
+
+    masks = [F.split(one(e), "(?!^)") for e in expressions]
+    return F.array_join(functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), masks), "")
+
+
+def marked_lines(rows: DataFrame, colour: Callable[[Column, Column], Column], *expressions: str) -> DataFrame:
+    """rows of ``counted`` with the lines in a match of an expression over a colouring of the caller's own, one letter a line."""
+    return _with_lines(rows, kept(F.col("lines"), pattern_mask(colour(F.col("lines"), F.col("counts")), *expressions)))
+
+
 def kept(lines: Column, mask: Column) -> Column:
     """Lines whose mask is 1."""
     pairs = F.zip_with(lines, F.split(mask, "(?!^)"), lambda x, m: F.struct(x.alias("line"), m.alias("keep")))

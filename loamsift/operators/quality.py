@@ -29,6 +29,25 @@ def scored_by(load: Scorer) -> Callable[[Column], Column]:
     return score
 
 
+def label_probability(load: Callable[[], object], label: str = "__label__hq", k: int = 2) -> Callable[[Column], Column]:
+    """The probability that a classifier gives a label, as a column function: 0 where the label is not among its k best.
+
+    load gives an object whose ``predict(text, k=k)`` returns labels and probabilities; it runs once a task.
+    Line ends are blanks for it.
+    """
+
+    def model():
+        classifier = load()
+
+        def one(text: str) -> float:
+            labels, scores = classifier.predict(text.replace("\n", " ").replace("\r", " "), k=k)
+            return next((float(s) for x, s in zip(labels, scores) if x == label), 0.0)
+
+        return lambda texts: texts.map(lambda t: one(t) if t else 0.0)
+
+    return scored_by(model)
+
+
 def hangul_share(text: Column) -> Column:
     """Share of Hangul syllables among the characters; null for null and empty texts."""
     return F.regexp_count(text, F.lit("[가-힣]")) / F.nullif(F.length(text), F.lit(0))
@@ -61,11 +80,13 @@ def with_quality(docs: DataFrame, score: Callable[[Column], Column], threshold:
     return some.withColumn(score_col, score(flat(F.col(text_col)))).where(F.col(score_col) >= threshold)
 
 
-def file_statistics(rows: DataFrame, by: str, kept: Column, score: Column | None = None) -> DataFrame:
-    """Total, kept and filtered rows of each file and, where ``by`` is null, of all; with averages of the scores of either part."""
+def file_statistics(rows: DataFrame, by: str, kept: Column, score: Column | None = None, malformed: Column | None = None) -> DataFrame:
+    """Total, kept and filtered rows of each file and, where ``by`` is null, of all; with averages of the scores of either part, and how many lines were malformed (they count as filtered)."""
     columns = [F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.count_if(~F.coalesce(kept, F.lit(False))).alias("filtered")]
     if score is not None:
         columns += [F.avg(F.when(kept, score)).alias("avg_score_kept"), F.avg(F.when(~F.coalesce(kept, F.lit(False)), score)).alias("avg_score_filtered")]
+    if malformed is not None:
+        columns.append(F.count_if(malformed).alias("malformed"))
     return rows.rollup(by).agg(*columns)
 
 

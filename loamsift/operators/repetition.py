@@ -127,26 +127,50 @@ def ngram_repetition(docs: DataFrame, sizes: list[int], id_col: str = "doc_id",
     return each.select(id_col, "x.n", "x.share").where("share is not null")
 
 
-def passes(text: Column, word_model: str = "split", paragraphs_too: bool = True) -> Column:
-    """Whether a text is within all limits for lines, paragraphs and n-grams of 2 to 10 words; null and empty texts are not."""
+def _splitter(word_model: str):
+    """A function from a text to the words whose n-grams are counted."""
+    if word_model == "split":
+        split = str.split
+    elif word_model == "fasttext":
+        import re
 
-    @arrow_udf(BooleanType())
-    def lines_pass(segments: pa.Array) -> pa.Array:
-        count, by_count, by_chars = segment_share_table(segments)
-        return pa.array((count <= 1) | ((by_count <= SEGMENT_LIMITS["line_count"]) & (by_chars <= SEGMENT_LIMITS["line_chars"])))
+        split = re.compile("[ \n\r\t\x0b\f\x00]+").split
+    elif word_model == "uniseg":
+        import regex
+
+        split = regex.compile(r"(?V1w)\b").split
+    else:
+        raise ValueError(f"no such word model: {word_model}")
+    return lambda text: [w for w in split(text) if w and w[0].isalnum()]
+
+
+def _lists(lists: list[list[str]]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for x in lists for w in x], pa.string()))
 
+
+def passes(text: Column, word_model: str = "uniseg", paragraphs_too: bool = True) -> Column:
+    """Whether a text is within all limits for lines, paragraphs and n-grams of 2 to 10 words; null and empty texts are not.
+
+    Only the text goes to Python, once; it is cut into lines, paragraphs and words there.
+    """
     limits = np.array(list(NGRAM_LIMITS.values()))
     sizes = list(NGRAM_LIMITS)
 
     @arrow_udf(BooleanType())
-    def ngrams_pass(words: pa.Array) -> pa.Array:
-        table = ngram_share_table(words, sizes)
-        return pa.array((np.isnan(table) | (table <= limits)).all(axis=1))
+    def pass_all(texts: pa.Array) -> pa.Array:
+        words_of = _splitter(word_model)
+        some = [t or "" for t in texts.to_pylist()]
+        ok = np.array([t != "" for t in some], bool)
+        for end in ("\n", "\n\n") if paragraphs_too else ("\n",):
+            count, by_count, by_chars = segment_share_table(_lists([[x for x in t.split(end) if x.strip()] for t in some]))
+            ok &= (count <= 1) | ((by_count <= SEGMENT_LIMITS["line_count"]) & (by_chars <= SEGMENT_LIMITS["line_chars"]))
+        table = ngram_share_table(_lists([words_of(t) if good else [] for t, good in zip(some, ok)]), sizes)
+        return pa.array(ok & (np.isnan(table) | (table <= limits)).all(axis=1))
 
-    ok = (F.coalesce(text, F.lit("")) != "") & lines_pass(paragraphs(text, "\n")) & ngrams_pass(counted_words(text, word_model))
-    return ok & lines_pass(paragraphs(text, "\n\n")) if paragraphs_too else ok
+    return pass_all(text)
 
 
-def repetition_verdict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_model: str = "split", paragraphs_too: bool = True) -> DataFrame:
+def repetition_verdict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_model: str = "uniseg", paragraphs_too: bool = True) -> DataFrame:
     """(id, passes) for every document."""
     return docs.select(id_col, passes(F.col(text_col), word_model, paragraphs_too).alias("passes"))

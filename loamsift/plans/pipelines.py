@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_data
 from ..operators.dedup import drop_seen
 from ..operators.heuristics import heuristics
-from ..operators.lines import counted_lines, document_frequency
+from ..operators.lines import at_least, counted_lines, document_frequency
 from ..operators.patterns import extracted, pld, ptf
 from ..operators.quality import korean, with_quality
 from ..sources.records import baseline
@@ -26,8 +26,13 @@ def korean_baseline(records: DataFrame) -> DataFrame:
 
 
 def extraction(docs: DataFrame, scope: list[str], red: int = 1000, green: int = 1, k: int | None = 3, id_col: str = "doc_id") -> DataFrame:
-    """(id, scope, text): lines counted over the scope, kept by both patterns; ``k`` None leaves out the second."""
-    rows = pld(counted_lines(docs, document_frequency(docs, scope), scope, id_col), red, green)
+    """(id, scope, text): lines counted over the scope, kept by both patterns; ``k`` None leaves out the second.
+
+    A count of ``green`` or less colours a line as none does, so only the few lines of more documents are
+    joined: most lines of a crawl stand in one.
+    """
+    frequency = at_least(document_frequency(docs, scope), green + 1)
+    rows = pld(counted_lines(docs, frequency, scope, id_col), red, green)
     return extracted(rows if k is None else ptf(rows, k), id_col, *scope)
 
 

@@ -108,15 +108,15 @@ def normalize_general(spark, folder):
     return documents(spark, folder).select("doc_id", T.normalize(t, accent=False).alias("replaced"), T.normalize(t, accent=False, punct=2).alias("removed"))
 
 
-@query("SELECT doc_id, regexp_replace(nfc_normalize(strip_accents(nfc_normalize(text))), '', '') AS text FROM documents WHERE NOT regexp_matches(text, '[가-힣ᄀ-ᇿ]')")
+@query("SELECT doc_id, nfc_normalize(strip_accents(nfc_normalize(text))) AS text FROM documents")
 def strip_accents(spark, folder):
-    """Texts without Hangul, which decomposition takes apart."""
-    return documents(spark, folder).where(~F.col("text").rlike("[가-힣ᄀ-ᇿ]")).select("doc_id", T.strip_accents(F.col("text")).alias("text"))
+    """Every document, Hangul and nulls included; composed again, for SQL has no decomposed form of Hangul to compare with."""
+    return documents(spark, folder).select("doc_id", T.compose(T.strip_accents(F.col("text"))).alias("text"))
 
 
 @query()
 def strip_accents_all(spark, folder):
-    """Every document, Hangul and nulls included; SQL has no decomposition of Hangul."""
+    """As the function leaves the texts, Hangul decomposed."""
     return documents(spark, folder).select("doc_id", T.strip_accents(F.col("text")).alias("text"))
 
 
@@ -150,6 +150,15 @@ def line_hash(spark, folder):
     return keyed.select("doc_id", "line_no", T.line_hash(T.normalize_for_dedup(F.col("line"))).alias("k"))
 
 
+@query(
+    f"WITH {_LINES}, k AS (SELECT doc_id, line_no, {s_key('line')} AS k, count(*) OVER (PARTITION BY doc_id) AS lines FROM l), w AS (SELECT doc_id, line_no, lines, k || chr(10) || lead(k) OVER o || chr(10) || lead(k, 2) OVER o AS k FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)), h AS (SELECT doc_id, line_no, sha1(k) AS h FROM w WHERE line_no + 2 <= lines) SELECT doc_id, line_no, (list_sum(list_transform(range(0, 8), lambda i: (('0x' || substr(h, 2 * i::INT + 1, 2))::INT)::DECIMAL(38,0) * (1::HUGEINT << (8 * i::INT))::DECIMAL(38,0))))::DECIMAL(20,0) AS k FROM h"
+)
+def span_hash(spark, folder):
+    """Hashes of every three lines that follow one another."""
+    keys = nonempty(spark, folder).select("doc_id", F.posexplode(T.spans(F.transform(T.lines_of(F.col("text")), T.normalize_for_dedup), 3)).alias("n", "key"))
+    return keys.select("doc_id", (F.col("n") + 1).alias("line_no"), T.line_hash(F.col("key")).alias("k"))
+
+
 @query(
     f"SELECT doc_id, len({s_words('text')}) AS by_space, len(list_filter(regexp_split_to_array(text, '[ \\n\\r\\t\\x0b\\f\\x00]+'), lambda w: w <> '' AND NOT regexp_matches(w, {_quoted('^' + WS + '*' + chr(92) + 'z')}))) AS by_delimiter, len({s_tokens('text')}) AS with_letters FROM documents WHERE text IS NOT NULL"
 )
@@ -305,6 +314,13 @@ def ld(spark, folder):
     return patterns.extracted(patterns.ld(patterns.counted(latest(spark, folder))), "doc_id")
 
 
+@query(f"WITH {_ROWS}, c AS (SELECT 1 AS e, doc_id, i, line, CASE WHEN coalesce(n, 0) > {_RED} THEN 'r' WHEN coalesce(n, 0) > {_GREEN} THEN 'y' ELSE 'g' END AS c FROM l0), s AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM c), u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s), z AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS size FROM u), m AS (SELECT * FROM z WHERE (c = 'r' AND size >= 3) OR (c = 'y' AND size >= 2)) {_joined_sql('m')}")
+def marked_lines(spark, folder):
+    """Lines in runs of three red ones or more, or of two yellow ones: patterns of the caller's own."""
+    colour = lambda ls, ns: F.array_join(F.transform(ns, lambda n: F.when(F.coalesce(n, F.lit(0)) > _RED, "r").when(F.coalesce(n, F.lit(0)) > _GREEN, "y").otherwise("g")), "")
+    return patterns.extracted(patterns.marked_lines(patterns.counted(latest(spark, folder)), colour, "r{3,}", "y{2,}"), "doc_id")
+
+
 @query(f"WITH {_ROWS}, {_pld_sql(_ONE)} {_joined_sql('kept')}")
 def pld(spark, folder):
     return patterns.extracted(patterns.pld(patterns.counted(latest(spark, folder)), _RED, _GREEN), "doc_id")
@@ -328,6 +344,15 @@ _PLD_GRID = f"SELECT 'pld-r' || red || '-g' || green AS e, red, green FROM (SELE
 _PTF_GRID = f"SELECT 'pld-r50-g3-ptf-' || k AS e, 50 AS red, 3 AS green FROM (SELECT unnest({PTF_GRID[2]}) AS k)"
 
 
+_DEFAULT = "SELECT 1 AS e, 1000 AS red, 1 AS green"
+
+
+@query(f"WITH {_ROWS}, {_pld_sql(_DEFAULT)}, {_ptf_sql('kept', '3')} {_joined_sql('ended')}")
+def pld_ptf_default(spark, folder):
+    """Both patterns as they are set for English: red above 1000 documents, yellow above 1, three lines between."""
+    return patterns.extracted(patterns.ptf(patterns.pld(patterns.counted(latest(spark, folder)))), "doc_id")
+
+
 @query(f"WITH {_ROWS}, {_pld_sql(_PLD_GRID)} SELECT e AS experiment, doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM kept GROUP BY e, doc_id")
 def pld_grid(spark, folder):
     rows = patterns.grid(patterns.counted(latest(spark, folder)), *PLD_GRID)
@@ -485,7 +510,14 @@ verdict AS (SELECT doc_id, min(ok) AS passes FROM ok GROUP BY doc_id)"""
 
 
 @query(f"WITH {_VERDICT} SELECT doc_id, passes FROM verdict")
+def repetition_verdict_split(spark, folder):
+    """Words at white space, which SQL can express."""
+    return repetition.repetition_verdict(documents(spark, folder), word_model="split")
+
+
+@query()
 def repetition_verdict(spark, folder):
+    """Words between Unicode word boundaries; tests hold it against counting in Python."""
     return repetition.repetition_verdict(documents(spark, folder))
 
 
@@ -551,17 +583,23 @@ _MODIFIED = ", ".join(f"{name} AS (SELECT *, {sql} AS {name} FROM {before})".rep
 AND len({s_tokens('text')}) BETWEEN 50 AND 100000 AND {_MEAN} BETWEEN 3 AND 10 AND {_SYMBOLS} <= 0.1 AND {_ALPHA} <= 0.2 AND len({_STOPS}) >= 2),
 {_MODIFIED} SELECT doc_id, m8 AS text FROM t_m8 WHERE (len({s_tokens('text')}) - len({s_tokens('m8')})) / len({s_tokens('text')}) <= 0.05 AND {s_strip('m8')} <> ''"""
 )
+def heuristics_split(spark, folder):
+    return heuristics.heuristics(documents(spark, folder), word_model="split").select("doc_id", "text")
+
+
+@query()
 def heuristics_full(spark, folder):
+    """All filters and modifiers, words of the repetition test between Unicode word boundaries."""
     return heuristics.heuristics(documents(spark, folder)).select("doc_id", "text")
 
 
 # ---- removal of what was seen before
 
 
-def _seen_sql(n: int) -> str:
+def _seen_sql(n: int, least: int = 1) -> str:
     return f"""pa AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL),
 pw AS (SELECT doc_id, p, {s_words('part')} AS w FROM pa),
-pg AS (SELECT doc_id, p, unnest(list_transform(range(1, greatest(len(w) - {n} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], chr(1)))) AS gram FROM pw WHERE len(w) > 0),
+pg AS (SELECT doc_id, p, unnest(list_transform(range(1, greatest(len(w) - {n} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], chr(1)))) AS gram FROM pw WHERE len(w) >= {least}),
 fi AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY gram) AS first FROM pg),
 se AS (SELECT doc_id, p, count(*) AS ngrams, count(*) FILTER (WHERE first < (doc_id, p)) AS seen FROM fi GROUP BY ALL)"""
 
@@ -580,6 +618,20 @@ def drop_seen(spark, folder):
     return dedup.drop_seen(documents(spark, folder)).select("doc_id", "text")
 
 
+@query(
+    f"""WITH {_seen_sql(8, 4)}, gone AS (SELECT doc_id, sum(seen) / sum(ngrams) AS share FROM se GROUP BY doc_id) SELECT d.doc_id FROM documents d LEFT JOIN gone USING (doc_id) WHERE NOT coalesce(share > 0.5, false)"""
+)
+def drop_seen_documents(spark, folder):
+    """Only whole documents are removed, by n-grams of four to eight words."""
+    return dedup.drop_seen(documents(spark, folder), 8, 0.5, remove="document", least=4).select("doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
+def drop_exact(spark, folder):
+    """The first document of each text."""
+    return dedup.drop_seen(documents(spark, folder), remove="exact").select("doc_id")
+
+
 # ---- languages, scores, statistics
 
 
@@ -649,7 +701,103 @@ def record_counts(spark, folder):
     return log.rollup("wet_path").agg(F.count("*").alias("total"), F.count_if(F.col("english") == 1).alias("english"))
 
 
-# ---- records and files
+# ---- files
+
+
+def _written(spark) -> str:
+    return shared_folder(spark)
+
+
+@query(f"WITH {_RECORDS} SELECT wet_path, row_number() OVER (PARTITION BY wet_path ORDER BY idx) AS idx, rec_type, list_filter(map_entries(headers), lambda e: lower(e.key) = 'warc-target-uri')[1].value AS uri, coalesce(text, '') AS text FROM r")
+def wet_archive(spark, folder):
+    """Records written as gzipped WET files, one for each path, and read again, numbered as they stand in the file."""
+    base = _written(spark)
+    rows = _records(spark, folder)
+    text = F.coalesce("text", F.lit(""))
+    names = F.filter(F.map_entries("headers"), lambda e: ~F.lower(e["key"]).isin("warc-type", "content-length", "test-path"))
+    heads = F.array_join(F.transform(names, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\r\n")
+    value = F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), "rec_type", F.lit("\r\nTest-Path: "), "wet_path", F.lit("\r\nContent-Length: "), F.octet_length(text), F.when(heads != "", F.concat(F.lit("\r\n"), heads)).otherwise(""), F.lit("\r\n\r\n"), text)
+    files = rows.select("wet_path", "idx", F.xxhash64("wet_path").alias("file"), value.alias("value")).repartition("file").sortWithinPartitions("file", "idx").select("file", "value")
+    files.write.partitionBy("file").option("compression", "gzip").option("lineSep", "\r\n\r\n").text(base)
+    read = records.read_wet(spark, f"{base}/*/*.gz")
+    return read.select(records.header(F.col("headers"), "Test-Path").alias("wet_path"), "idx", "rec_type", records.header(F.col("headers"), "WARC-Target-URI").alias("uri"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _json_files(spark, folder) -> str:
+    """Documents as JSON lines, and with every tenth of them a line that is none."""
+    from ..sources import sinks
+
+    base = _written(spark)
+    sinks.write_json_lines(documents(spark, folder).select("doc_id", "text", "host"), f"{base}/good")
+    documents(spark, folder).where("doc_id % 10 = 0").select(F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "text": "broken')).alias("value")).write.option("compression", "gzip").text(f"{base}/bad")
+    return base
+
+
+@query("SELECT doc_id, text, host FROM documents")
+def json_lines_tolerant(spark, folder):
+    """Malformed lines are passed over."""
+    return records.read_json_lines(spark, _json_files(spark, folder), "doc_id long, text string, host string", pattern="*.gz")
+
+
+@query("SELECT doc_id, text, false AS malformed FROM documents UNION ALL SELECT NULL, NULL, true FROM documents WHERE doc_id % 10 = 0")
+def json_lines_flagged(spark, folder):
+    """Malformed lines are kept and marked."""
+    return records.read_json_lines(spark, _json_files(spark, folder), "doc_id long, text string", mode="flagged", pattern="*.gz")
+
+
+@query("SELECT doc_id, text FROM documents")
+def json_lines_strict(spark, folder):
+    """Every line must be an object."""
+    return records.read_json_lines(spark, f"{_json_files(spark, folder)}/good", "doc_id long, text string", mode="strict", pattern="*.gz")
+
+
+@query("SELECT count(*) AS malformed FROM documents WHERE doc_id % 10 = 0")
+def json_lines_check(spark, folder):
+    """How many lines are no JSON object."""
+    return records.all_json(spark.read.option("recursiveFileLookup", "true").text(_json_files(spark, folder)))
+
+
+@query("SELECT coalesce(host, 'bad') AS host, count(*) AS total, count(*) FILTER (WHERE text <> '') AS kept, count(*) FILTER (WHERE NOT coalesce(text <> '', false)) AS filtered, count(*) FILTER (WHERE bad) AS malformed FROM (SELECT host, text, false AS bad FROM documents UNION ALL SELECT 'bad', NULL, true FROM documents WHERE doc_id % 10 = 0) GROUP BY coalesce(host, 'bad')")
+def file_statistics_malformed(spark, folder):
+    rows = records.read_json_lines(spark, _json_files(spark, folder), "doc_id long, text string, host string", mode="flagged", pattern="*.gz").withColumn("host", F.coalesce("host", F.lit("bad")))
+    return quality.file_statistics(rows, "host", F.coalesce(F.col("text") != "", F.lit(False)), malformed=F.col("malformed")).where("host is not null")
+
+
+@query(_DF + "SELECT snapshot, line_key, least(df, 65535)::INT AS df FROM df")
+def frequency_files(spark, folder):
+    """Line counts written by snapshot and read again."""
+    from ..sources import sinks
+
+    base = _written(spark)
+    maps = lines.document_frequency(documents(spark, folder), ["snapshot"]).withColumn("df", T.saturating(F.col("df")))
+    sinks.write_frequency(maps, base, ["snapshot"])
+    return spark.read.schema("line_key string, df int, snapshot string").parquet(base)
+
+
+@query(f"WITH {_PATHS} SELECT wet_path FROM p")
+def path_list_file(spark, folder):
+    """Paths written as a list, one a line with blanks around, and read again in file order."""
+    base = _written(spark)
+    _paths(spark, folder).select(F.concat(F.lit(" "), "wet_path", F.lit(" ")).alias("value")).coalesce(1).write.text(base)
+    return records.read_list(spark, base, "wet_path").select("wet_path")
+
+
+@query(f"WITH {_RECORDS} SELECT wet_path, idx, {s_normalize_data('text')} AS text FROM r WHERE rec_type = 'conversion' AND text <> '' AND len({_STOPS}) >= 5")
+def english_baseline(spark, folder):
+    """The whole step from records to normalized texts in English, told by stop words here."""
+    from .pipelines import english_baseline as whole
+
+    return whole(_records(spark, folder), lambda t: heuristics.stop_word_count(t) >= 5).select("wet_path", "idx", "text")
+
+
+@query(f"WITH {_RECORDS} SELECT wet_path, idx, text FROM r WHERE rec_type = 'conversion' AND {_HANGUL}")
+def korean_baseline(spark, folder):
+    from .pipelines import korean_baseline as whole
+
+    return whole(_records(spark, folder)).select("wet_path", "idx", "text")
+
+
+# ---- records and lists
 
 
 @query(f"WITH {_RECORDS} SELECT wet_path, idx, {s_normalize_data('text')} AS text, array_to_string(list_sort(list_filter(map_keys(headers), lambda k: k <> 'WARC-Identified-Content-Language')), ',') AS names FROM r WHERE rec_type = 'conversion' AND text IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -11,19 +11,79 @@ LANGUAGE_HEADER = "WARC-Identified-Content-Language"
 
 
 def read_wet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(wet_path, idx from 1, rec_type, headers, text) of WET files, gzipped or not.
-
-    A record's bytes reach one row; files are the unit of work, for gzip cannot be split. idx counts a
-    file's records. A record without a blank line after its headers has a null text.
+    """(wet_path, idx from 1, rec_type, headers, text, error) of gzipped WET files, without a shuffle.
+
+    A gzipped file cannot be split, so one task reads it from its first record to its last, record by
+    record, and numbers them as they come. A record begins after the blank lines that end the one before
+    it; where its Content-Length says that it is longer, what follows belongs to it, whatever it looks
+    like. Headers keep the first of several of a name. A record without a blank line after its headers
+    has a null text and error ``no body``; one that ends before its Content-Length has error ``short``,
+    and what there is of its text. Files that are not gzipped are read whole by one task each.
     """
-    rows = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select(F.input_file_name().alias("wet_path"), F.monotonically_increasing_id().alias("_at"), "value").where("value <> ''")
-    head = F.substring_index("value", "\r\n\r\n", 1)
-    body = F.when(F.instr("value", "\r\n\r\n") > 0, F.substring("value", F.length(head) + 5, F.length("value")))
-    pairs = F.transform(F.filter(F.split(head, "\r\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    first = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == p["i"] + 1)
-    headers = F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], p["v"])))
-    out = rows.select("wet_path", "_at", headers.alias("headers"), F.regexp_replace(body, r"\r\n\r\n\z", "").alias("text"))
-    return out.select("wet_path", F.row_number().over(Window.partitionBy("wet_path").orderBy("_at")).cast("long").alias("idx"), header(F.col("headers"), "WARC-Type").alias("rec_type"), "headers", "text")
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = spark.read.option("lineSep", _RECORD_END + _RECORD_BEGIN).text(paths).select(F.input_file_name().alias("wet_path"), "value")
+    return rows.mapInArrow(_wet_records, "wet_path string, idx long, rec_type string, headers map<string,string>, text string, error string")
+
+
+_RECORD_BEGIN, _RECORD_END = "WARC/1.0\r\n", "\r\n\r\n"
+#: Records that are sent on together.
+_WET_ROWS = 512
+
+
+def _wet_record(piece: str) -> tuple[str | None, list[tuple[str, str]], str | None, int | None]:
+    """Type, headers, body and stated length of a record."""
+    head, blank, body = piece.partition(_RECORD_END)
+    headers: dict[str, str] = {}
+    for line in head.split("\r\n"):
+        name, colon, value = line.partition(":")
+        if colon:
+            headers.setdefault(name.strip(), value.strip())
+    by_name = {name.lower(): value for name, value in reversed(headers.items())}
+    length = by_name.get("content-length", "")
+    return by_name.get("warc-type"), list(headers.items()), body if blank else None, int(length) if length.isdigit() else None
+
+
+def _wet_records(batches):
+    import pyarrow as pa
+
+    schema = pa.schema([("wet_path", pa.string()), ("idx", pa.int64()), ("rec_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("error", pa.string())])
+    out: list[tuple] = []
+    at, number, held = None, 0, None  # the record at hand waits for what may belong to it
+
+    def close():
+        nonlocal held, number
+        if held is not None:
+            number += 1
+            kind, headers, body, length = held
+            size = None if body is None else len(body.encode("utf-8", "surrogatepass"))
+            if body is not None and size > (length or 0) and body.endswith(_RECORD_END):
+                body = body[: -len(_RECORD_END)]  # the last record of a file
+            error = "no body" if body is None else "short" if length is not None and size < length else None
+            out.append((at, number, kind, headers, body, error))
+        held = None
+
+    def batch():
+        rows, out[:] = list(out), []
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for rows in batches:
+        for path, piece in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            if path != at:
+                close()
+                at, number = path, 0
+                piece = piece.removeprefix(_RECORD_BEGIN)
+                if not piece.strip():
+                    continue
+            elif held is not None and held[2] is not None and held[3] is not None and len(held[2].encode("utf-8", "surrogatepass")) + len(_RECORD_END + _RECORD_BEGIN) <= held[3]:
+                held = (*held[:2], held[2] + _RECORD_END + _RECORD_BEGIN + piece, held[3])
+                continue
+            close()
+            held = _wet_record(piece)
+            if len(out) >= _WET_ROWS:
+                yield batch()
+    close()
+    if out:
+        yield batch()
 
 
 def header(headers: Column, name: str) -> Column:

@@ -68,3 +68,14 @@ def test_both_patterns(spark, lines, counts, left):
 def test_rows_that_do_not_match_are_passed_over(spark):
     rows = spark.createDataFrame([(1, None, [1]), (2, "", []), (3, "a\nb", [1]), (4, "a", None), (5, "a", [1])], "doc_id int, text string, count array<int>")
     assert [r.doc_id for r in patterns.counted(rows).collect()] == [5]
+
+
+def test_masks_of_the_callers_own(spark):
+    mask = lambda colours, *expressions: spark.createDataFrame([(colours,)], "c string").select(patterns.pattern_mask(F.col("c"), *expressions).alias("m")).first().m
+    for colours in ("", "r", "rrr", "grrrrgyyg", "yyrrrgg", "ggyrgg"):
+        for expressions in (("r{3,}",), ("r{3,}", "y{2,}"), ("g+[yr]*g+",)):
+            want = ["0"] * len(colours)
+            for e in expressions:
+                for m in re.finditer(e, colours):
+                    want[m.start() : m.end()] = "1" * (m.end() - m.start())
+            assert mask(colours, *expressions) == "".join(want), (colours, expressions)

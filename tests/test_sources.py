@@ -34,6 +34,23 @@ def test_wet(spark, tmp_path):
     assert pipelines.english_baseline(df, lambda t: t.contains("line")).count() == 1
 
 
+def test_wet_records_end_by_their_length(spark, tmp_path):
+    inner = "a page\r\n\r\nWARC/1.0\r\nWARC-Type: conversion\r\n\r\nthat shows a record\r\nWARC/1.0\r\nof an archive"
+    files = {"a": [("conversion", inner), ("conversion", "next")], "b": [("conversion", f"text {k}") for k in range(1500)], "c": [("warcinfo", "")]}
+    for name, bodies in files.items():
+        (tmp_path / f"{name}.warc.wet.gz").write_bytes(wet(*bodies))
+    cut = b"WARC/1.0\r\nWARC-Type: conversion\r\nContent-Length: 99\r\n\r\nbroken off"
+    (tmp_path / "d.warc.wet.gz").write_bytes(gzip.compress(cut + b"\r\n\r\nWARC/1.0\r\nWARC-Type: x"))
+    df = records.read_wet(spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r.idx):
+        got.setdefault(r.wet_path[-len("a.warc.wet.gz") :][0], []).append((r.idx, r.rec_type, r.text, r.error))
+    assert got["a"] == [(1, "conversion", inner, None), (2, "conversion", "next", None)]
+    assert got["b"] == [(k + 1, "conversion", f"text {k}", None) for k in range(1500)] and got["c"] == [(1, "warcinfo", "", None)]
+    assert got["d"][0][3] == "short" and got["d"][0][2].startswith("broken off")
+
+
 def test_json_lines(spark, tmp_path):
     good = [{"text": "a", "n": 1}, {"n": 2}, {"text": None}]
     with gzip.open(tmp_path / "x.json.gz", "wt") as f:
@@ -79,10 +96,56 @@ def test_seen_before(spark):
     left = {r.doc_id: r.text for r in dedup.drop_seen(docs).collect()}
     assert left == {1: f"{p}\nshort one", 3: "new\nold\n \nmore words here", 4: None, 5: ""}
     # 7 of 8 n-grams of the near copy are old; at a higher threshold it stays
-    kept = {r.doc_id: r.text for r in dedup.drop_seen(docs, threshold=0.95, documents=False).collect()}
+    kept = {r.doc_id: r.text for r in dedup.drop_seen(docs, threshold=0.95, remove="paragraph").collect()}
     assert kept[2] == near
 
 
+def test_what_is_removed(spark):
+    docs = spark.createDataFrame([(1, "a b c d\nx y"), (2, "a b c d\nq r s t"), (3, "a b c d\nx y"), (4, "x y"), (5, None)], "doc_id int, text string")
+    of = lambda **how: {r.doc_id: r.text for r in dedup.drop_seen(docs, 3, 0.5, **how).collect()}
+    assert of(remove="paragraph") == {1: "a b c d\nx y", 2: "q r s t", 3: "", 4: "", 5: None}
+    assert set(of(remove="document")) == {1, 2, 5} and set(of(remove="exact")) == {1, 2, 4, 5}
+    assert of(remove="paragraph", least=3)[4] == "x y" and of(remove="paragraph", least=3)[3] == "x y"
+    with pytest.raises(ValueError):
+        dedup.drop_seen(docs, remove="none")
+
+
+def test_repetition_by_word_boundaries(spark, small):
+    """Against the definition, counted in Python text by text."""
+    from collections import Counter
+
+    import regex
+
+    def passes(text):
+        if not text:
+            return False
+        for end in ("\n", "\n\n"):
+            parts = [p for p in text.split(end) if p.strip()]
+            counts = Counter(parts)
+            again = {p: n for p, n in counts.items() if n > 1}
+            if len(parts) > 1 and (sum(again.values()) / len(parts) > 0.3 or sum(n * len(p) for p, n in again.items()) / max(1, sum(map(len, parts))) > 0.2):
+                return False
+        w = [x for x in regex.split(r"(?V1w)\b", text) if x and regex.match(r"[\p{L}\p{N}]", x)]
+        total = max(1, sum(map(len, w)))
+        for n, most in repetition.NGRAM_LIMITS.items():
+            counts = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            if not counts or max(counts.values()) == 1:
+                continue
+            if n <= 4:
+                best = max(counts.values())
+                share = best * max(sum(map(len, g)) for g, c in counts.items() if c == best) / total
+            else:
+                inside = {j for i in range(len(w) - n + 1) if counts[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+                share = sum(len(w[j]) for j in inside) / total
+            if share > most:
+                return False
+        return True
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r.doc_id: r.passes for r in repetition.repetition_verdict(docs).collect()}
+    assert got == {r.doc_id: passes(r.text) for r in docs.collect()} and len(set(got.values())) == 2
+
+
 def test_repetition_edges(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "one line only"), (4, "a b\n\na b"), (5, " \n ")], "doc_id int, text string")
     got = {r.doc_id: r.passes for r in repetition.repetition_verdict(docs).collect()}

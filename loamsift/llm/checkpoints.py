@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import local_folder
+
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Take the folder named by ``spark.checkpoint.dir``; only where it is unset (tests, one machine) make one."""
@@ -17,7 +16,7 @@ def use_checkpoints(spark: SparkSession) -> None:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "loamsift-checkpoints")
+        folder = local_folder()
     context.setCheckpointDir(folder)
 
 

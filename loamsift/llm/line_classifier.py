@@ -56,6 +56,21 @@ class PageLines:
         self._words(block)
         self._shape_codes()
 
+    @classmethod
+    def joined(cls, parts: list[PageLines]) -> PageLines:
+        """The lines of several blocks as one, for the fit; without the shapes of the blocks."""
+        out = cls.__new__(cls)
+        for name in ("line_no", "top", "bottom", "words", "key", "slots", "values", "long", "form", "prose", "ended", "kind", "fields", "before", "after", "between"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        out.at = np.arange(len(out.kind))
+        for name, step in (("page", "page"), ("part", "part"), ("rows", "at")):
+            shift, found = 0, []
+            for p in parts:
+                found.append(getattr(p, name) + shift)
+                shift += len(p.at) if step == "at" else int(getattr(p, step)[-1]) + 1 if len(p.at) else 0
+            setattr(out, name, np.concatenate(found))
+        return out
+
     def _words(self, block: Block) -> None:
         begin, end, text = block.runs(LETTER)
         h = block.hashes(begin, end)
@@ -86,6 +101,7 @@ class PageLines:
         units = s.units()[at]
         self.long = _bucket(units, [5, 12, 25, 45, 70, 100, 160])
         ended, head, tail = s.ended[at], s.head[at], s.tail[at]
+        self.ended = ended
         end = np.select([s.before_tail[at] == ord("."), tail == ord("»"), ended, (tail >= 48) & (tail <= 57), tail == ord(")"), tail == ord(":")], [1, 2, 3, 4, 5, 6], 0)
         end[(end == 1) & (tail != ord("."))] = np.where(ended, 3, 0)[(end == 1) & (tail != ord("."))]
         quote = np.isin(head, np.array([ord(c) for c in "“\"„«»'”"], np.uint32))
@@ -133,8 +149,7 @@ class PageLines:
         """Features of the counts by line (nan where there is none): the count, and how it lies to that of the page's sentences."""
         c = np.log10(np.maximum(np.nan_to_num(counts, nan=1.0), 1))
         typical = self.typical(counts)
-        ended = self.shapes.ended[self.at]
-        a = _bucket(c, [0.1, 0.4, 0.6, 1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5]) * 16 + self.long * 2 + ended
+        a = _bucket(c, [0.1, 0.4, 0.6, 1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5]) * 16 + self.long * 2 + self.ended
         b = (_bucket(c - typical, [-1, 0.1, 0.4, 0.7, 1, 1.5, 2, 2.5, 3, 4]) * 8 + self.long) * 7 + self.form // 8 % 7
         middle, size = _part_medians(self, counts)
         d = _bucket(np.log10(np.maximum(middle, 1)), [0.1, 0.6, 1, 1.5, 2, 2.5, 3, 4]) * 8 + _bucket(size, [2, 3, 5, 8, 12, 20])

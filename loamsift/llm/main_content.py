@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from .arrow import map_batches
-from .chars import Block, blocks
+from .chars import blocks
 from .language_labels import plain
 from .least_cut import least_cut
 from .line_classifier import MAX_PAGES, LineModel, PageLines, edges
@@ -68,8 +68,12 @@ def fit_lines(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     some = some.take(pa.array(first)).combine_chunks()
     if not len(some):
         return LineModel.neutral()
-    lines = PageLines(Block([plain(t) for t in some.column(1).to_pylist()]), False)
-    return LineModel.fit(lines, line_counts(lines, some.column(2)))
+    counts = some.column(2).combine_chunks() if isinstance(some.column(2), pa.ChunkedArray) else some.column(2)
+    parts = []
+    for at, block in blocks([plain(t) for t in some.column(1).to_pylist()]):
+        lines = PageLines(block, False)
+        parts.append((lines, line_counts(lines, counts.slice(at, len(block.texts)))))
+    return LineModel.fit(PageLines.joined([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
 
 
 def body_lines(pages: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "count", skip_title: bool = False) -> DataFrame:

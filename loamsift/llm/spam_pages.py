@@ -2,10 +2,10 @@
 
 Three passes over the texts and two joins:
 
-1. Phrase shingles of three words are taken from rows without sentences, in pages whose longer lines
-   mostly are such rows, exploded, and their distinct hosts counted. They are taken as they are and with
-   any word in the middle (a made-up name, a brand), so "shipping Dunrist desk" is a phrase in common
-   with every other name. Words run together, as tags have them, give shingles of letters.
+1. Phrase shingles of three words are taken from the rows without sentences of all pages, exploded, and
+   their distinct hosts counted. They are taken as they are and with any word in the middle (a made-up
+   name, a brand), so "shipping Dunrist desk" is a phrase in common with every other name. Words run
+   together, as tags have them, give shingles of letters.
 2. Of phrases on several hosts the pages that hold them anywhere are counted, exactly. Advertising
    phrases are those found in such rows on a good part of the pages that have them at all.
 3. Every line of every body (see main_content) is measured, and the phrases in it are joined with the
@@ -113,11 +113,6 @@ class Phrases:
                 rows |= some & (np.bincount(self.line, again[: len(self.line)], lines) >= AGAIN * np.maximum(1, self.words))
         return rows | (~shapes.ended & (self.words >= 6) & ~barred)
 
-    @property
-    def longer(self) -> np.ndarray:
-        return (self.words >= 6) | self.rows
-
-
 def _fold(salt: int, *hashes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return functools.reduce(lambda x, h: mix(x * _U64(0x9E3779B97F4A7C15) + h), hashes, np.full(len(hashes[0]), _U64(salt)))
@@ -147,7 +142,7 @@ def _address_words() -> np.ndarray:
 
 
 def replicated_phrases(docs: DataFrame, text_col: str = "text", host_col: str = "host", least_hosts: int = 3, least_pages: int = 3) -> DataFrame:
-    """(phrase, hosts, pages) of the phrases that stand in rows without sentences on at least so many hosts and pages, in pages whose longer lines have at least half their words in such rows.
+    """(phrase, hosts, pages) of the phrases that stand in rows without sentences on at least so many hosts and pages.
 
     Both floors are numbers, so pages are judged alike in a small and a large crawl. Pages without a
     host count as those of one host.
@@ -159,8 +154,7 @@ def replicated_phrases(docs: DataFrame, text_col: str = "text", host_col: str =
             for first, block in blocks([plain(t) for t in batch.column(1).to_pylist()]):
                 n, shapes = len(block.texts), LineShapes(block)
                 p = Phrases(block, shapes)
-                dense = np.bincount(shapes.text, p.words * p.rows, n) * 2 >= np.bincount(shapes.text, p.words * p.longer, n)
-                some = p.rows[p.line[p.at]] & dense[p.text[p.at]]
+                some = p.rows[p.line[p.at]]
                 h, text = _distinct(p.hash[some], p.text[p.at[some]])
                 of, counts = np.unique(text, return_counts=True)
                 yield {"host": hosts.slice(first, n).take(pa.array(of)), "phrases": list_array(h.view(np.int64), counts, pa.int64())}

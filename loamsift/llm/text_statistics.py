@@ -62,12 +62,13 @@ def cut_offs(sketches: DataFrame, by: str, statistic: str = "prose") -> DataFram
     judged by these, and so is one of a handful of pages or without a page of the rarer kind. cut_off is
     null where neither divides.
     """
-    split = lambda df, *keep: df.select(*keep, two_mode_split(_quantiles(df, (statistic,))[0]).alias("x"))
-    two = F.col("x.share") >= TWO_MODES
-    every = split(merged_sketches(sketches.select(statistic, "documents"), None, (statistic,))).select(F.when(two, F.col("x.cut")).alias("_of_all"))
-    own = split(sketches, by).join(F.broadcast(every))  # one row beside the row of each language
-    apart = F.col("_of_all").isNull() | F.col("_of_all").between(F.col("x.low"), F.col("x.high"))
-    return own.select(by, F.coalesce(F.when(two & apart, F.col("x.cut")), F.col("_of_all")).alias("cut_off"))
+    one = lambda df: two_mode_split(_quantiles(df, (statistic,))[0])
+    merged = merged_sketches(sketches.select(statistic, "documents"), None, (statistic,)).where("documents > 0")
+    of_all = merged.select(one(merged).alias("x")).first()  # one row, whatever the documents
+    every = F.lit(of_all.x.cut if of_all and of_all.x.share >= TWO_MODES else None).cast("double")
+    x = F.col("_x")
+    apart = every.isNull() | every.between(x["low"], x["high"])
+    return sketches.select(by, one(sketches).alias("_x")).select(by, F.coalesce(F.when((x["share"] >= TWO_MODES) & apart, x["cut"]), every).alias("cut_off"))
 
 
 def against_distribution(rows: DataFrame, sketches: DataFrame, by: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:

@@ -56,6 +56,17 @@ def test_against_all_pairs(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
 
 
+def test_bands_and_classes_in_blocks(spark, monkeypatch):
+    """The same links where every band of more than four classes is joined block by block, and every class of more than two pairs is spread."""
+    docs = list(enumerate(texts()))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    links = lambda: {tuple(sorted((r.class_a, r.class_b))) for r in nd.near_duplicate_classes(df, words=3, threshold=0.4)[1].collect()}
+    whole = links()
+    monkeypatch.setattr(nd, "HOT", 4)
+    monkeypatch.setattr(nd, "PAIRS", 2)
+    assert links() == whole and len(whole) > 50
+
+
 def test_near_copies_of_a_third_of_the_texts(spark):
     rng = random.Random(8)
     base = [f"base{i}" for i in range(90)]

@@ -176,8 +176,11 @@ def spacing_for_tokenizer(text: Column, language: str = "en") -> Column:
 
 
 def spans(keys: Column, span: int = 1) -> Column:
-    """Every ``span`` keys that follow one another, joined by line ends; none where there are fewer."""
-    return keys if span == 1 else F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(keys) - span + 1, F.lit(1))), lambda i: F.size(keys) >= span), lambda i: F.array_join(F.slice(keys, i, span), "\n"))
+    """Every ``span`` keys that follow one another, joined by line ends; none where there are fewer. Null keys are in no span."""
+    out = keys
+    for k in range(1, span):
+        out = F.zip_with(out, F.slice(keys, k + 1, F.size(keys)), lambda a, b: F.concat(a, F.lit("\n"), b))
+    return out if span == 1 else F.filter(out, lambda x: x.isNotNull())
 
 
 def line_hash(line: Column) -> Column:

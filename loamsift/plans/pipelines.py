@@ -36,6 +36,12 @@ def extraction(docs: DataFrame, scope: list[str], red: int = 1000, green: int =
     return extracted(rows if k is None else ptf(rows, k), id_col, *scope)
 
 
-def curation(docs: DataFrame, score: Callable[[Column], Column], threshold: float = 0.018112, id_col: str = "doc_id") -> DataFrame:
+def archive_frequency(records: DataFrame, scope: list[str], is_english: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(scope, line_key, df) straight from crawl records, in English or, without a test for it, in Korean."""
+    texts = korean_baseline(records) if is_english is None else english_baseline(records, is_english)
+    return document_frequency(texts, scope)
+
+
+def curation(docs: DataFrame, score: Callable[[Column], Column], threshold: float = 0.018112, id_col: str = "doc_id", word_model: str = "uniseg") -> DataFrame:
     """Heuristics, then removal of what was seen before, then the quality threshold."""
-    return with_quality(drop_seen(heuristics(docs), id_col=id_col), score, threshold)
+    return with_quality(drop_seen(heuristics(docs, word_model=word_model), id_col=id_col), score, threshold)

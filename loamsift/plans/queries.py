@@ -385,6 +385,29 @@ def stream_pld_ptf(spark, folder):
     return done.join(newest, ["doc_id", "loaded_at"]).where(F.col("count") == F.col("newest")).select("doc_id", "text").distinct()
 
 
+def _stream(spark, folder):
+    return spark.readStream.schema(table(spark, folder, "documents").schema).parquet(f"{folder}/documents.parquet*")
+
+
+@query("WITH l AS (SELECT DISTINCT doc_id, date_trunc('day', crawled_at) AS day, " + s_key("line") + " AS line_key FROM (SELECT doc_id, crawled_at, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> '' AND crawled_at IS NOT NULL)) SELECT strftime(day, '%Y-%m-%d') AS day, line_key, count(*) AS df FROM l GROUP BY ALL")
+def stream_line_frequency(spark, folder):
+    """Line counts by day of crawl as a stream with state; each batch writes the counts so far."""
+    base = shared_folder(spark)
+    counts = stages.windowed_frequency(_stream(spark, folder).where("text <> ''"), "crawled_at")
+    write = lambda df, _: df.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "line_key", "df").write.mode("overwrite").parquet(f"{base}/out")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("day string, line_key string, df long").parquet(f"{base}/out")
+
+
+@query()
+def stream_cleaned(spark, folder):
+    """Filters and modifiers of one text on a stream, texts normalized."""
+    base = shared_folder(spark)
+    out = stages.cleaned(_stream(spark, folder)).select("doc_id", "text")
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 # ---- document filters
 
 
@@ -593,6 +616,10 @@ def heuristics_full(spark, folder):
     return heuristics.heuristics(documents(spark, folder)).select("doc_id", "text")
 
 
+_CHEAP = f"{_BULLETS} <= 0.9 * len({_SPLIT}) AND {_DOTS} <= 0.3 * len({_SPLIT}) AND len({s_tokens('text')}) BETWEEN 50 AND 100000 AND {_MEAN} BETWEEN 3 AND 10 AND {_SYMBOLS} <= 0.1 AND {_ALPHA} <= 0.2 AND len({_STOPS}) >= 2"
+SQL["stream_cleaned"] = f"WITH passed AS (SELECT doc_id, text FROM documents WHERE text <> '' AND {_CHEAP}), {_MODIFIED} SELECT doc_id, {s_normalize_data('m8')} AS text FROM t_m8 WHERE (len({s_tokens('text')}) - len({s_tokens('m8')})) / len({s_tokens('text')}) <= 0.05"
+
+
 # ---- removal of what was seen before
 
 
@@ -601,7 +628,7 @@ def _seen_sql(n: int, least: int = 1) -> str:
 pw AS (SELECT doc_id, p, {s_words('part')} AS w FROM pa),
 pg AS (SELECT doc_id, p, unnest(list_transform(range(1, greatest(len(w) - {n} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], chr(1)))) AS gram FROM pw WHERE len(w) >= {least}),
 fi AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY gram) AS first FROM pg),
-se AS (SELECT doc_id, p, count(*) AS ngrams, count(*) FILTER (WHERE first < (doc_id, p)) AS seen FROM fi GROUP BY ALL)"""
+se AS MATERIALIZED (SELECT doc_id, p, count(*) AS ngrams, count(*) FILTER (WHERE first < (doc_id, p)) AS seen FROM fi GROUP BY ALL)"""
 
 
 @query(f"WITH {_seen_sql(5)} SELECT doc_id, p, ngrams, seen FROM se")
@@ -678,6 +705,15 @@ def file_statistics(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in ("avg_score_kept", "avg_score_filtered")})
 
 
+@query()
+def curation(spark, folder):
+    """Heuristics, removal of what was seen before and the quality threshold in one plan; its SQL is too slow on whole tables, and its steps have SQL of their own."""
+    from .pipelines import curation as whole
+
+    out = whole(documents(spark, folder), _score)
+    return out.select("doc_id", "text", F.round("fasttext_score", 6).alias("fasttext_score"))
+
+
 _RECORDS = "r AS (SELECT DISTINCT ON (wet_path, idx) * FROM wet_records ORDER BY wet_path, idx, text NULLS LAST)"
 _HANGUL = "(length(text) - length(regexp_replace(text, '[가-힣]', '', 'g'))) / nullif(length(text), 0) >= 0.1"
 
@@ -797,6 +833,16 @@ def korean_baseline(spark, folder):
     return whole(_records(spark, folder)).select("wet_path", "idx", "text")
 
 
+@query(
+    f"WITH {_RECORDS}, l AS (SELECT wet_path, idx, unnest(string_split({s_normalize_data('text')}, chr(10))) AS line FROM r WHERE rec_type = 'conversion' AND text <> '' AND len({_STOPS}) >= 5) SELECT wet_path, {s_key('line')} AS line_key, count(DISTINCT idx) AS df FROM l GROUP BY ALL"
+)
+def archive_frequency(spark, folder):
+    """From records to line counts of each file in one plan."""
+    from .pipelines import archive_frequency as whole
+
+    return whole(_records(spark, folder), ["wet_path"], lambda t: heuristics.stop_word_count(t) >= 5)
+
+
 # ---- records and lists
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,11 +43,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+@functools.cache
+def local_folder() -> str:
+    """A folder of this machine, for tests and single machines; it goes with the process."""
+    folder = tempfile.mkdtemp(prefix="loamsift-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share: under spark.checkpoint.dir, or on this machine where that is unset and all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/loamsift"
+        base = f"file://{local_folder()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -12,6 +12,10 @@ def score(text):
     return F.length(text) / F.lit(100)
 
 
+def is_english(text):
+    return text.contains("the ")
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("corpus")
@@ -51,5 +55,42 @@ def test_split(spark, corpus):
 
 
 def test_wrong_arguments(corpus):
-    with pytest.raises(SystemExit):
-        main(["heuristics"])
+    for args in (["heuristics"], ["baseline", "--lang", "en", "--in", "x", "--out", "y"], ["dedup", "--in", "x", "--out", "y", "--remove", "all"]):
+        with pytest.raises(SystemExit):
+            main(args)
+
+
+def test_rows_without_ids(spark, corpus):
+    """Ids given here are the same wherever the rows are read again."""
+    d = str(corpus)
+    with open(f"{d}/bare.jsonl", "w") as f:
+        for i in range(30):
+            f.write(json.dumps({"text": f"one two three four five {i // 3}\nown words of number {i} here"}) + "\n")
+    main(["dedup", "--in", f"{d}/bare.jsonl", "--out", f"{d}/bare_once", "--ngram", "5", "--remove", "exact"])
+    assert spark.read.json(f"{d}/bare_once").count() == 30
+    main(["dedup", "--in", f"{d}/bare.jsonl", "--out", f"{d}/bare_first", "--ngram", "5", "--remove", "paragraph", "--limit", "12"])
+    rows = spark.read.json(f"{d}/bare_first").collect()
+    assert len(rows) == 12 and len({r.doc_id for r in rows}) == 12 and sum("one two" in r.text for r in rows) >= 4
+
+
+def test_shards_of_count_info(spark, corpus):
+    d = str(corpus)
+    rows = [(i, "s", "train" if i < 6 else "valid", i % 6, f"Title\nline {i}\nHome") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, snapshot string, split string, shard_idx long, text string").write.mode("overwrite").parquet(f"{d}/sharded")
+    spark.createDataFrame([("s", "home", 8)], "snapshot string, line_key string, df int").write.mode("overwrite").parquet(f"{d}/sharded_df")
+    main(["count-info", "--format", "parquet", "--in", f"{d}/sharded", "--out", f"{d}/sharded_out", "--counts", f"{d}/sharded_df", "--scope", "snapshot", "--train", "1", "3", "--valid", "0", "1"])
+    got = {r.doc_id: r["count"] for r in spark.read.parquet(f"{d}/sharded_out").collect()}
+    assert got == {1: [0, 8], 2: [0, 8], 6: [0, 8]}
+
+
+def test_baseline(spark, corpus):
+    import gzip
+
+    from test_sources import wet
+
+    (corpus / "x.warc.wet.gz").write_bytes(wet(("warcinfo", "x"), ("conversion", "the text of a page"), ("conversion", "한국어 글")))
+    main(["baseline", "--lang", "en", "--in", f"{corpus}/x.warc.wet.gz", "--out", f"{corpus}/en", "--english", "test_cli:is_english"])
+    main(["baseline", "--lang", "ko", "--in", f"{corpus}/x.warc.wet.gz", "--out", f"{corpus}/ko"])
+    assert [r.text for r in spark.read.json(f"{corpus}/en").collect()] == ["the text of a page"]
+    assert [r.text for r in spark.read.json(f"{corpus}/ko").collect()] == ["한국어 글"]
+    assert gzip.open(next((corpus / "ko").glob("*.gz")), "rt").read().count("\n") == 1

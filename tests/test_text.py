@@ -107,3 +107,46 @@ def test_strip_accents_of_all_documents(spark, small):
     got = QUERIES["strip_accents_all"](spark, small).collect()
     assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want
     assert any(t and any("\u1100" <= c <= "\u11ff" for c in t) for t in want.values()) and None in want.values()
+
+
+def test_probability_of_a_label(spark):
+    def load():
+        class Classifier:
+            def predict(self, text, k):
+                assert "\n" not in text and k == 2
+                labels = ["__label__hq", "__label__lq"] if "good" in text else ["__label__lq", "__label__other"]
+                return labels, [0.75, 0.25]
+
+        return Classifier()
+
+    df = spark.createDataFrame([("a good\ntext",), ("bad",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(quality.label_probability(load)(F.col("t")).alias("x")).collect()] == [0.75, 0.0, 0.0, 0.0]
+
+
+def test_spans(spark):
+    assert one(spark, "a\nb\nc", lambda t: T.spans(T.lines_of(t), 2)) == ["a\nb", "b\nc"]
+    assert one(spark, "a", lambda t: T.spans(T.lines_of(t), 2)) == [] and one(spark, "a\nb", lambda t: T.spans(T.lines_of(t))) == ["a", "b"]
+
+
+@pytest.mark.parametrize("text", ["", " ", "a b", "  x\u3000y  ", "a\n\nb ...\n* c ... \n● d…", "1 2 x9 . , —", "The THE and\tthat of", "\x1cа\x85b", "••\n-\n..."])
+def test_counts_without_arrays(spark, text):
+    """The filters' counts against Python's."""
+    words, lines = text.split(), text.split("\n")
+    assert one(spark, text, T.word_count) == len(words)
+    assert one(spark, text, H.bullet_share) == pytest.approx(sum(x[:1] in H.BULLETS for x in lines) / len(lines))
+    assert one(spark, text, H.ellipsis_share) == pytest.approx(sum(x.endswith(tuple(H.ELLIPSES)) for x in lines) / len(lines))
+    assert one(spark, text, H.stop_word_count) == sum(w in H.STOP_WORDS for w in text.lower().split())
+    got = one(spark, text, H.non_alphabetic_share)
+    assert got is None if not words else got == pytest.approx(sum(not any(c.isalpha() for c in w) for w in words) / len(words))
+
+
+def test_modifiers_in_one_pass_are_those_in_turn(spark, small):
+    def in_turn(t):
+        out = H.drop_short_lines(H.drop_counter_lines(H.drop_numeric_lines(H.drop_uppercase_lines(H.collapse_newlines(t)))))
+        for substring, location in H.REMOVED:
+            out = H.remove_substring(out, substring, location)
+        return out
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text").union(spark.createDataFrame([("3 likes\nA B C\n\n2020\nx",), ("items in cart\n \nSign-in",), ("",), ("a\n\n\n\n\nFoo Read more...\n2 ITEMS IN CART y",)], "text string"))
+    rows = docs.where("text is not null").select(H.modified(F.col("text")).alias("one"), in_turn(F.col("text")).alias("turns"))
+    assert rows.where("one <> turns").count() == 0

@@ -393,7 +393,7 @@ def _stream(spark, folder):
 def stream_line_frequency(spark, folder):
     """Line counts by day of crawl as a stream with state; each batch writes the counts so far."""
     base = shared_folder(spark)
-    counts = stages.windowed_frequency(_stream(spark, folder).where("text <> ''"), "crawled_at")
+    counts = stages.windowed_frequency(_stream(spark, folder).where("text <> ''").withColumn("crawled_at", F.col("crawled_at").cast("timestamp")), "crawled_at")
     write = lambda df, _: df.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "line_key", "df").write.mode("overwrite").parquet(f"{base}/out")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("day string, line_key string, df long").parquet(f"{base}/out")

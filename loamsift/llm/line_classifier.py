@@ -19,7 +19,7 @@ _U64 = np.uint64
 #: Size of the hashed part of the weights: 1 MB of 32-bit numbers, whatever the collection.
 HASHED = 1 << 18
 #: Pages that are fitted at most, in order of a seeded hash.
-MAX_PAGES = 3000
+MAX_PAGES = 2000
 #: Documents that hold a line: so few for one that is a page's own, so many for one that belongs to sites.
 OWN, SHARED = 3, 200
 _SHAPES = 1 << 14
@@ -284,7 +284,7 @@ class LineModel:
         return cls(cls._weights(lines, lines.fields, label, weight), cls._weights(lines, lines.all_fields(counts), label, weight), _ties(lines, label, weight))
 
     @staticmethod
-    def _weights(lines: PageLines, fields: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 60, penalty: float = 1e-6) -> np.ndarray:
+    def _weights(lines: PageLines, fields: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 40, penalty: float = 1e-6) -> np.ndarray:
         """Logistic regression by gradients over the whole sample, with step sizes that adapt to each weight."""
         total = HASHED + _FIELDS * _SHAPES
         w, sums = np.zeros(total), np.full(total, 1e-6)

@@ -60,7 +60,7 @@ def fit_lines(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
     order = F.xxhash64(F.col(id_col), F.lit(7))
     # so few rows are looked at that sorting them costs one task little, however many there are
-    share = min(1.0, 8 * max_pages / max(1, rows.count()))
+    share = min(1.0, 2 * max_pages / max(1, rows.count()))
     fine = rows.where(F.pmod(order, F.lit(1 << 40)) <= int(share * (1 << 40))).where((F.length(text_col) <= MAX_SAMPLE_CHARS) & (F.size(F.split(text_col, "\n")) == F.size(count_col)))
     some = fine.select(order.alias("_order"), F.col(text_col).alias("_text"), F.col(count_col).cast("array<int>").alias("_count"))
     some = some.orderBy("_order", F.xxhash64("_text"), F.hash("_count")).limit(max_pages).toArrow()

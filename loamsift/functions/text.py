@@ -43,18 +43,17 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """size(words(text)) by one expression over the text."""
-    return F.regexp_count(text, F.lit(f"{INK}+"))
+    """How many words; splitting is several times as fast here as taking out every match of an expression."""
+    return F.size(words(text))
 
 
 def token_words(text: Column) -> Column:
     """Tokens between the delimiters of the fastText tokenizer that begin with a letter or number."""
-    return F.filter(F.split(text, "[ \n\r\t\x0b\f\x00]+"), lambda w: w.rlike(r"^[\p{L}\p{N}]"))
+    return F.filter(F.split(text, "[ \n\r\t\x0b\f\x00]+"), lambda w: w.rlike(r"^[a-zA-Z0-9\p{L}\p{N}]"))
 
 
 def token_word_count(text: Column) -> Column:
-    """size(token_words(text)) without the array."""
-    return F.regexp_count(text, F.lit("(?<![^ \\n\\r\\t\\x0B\\f\\x00])[\\p{L}\\p{N}]"))
+    return F.size(token_words(text))
 
 
 def split_words(text: Column, model: str = "split", ignore_punctuation: bool = False, ignore_whitespace: bool = True) -> Column:

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_count, words
 
-#: Parts over which the places of one n-gram are spread in the join.
-SALTS = 8
-
-
 def paragraph_ngrams(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", end: str | None = "\n", least: int = 1) -> DataFrame:
     """(id, p, ngrams, grams): number and hashes of the n-grams of words of each non-blank paragraph, repeated ones included.
 
@@ -40,9 +36,9 @@ def seen_ngrams(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col:
     place = F.struct(F.col(id_col), F.col("p"))
     once = parts.select(id_col, "p", F.explode(F.array_distinct("grams")).alias("gram"))
     first = once.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
-    first = first.select("gram", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
-    every = parts.select(id_col, "p", F.explode("grams").alias("gram")).withColumn("_salt", F.pmod(F.hash(id_col), F.lit(SALTS)).cast("int"))
-    return every.join(first, ["gram", "_salt"]).where(F.col("first") < place).groupBy(id_col, "p").agg(F.count("*").alias("seen"))
+    every = parts.select(id_col, "p", F.explode("grams").alias("gram"))
+    # the places of a hot n-gram are split over tasks by adaptive execution: the other side has one row of it
+    return every.join(first, "gram").where(F.col("first") < place).groupBy(id_col, "p").agg(F.count("*").alias("seen"))
 
 
 def seen_shares(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", end: str | None = "\n", least: int = 1) -> DataFrame:

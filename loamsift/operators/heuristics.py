@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import INK, WS, lines_of, strip, token_word_count, word_count
+from ..functions.text import WS, lines_of, strip, token_word_count, word_count, words
 from .repetition import passes
 
 # Words, marks and nouns that the filters look for.
@@ -78,8 +78,7 @@ def ellipsis_ratio(text: Column, most: float = 0.3) -> Column:
 
 def non_alphabetic_share(text: Column) -> Column:
     """Share of words without a letter; null without words."""
-    no_letter = INK[:-1] + r"\p{L}]"
-    return F.regexp_count(text, F.lit(rf"(?<!{INK}){no_letter}+(?!{INK})")) / F.nullif(word_count(text), F.lit(0))
+    return F.size(F.filter(words(text), lambda w: ~w.rlike(r"^[a-zA-Z]|\p{L}"))) / F.nullif(word_count(text), F.lit(0))
 
 
 def alphabetic_words(text: Column, most: float = 0.2) -> Column:
@@ -87,8 +86,8 @@ def alphabetic_words(text: Column, most: float = 0.2) -> Column:
 
 
 def stop_word_count(text: Column, unique: bool = False) -> Column:
-    pattern = F.lit(rf"(?<!{INK})(?:{'|'.join(STOP_WORDS)})(?!{INK})")
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), pattern, F.lit(0)))) if unique else F.regexp_count(F.lower(text), pattern)
+    found = F.filter(words(F.lower(text)), lambda w: w.isin(STOP_WORDS))
+    return F.size(F.array_distinct(found) if unique else found)
 
 
 def stop_words(text: Column, least: int = 2, unique: bool = False) -> Column:
@@ -142,14 +141,13 @@ def _without_substring(lines: Column, substrings: str | list[str], location: str
     pattern = {"prefix": rf"^{found}{WS}?", "suffix": rf"{WS}?{found}\z", "any": rf"{WS}?{found}"}[location]
     pattern = pattern if case_sensitive else f"(?iu){pattern}"
     short = (lambda x: F.lit(True)) if max_words is None else lambda x: word_count(x) <= max_words
-    # most lines hold none of the substrings and are passed on as they are
+    # each array is named once: an expression named twice in a chain of these would be evaluated eight times
     hit = lambda x: x.rlike(pattern) & short(x)
     if not only_substring:
         return F.filter(lines, lambda x: ~hit(x))
-    changed = F.transform(lines, lambda x: F.when(hit(x), F.regexp_replace(x, pattern, "")).otherwise(x))
-    # a line that is blank before and after goes too unless it is empty
-    gone = F.zip_with(lines, changed, lambda old, new: F.when((old == "") | ~short(old) | ~new.rlike(rf"^{WS}*\z"), new))
-    return F.filter(gone, lambda x: x.isNotNull())
+    changed = F.transform(lines, lambda x: F.struct(x.alias("old"), F.when(hit(x), F.regexp_replace(x, pattern, "")).otherwise(x).alias("new")))
+    stay = F.filter(changed, lambda z: (z["old"] == "") | ~z["new"].rlike(rf"^{WS}*\z") | ~short(z["old"]))
+    return F.transform(stay, lambda z: z["new"])
 
 
 def remove_substring(text: Column, substrings: str | list[str], location: str = "any", max_words: int | None = 10, only_substring: bool = True, case_sensitive: bool = False) -> Column:

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, normalize_for_dedup, saturating
 
-#: Parts over which the lines of one key are spread in a join.
-SALTS = 8
-
 
 def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no from 1, line); null and empty texts have no line."""
@@ -61,10 +58,9 @@ def counted_lines(docs: DataFrame, frequency: DataFrame, scope: list[str], id_co
     """
     some = docs.where(F.col(text_col).contains("\n")).select(id_col, *scope, without_title(lines_of(F.col(text_col))).alias("lines"))
     wanted = some.select(id_col, *scope, F.posexplode(F.transform("lines", normalize_for_dedup)).alias("line_no", "line_key"))
-    # a line of a third of the documents is spread over several tasks; lines without a count do not travel on
-    salted = frequency.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    wanted = wanted.withColumn("_salt", F.pmod(F.hash(id_col), F.lit(SALTS)).cast("int"))
-    found = wanted.join(salted, [*scope, "line_key", "_salt"]).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("line_no", saturating(F.col("df"))))).alias("_found"))
+    # lines without a count do not travel on; the lines of a key that a third of the documents have are split
+    # over tasks by adaptive execution (an inner join against one row), which costs the other keys nothing
+    found = wanted.join(frequency, [*scope, "line_key"]).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("line_no", saturating(F.col("df"))))).alias("_found"))
     counts = F.transform("lines", lambda x, i: F.coalesce(F.element_at("_found", i), F.lit(0)))
     return some.join(found, id_col, "left").select(id_col, *scope, "lines", counts.alias("counts"))
 
